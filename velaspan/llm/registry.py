@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from velaspan.llm.bpe import op1_bpe_roundtrip
 from velaspan.llm.neardup import op2_minhash_dedup
+from velaspan.llm.packing import op4_vector_packing
+from velaspan.llm.repetition import op9_repetition_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_bpe_roundtrip,
         op2_minhash_dedup,
+        op4_vector_packing,
+        op9_repetition_rules,
     )
 }
 
