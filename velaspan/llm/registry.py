@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from velaspan.llm.bpe import op1_bpe_roundtrip
+from velaspan.llm.langid import op10_language_mixture
 from velaspan.llm.neardup import op2_minhash_dedup
 from velaspan.llm.packing import op4_vector_packing
 from velaspan.llm.repetition import op9_repetition_rules
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_minhash_dedup,
         op4_vector_packing,
         op9_repetition_rules,
+        op10_language_mixture,
     )
 }
 
