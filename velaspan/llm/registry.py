@@ -11,6 +11,7 @@ from velaspan.llm.langid import op10_language_mixture
 from velaspan.llm.neardup import op2_minhash_dedup
 from velaspan.llm.packing import op4_vector_packing
 from velaspan.llm.repetition import op9_repetition_rules
+from velaspan.llm.secrets import op6_secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_bpe_roundtrip,
         op2_minhash_dedup,
         op4_vector_packing,
+        op6_secret_scan,
         op9_repetition_rules,
         op10_language_mixture,
     )
