@@ -12,12 +12,14 @@ from velaspan.llm.neardup import op2_minhash_dedup
 from velaspan.llm.packing import op4_vector_packing
 from velaspan.llm.repetition import op9_repetition_rules
 from velaspan.llm.secrets import op6_secret_scan
+from velaspan.llm.substrings import op3_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bpe_roundtrip,
         op2_minhash_dedup,
+        op3_substring_dedup,
         op4_vector_packing,
         op6_secret_scan,
         op9_repetition_rules,
