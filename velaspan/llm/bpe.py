@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -14,10 +15,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from velaspan.llm.memory import Memory, groups
 from velaspan.llm.workspace import documents
 
-#: Chunks whose ids a worker remembers (about 200 bytes each).
-CACHE = 300_000
+#: Chunks, and pre-tokens, whose ids a worker remembers in each of two generations (about 200 bytes each).
+CACHE = 150_000
 #: Unicode's White_Space, spelled out: engines differ on \s for U+001C to U+001F.
 WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -71,53 +73,55 @@ def read_ranks(path: str) -> list[bytes]:
 
 
 class Codec:
-    """Encode texts to ids and back. One per worker process."""
+    """Encode texts to ids and back. One per worker process, by :func:`codec`."""
 
     def __init__(self, path: str, pattern: str):
         import sentencepiece
 
         self.pieces = read_ranks(path)
-        self.ids = {p: i for i, p in enumerate(self.pieces)}
+        self.ids = {p: struct.pack("<I", i) for i, p in enumerate(self.pieces)}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialised_model(self.pieces))
         self.map = dict(enumerate(byte_characters()))
         pattern = pattern.replace("[^\\s", f"[^{WHITE}").replace("\\s", f"[{WHITE}]").replace("\\S", f"[^{WHITE}]")
-        self.tokens = regex.compile(pattern)
+        self.split = regex.compile(pattern).findall
         self.run = regex.compile(f" [{WHITE}]")
         self.cut = regex.compile(f" (?=[^{WHITE}])")
-        self.after_space, self.first = _Known(self, " "), _Known(self, "")
-
-    def chunk(self, text: str) -> bytes:
-        """Ids of a chunk as little-endian 32-bit integers."""
-        out: list[int] = []
-        for token in self.tokens.findall(text):
-            own = token.encode()
-            if (i := self.ids.get(own)) is not None:
-                out.append(i)
-            else:
-                out += self.model.encode(own.decode("latin-1").translate(self.map))
-        return struct.pack(f"<{len(out)}I", *out)
-
-    def encode(self, text: str) -> bytes:
-        """A pre-token never reaches over a space that stands before a non-space, so texts are cut there and chunks remembered."""
+        self.tokens, self.chunks = Memory(self._tokens, CACHE), Memory(self._chunks, CACHE)
+
+    def _tokens(self, tokens: list[str]) -> list[bytes]:
+        """Ids (little-endian 32-bit) of pre-tokens: a piece of the vocabulary is itself, others are merged."""
+        out = [self.ids.get(t.encode()) for t in tokens]
+        rest = [i for i, x in enumerate(out) if x is None]
+        mapped = [tokens[i].encode().decode("latin-1").translate(self.map) for i in rest]
+        for i, ids in zip(rest, self.model.encode(mapped, num_threads=1), strict=True):
+            out[i] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
+    def _chunks(self, chunks: list[str]) -> Iterator[bytes]:
+        parts = [self.split(c) for c in chunks]
+        known = self.tokens.having({t for p in parts for t in p})
+        return (b"".join([known[t] for t in p]) for p in parts)
+
+    def _cut(self, text: str) -> list[str]:
+        """A pre-token never reaches over a space that stands before a non-space, so texts are cut there."""
         parts = self.cut.split(text) if self.run.search(text) else text.split(" ")
-        if not parts[-1] and len(parts) > 1:  # the text's last space has nothing after it
+        if len(parts) > 1 and not parts[-1]:  # the text's last space has nothing after it
             parts[-2:] = [parts[-2] + " "]
-        head = self.first[parts[0]]
-        return head + b"".join(map(self.after_space.__getitem__, parts[1:]))
+        parts[1:] = [" " + p for p in parts[1:]]
+        return parts
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        parts = [self._cut(t) if t else [] for t in texts]
+        known = self.chunks.having({c for p in parts for c in p})
+        return [b"".join([known[c] for c in p]) for p in parts]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-class _Known(dict):
-    def __init__(self, codec: Codec, prefix: str):
-        self.codec, self.prefix = codec, prefix
-
-    def __missing__(self, part: str) -> bytes:
-        ids = self.codec.chunk(self.prefix + part)
-        if len(self) < CACHE and len(part) < 64:
-            self[part] = ids
-        return ids
+@functools.lru_cache(2)
+def codec(path: str, pattern: str) -> Codec:
+    return Codec(path, pattern)
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -132,15 +136,16 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, pattern)
+        own = codec(path, pattern)
         for batch in batches:
-            for at in range(0, len(batch), 2048):
-                part = batch.slice(at, 2048)
-                ids = [codec.encode(t) if t else b"" for t in part.column(1).to_pylist()]
-                texts = [codec.decode(x) for x in ids]
-                out = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())]
+            at = 0
+            for group in groups(x.as_py() for x in batch.column(1)):
+                ids = own.encode(group)
+                texts = [own.decode(x) for x in ids]
+                out = [batch.column(0).slice(at, len(group)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())]
                 if with_ids:
                     out += [pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(texts, pa.binary())]
+                at += len(group)
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids

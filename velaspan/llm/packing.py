@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -11,31 +13,80 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from velaspan.llm.memory import Memory, groups
 from velaspan.llm.workspace import documents, raw
 
-#: Words whose ids a worker remembers (about 200 bytes each).
-CACHE = 300_000
+#: Words, and parts of words, whose ids a worker remembers in each of two generations (about 200 bytes each).
+CACHE = 150_000
 #: Tokens and examples that are packed together; more memory, better choice.
 BLOCK_TOKENS, BLOCK_ITEMS = 2_000_000, 2_000
 
 
-class WordIds(dict):
-    """Ids (little-endian 32-bit) by word. The tokeniser drops white space, so ids of a text are those of its words in turn."""
+class WordIds:
+    """Ids (little-endian 32-bit) of texts. One per worker process, by :func:`word_ids`.
+
+    The tokeniser drops white space, so a text's ids are those of its words in
+    turn; a word of ASCII letters, digits and other signs falls into the
+    tokeniser's own pre-tokens by a plain pattern. Unknown pre-tokens are
+    encoded together in one text, and told apart by the ids that end a word.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) < CACHE and len(word) < 64:
-            self[word] = ids
-        return ids
-
-    def text(self, body: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, body.split()))
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.sign = vocabulary["~</w>"]
+        self.cut = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+").findall
+        self.parts, self.words = Memory(self._parts, CACHE), Memory(self._words, CACHE)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _parts(self, parts: list[bytes]) -> list[bytes]:
+        ids = self._ids(b" ".join(parts).decode())
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(parts) or stops[-1] != len(ids):
+            return [self._ids(p.decode()).tobytes() for p in parts]
+        data = ids.tobytes()
+        starts = [0, *(4 * stops[:-1]).tolist()]
+        return [data[a:b] for a, b in zip(starts, (4 * stops).tolist(), strict=True)]
+
+    def _apart(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of any kind, encoded together with a sign between them that none of them has."""
+        ids = self._ids(b" ~ ".join(words).decode())
+        stops = np.flatnonzero(ids == self.sign)
+        if len(stops) != len(words) - 1:
+            return [self._ids(w.decode()).tobytes() for w in words]
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *(4 * stops + 4).tolist()], [*(4 * stops).tolist(), len(data)], strict=True)]
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        out = dict.fromkeys(words, b"")
+        plain = {w: self.cut(w.lower()) for w in words if w.isascii() and b"'" not in w}
+        known = self.parts.having({p for c in plain.values() for p in c})
+        for w, parts in plain.items():
+            out[w] = b"".join([known[p] for p in parts])
+        rest = [w for w in words if w not in plain and b"~" not in w]
+        if rest:
+            out.update(zip(rest, self._apart(rest), strict=True))
+        for w in words:
+            if b"~" in w and w not in plain:
+                out[w] = self._ids(w.decode()).tobytes()
+        return list(out.values())
+
+    def texts(self, bodies: list[bytes]) -> list[bytes]:
+        split = [b.split() for b in bodies]
+        known = self.words.having(set().union(*split))
+        return [b"".join([known[w] for w in words]) for words in split]
+
+
+@functools.lru_cache(2)
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
 
 class Packer:
@@ -132,7 +183,7 @@ class Packer:
 
 def _rows(path: str, end: int, limits: tuple[int, int, int], cut: bool, halve: bool, share: bool, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = word_ids(path)
         tail = np.array([end], "<u4").tobytes()
         packer = Packer(*limits, cut, TaskContext.get().partitionId() << 33)
         held: list[tuple[object, int, bytes, float]] = []  # id, start, ids, share of loss
@@ -159,9 +210,10 @@ def _rows(path: str, end: int, limits: tuple[int, int, int], cut: bool, halve: b
 
         total = 0
         for batch in batches:
-            parts = zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True) if share else ((a, b, 1.0) for a, b in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
-            for key, body, part in parts:
-                ids = words.text(body.as_py()) + tail
+            shares = batch.column(2).to_pylist() if share else [1.0] * len(batch)
+            bodies = (ids for group in groups(b.as_py() for b in batch.column(1)) for ids in words.texts(group))
+            for key, ids, part in zip(batch.column(0).to_pylist(), bodies, shares, strict=True):
+                ids += tail
                 held.append((key, 0, ids, min(1.0, max(0.0, 1.0 if part is None else part))))
                 total += len(ids) // 4
                 if total >= BLOCK_TOKENS or len(held) >= BLOCK_ITEMS:
