@@ -36,7 +36,18 @@ def dropped(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Bytes of an Arrow batch. Each task holds a few copies of one, in the executor's JVM and in its Python worker.
+BATCH = "16m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the memory that long texts take between Spark and Python, for this session's later queries."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    """A table of the data folder, with the session's Arrow batches bounded."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
