@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from velaspan.llm.bpe import op1_bpe_roundtrip
 from velaspan.llm.langid import op10_language_mixture
 from velaspan.llm.neardup import op2_minhash_dedup
+from velaspan.llm.neighbours import op8_hnsw_neighbours
 from velaspan.llm.packing import op4_vector_packing
 from velaspan.llm.repetition import op9_repetition_rules
 from velaspan.llm.secrets import op6_secret_scan
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_substring_dedup,
         op4_vector_packing,
         op6_secret_scan,
+        op8_hnsw_neighbours,
         op9_repetition_rules,
         op10_language_mixture,
     )
