@@ -14,6 +14,8 @@ from velaspan.llm.packing import op4_vector_packing
 from velaspan.llm.repetition import op9_repetition_rules
 from velaspan.llm.secrets import op6_secret_scan
 from velaspan.llm.substrings import op3_substring_dedup
+from velaspan.llm.warc import ORACLE as OP5_SQL
+from velaspan.llm.warc import op5_arc_to_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -22,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_minhash_dedup,
         op3_substring_dedup,
         op4_vector_packing,
+        op5_arc_to_warc,
         op6_secret_scan,
         op8_hnsw_neighbours,
         op9_repetition_rules,
@@ -29,4 +32,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_arc_to_warc": OP5_SQL}
