@@ -1,5 +1,81 @@
-"""Corpus preparation in stages."""
-STAGES = []
+"""Corpus preparation: language ID, near-dedup, substring dedup, secret redaction, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run`
+writes it as Parquet in the shared folder and reads it back for the next one.
+All stages but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from velaspan.llm import langid, neardup, packing, secrets, substrings
+from velaspan.llm.workspace import documents, small_batches, stored
+
+#: Words of a passage that is removed when it repeats.
+WINDOW = 50
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose language is identified (text with letters) and write it into ``lang``.
+
+    Learns from four fifths of the rows that name a language; a document
+    without letters, or null, is rejected.
+    """
+    small_batches(spark)
+    model = langid.trained(docs.where(~langid.held_out()))
+    rest = [c for c in docs.columns if c not in ("doc_id", "lang")]
+    got = langid.identified(docs, model, keep=tuple(rest)).where("lang_pred <> 'und'")
+    return got.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least id of each near-duplicate group (five-word shingles, similarity 0.8)."""
+    small_batches(spark)
+    groups = neardup.near_duplicates(docs)
+    kept = groups.where("kept or component_id is null").select(F.col("doc_id").alias("_id")).distinct()
+    side = F.broadcast(kept) if kept.count() <= neardup.BROADCAST_IDS else kept
+    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages of WINDOW or more words that stand anywhere else out of the texts; texts left without words go."""
+    small_batches(spark)
+    got = substrings.removed(docs, WINDOW)
+    out = got.where("_left > 0 or _gone = 0").drop("_left", "_gone")
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every secret in the texts by a mark."""
+    out = secrets.redacted(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all that is left, in sequences of at most 4096."""
+    import public_tokenizers
+
+    small_batches(spark)
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language", language),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("secret_scan", secret_scan),
+    ("pack", pack),
+]
+
+#: No SQL can express these stages; tests hold them against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn over the whole of ``documents``."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from velaspan.llm.bpe import op1_bpe_roundtrip
+from velaspan.llm.kneserney import op7_kneser_ney_quality
 from velaspan.llm.langid import op10_language_mixture
 from velaspan.llm.neardup import op2_minhash_dedup
 from velaspan.llm.neighbours import op8_hnsw_neighbours
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_vector_packing,
         op5_arc_to_warc,
         op6_secret_scan,
+        op7_kneser_ney_quality,
         op8_hnsw_neighbours,
         op9_repetition_rules,
         op10_language_mixture,
