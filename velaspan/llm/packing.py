@@ -17,7 +17,7 @@ from velaspan.llm.memory import Memory, groups
 from velaspan.llm.workspace import documents, raw
 
 #: Words, and parts of words, whose ids a worker remembers in each of two generations (about 200 bytes each).
-CACHE = 150_000
+CACHE = 300_000
 #: Tokens and examples that are packed together; more memory, better choice.
 BLOCK_TOKENS, BLOCK_ITEMS = 2_000_000, 2_000
 
@@ -25,10 +25,11 @@ BLOCK_TOKENS, BLOCK_ITEMS = 2_000_000, 2_000
 class WordIds:
     """Ids (little-endian 32-bit) of texts. One per worker process, by :func:`word_ids`.
 
-    The tokeniser drops white space, so a text's ids are those of its words in
-    turn; a word of ASCII letters, digits and other signs falls into the
-    tokeniser's own pre-tokens by a plain pattern. Unknown pre-tokens are
-    encoded together in one text, and told apart by the ids that end a word.
+    The tokeniser drops white space and folds case before it cuts. A text of
+    ASCII and Latin letters is cut the same way by a plain pattern; its ids are
+    those of the parts in turn. Unknown parts are encoded together in one
+    text, and told apart by the ids that end a word. In other texts the words
+    between white space are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -40,7 +41,9 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.sign = vocabulary["~</w>"]
-        self.cut = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+").findall
+        # letters whose case folds one to one, and which never compose with each other
+        self.other = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]").search
+        self.cut = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+").findall
         self.parts, self.words = Memory(self._parts, CACHE), Memory(self._words, CACHE)
 
     def _ids(self, text: str) -> np.ndarray:
@@ -65,23 +68,29 @@ class WordIds:
         return [data[a:b] for a, b in zip([0, *(4 * stops + 4).tolist()], [*(4 * stops).tolist(), len(data)], strict=True)]
 
     def _words(self, words: list[bytes]) -> list[bytes]:
-        out = dict.fromkeys(words, b"")
-        plain = {w: self.cut(w.lower()) for w in words if w.isascii() and b"'" not in w}
-        known = self.parts.having({p for c in plain.values() for p in c})
-        for w, parts in plain.items():
-            out[w] = b"".join([known[p] for p in parts])
-        rest = [w for w in words if w not in plain and b"~" not in w]
-        if rest:
-            out.update(zip(rest, self._apart(rest), strict=True))
-        for w in words:
-            if b"~" in w and w not in plain:
-                out[w] = self._ids(w.decode()).tobytes()
-        return list(out.values())
+        rest = [w for w in words if b"~" not in w]
+        out = dict(zip(rest, self._apart(rest) if rest else [], strict=True))
+        return [out[w] if w in out else self._ids(w.decode()).tobytes() for w in words]
 
     def texts(self, bodies: list[bytes]) -> list[bytes]:
-        split = [b.split() for b in bodies]
-        known = self.words.having(set().union(*split))
-        return [b"".join([known[w] for w in words]) for words in split]
+        cut: list[list[bytes]] = []
+        odd: set[int] = set()
+        for i, body in enumerate(bodies):
+            if body.isascii():
+                cut.append(self.cut(body.lower()))
+            elif self.other(text := body.decode()):
+                odd.add(i)
+                cut.append(body.split())
+            else:
+                cut.append(self.cut(text.lower().encode()))
+        strange = {w for i in odd for w in cut[i]}
+        words = self.words.having(strange) if strange else {}
+        plain = set()
+        for i, c in enumerate(cut):
+            if i not in odd:
+                plain.update(c)
+        parts = self.parts.having(plain)
+        return [b"".join([words[w] for w in c] if i in odd else [parts[p] for p in c]) for i, c in enumerate(cut)]
 
 
 @functools.lru_cache(2)
