@@ -100,7 +100,7 @@ def _contents(window: int):
                 hashes = None
                 for s in own:
                     if not s["hot"]:
-                        rows.append((s["key"], s["digest"], 0, s["weight"], b" ".join(words[s["start"] : s["start"] + s["n"] - 1 + window]), s["key"]))
+                        rows.append((s["key"], s["digest"], 0, s["weight"], b" ".join(words[s["start"] : s["start"] + s["n"] - 1 + window]), s["key"], s["digest"]))
                         continue
                     if hashes is None:
                         body = np.frombuffer(bodies[i].as_py(), np.uint8)
@@ -108,7 +108,7 @@ def _contents(window: int):
                         hashes = _range_hash(every)(np.arange(len(every) - window + 1), np.arange(window, len(every) + 1))
                     for k in range(s["n"]):
                         at = s["start"] + k
-                        rows.append((s["key"], s["digest"], k, s["weight"], b" ".join(words[at : at + window]), int(hashes[at].view(np.int64))))
+                        rows.append((s["key"], s["digest"], k, s["weight"], b" ".join(words[at : at + window]), int(hashes[at].view(np.int64)), None))
                 if len(rows) >= 20_000:
                     yield _batch(rows)
                     rows = []
@@ -119,8 +119,8 @@ def _contents(window: int):
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "digest", "at", "weight", "words", "deal"])
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "digest", "at", "weight", "words", "deal", "code"])
 
 
 class Automaton:
@@ -202,30 +202,25 @@ class Automaton:
 
 def _shard(window: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["key", "digest", "at"])
         ids: dict[bytes, int] = {}
         automaton = Automaton()
         sequences = []
-        same: dict[bytes, int] = {}
         for words, weight in zip(group["words"], group["weight"], strict=True):
-            same[words] = same.get(words, 0) + int(weight)
-        for words, weight in same.items():
             sequence = [ids.setdefault(w, len(ids)) for w in words.split(b" ")]
             sequences.append(sequence)
-            automaton.add(sequence, weight)
+            automaton.add(sequence, int(weight))
         automaton.finish(window)
-        found = {}
-        for words, sequence in zip(same, sequences, strict=True):
+        out = []
+        for deal, code, hot, sequence in zip(group["deal"], group["code"], group["hot"], sequences, strict=True):
             hit = np.concatenate([[0], np.array(automaton.repeats(sequence, window), np.int8), [0]])
             edge = np.diff(hit)
-            found[words] = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
-        out = [(k, d, at + a, at + b) for k, d, at, w in zip(group["key"], group["digest"], group["at"], group["words"], strict=True) for a, b in found[w]]
-        return pd.DataFrame(out, columns=["key", "digest", "a", "b"])
+            out += [(deal, code, hot, a, b) for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
+        return pd.DataFrame(out, columns=["deal", "code", "hot", "a", "b"])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc, spans): for each text with repeats, the word ranges [start, end) that repeated windows cover.
 
     ``doc`` is :func:`row_key`. A window is ``window`` consecutive words
@@ -239,26 +234,43 @@ def repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     again = stored(segments.join(keys, "key"), "again")
     variants = again.groupBy("key", "digest").agg(F.count("*").alias("weight"), F.min(F.struct("doc", "start", "n")).alias("at"))
     size = F.col("at.n") + F.lit(window - 1)
-    hot = variants.groupBy("key").agg(F.sum(size).alias("size")).where(f"size > {SHARD_WORDS}").select("key", F.lit(True).alias("hot"))
+    hot = variants.groupBy("key").agg(F.sum(size).alias("size")).where(f"size > {shard_words}").select("key", F.lit(True).alias("hot"))
     variants = stored(variants.join(hot, "key", "left").select("key", "digest", "weight", "at.*", F.coalesce("hot", F.lit(False)).alias("hot")), "variants")
     wanted = variants.groupBy("doc").agg(F.collect_list(F.struct("key", "digest", "weight", "start", "n", "hot")).alias("own"))
     ids = variants.select("doc").distinct()
     texts = base.join(F.broadcast(ids), "doc", "left_semi") if ids.count() <= BROADCAST_IDS else base
-    contents = stored(wanted.join(texts, "doc").select("own", "body").mapInArrow(_contents(window), "key long, digest long, at int, weight long, words binary, deal long"), "contents")
-    total = contents.agg(F.sum(F.size(F.split(F.col("words").cast("string"), " ")))).first()[0] or 0
-    shards = max(1, -(-int(total) // SHARD_WORDS))
-    found = contents.groupBy(F.pmod(F.xxhash64("deal"), F.lit(shards)).alias("shard")).applyInPandas(_shard(window), "key long, digest long, a int, b int")
-    places = again.join(stored(found, "repeats"), ["key", "digest"]).select("doc", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b") - 1 + window).alias("end"))
-    return places.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    contents = stored(wanted.join(texts, "doc").select("own", "body").mapInArrow(_contents(window), "key long, digest long, at int, weight long, words binary, deal long, code long"), "contents")
+    # one item for each distinct segment, or distinct window of a hot minimiser (code 0, whatever segment it is of)
+    whole = contents.where("code is not null").groupBy("deal", "code").agg(F.min("weight").alias("weight"), F.min("words").alias("words"), F.lit(False).alias("hot"))
+    cut = contents.where("code is null").select("key", "digest", "at", "deal", "weight", "words").dropDuplicates(["key", "digest", "at"])
+    single = cut.groupBy("deal").agg(F.sum("weight").alias("weight"), F.min("words").alias("words")).select("deal", F.lit(0).cast("long").alias("code"), "weight", "words", F.lit(True).alias("hot"))
+    items = stored(whole.union(single.select("deal", "code", "weight", "words", "hot")), "items")
+    total = items.agg(F.sum(F.size(F.split(F.col("words").cast("string"), " ")))).first()[0] or 0
+    shards = max(1, -(-int(total) // shard_words))
+    found = stored(items.groupBy(F.pmod(F.xxhash64("deal"), F.lit(shards)).alias("shard")).applyInPandas(_shard(window), "deal long, code long, hot boolean, a int, b int"), "repeats")
+    ranges = found.where("not hot").select(F.col("deal").alias("key"), F.col("code").alias("digest"), "a", "b")
+    windows = cut.select("key", "digest", "at", "deal").join(found.where("hot").select("deal"), "deal").select("key", "digest", F.col("at").alias("a"), (F.col("at") + 1).alias("b"))
+    places = again.join(ranges.union(windows), ["key", "digest"]).select("doc", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b") - 1 + window).alias("end"))
+    spans = places.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("all"))
+    none = F.expr("cast(array() AS array<struct<start:bigint,end:bigint>>)")
+    united = F.aggregate(
+        "all",
+        F.struct(none.alias("done"), F.col("all")[0]["start"].alias("start"), F.col("all")[0]["end"].alias("end")),
+        lambda acc, s: F.when(s["start"] <= acc["end"], F.struct(acc["done"].alias("done"), acc["start"].alias("start"), F.greatest(acc["end"], s["end"]).alias("end"))).otherwise(
+            F.struct(F.array_append(acc["done"], F.struct(acc["start"].alias("start"), acc["end"].alias("end"))).alias("done"), s["start"].alias("start"), s["end"].alias("end"))
+        ),
+        lambda acc: F.array_append(acc["done"], F.struct(acc["start"].alias("start"), acc["end"].alias("end"))),
+    )
+    return spans.select("doc", united.alias("spans"))
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text"):
     return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
 
 
-def with_spans(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_spans(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
     """``docs`` and ``_spans`` (null where nothing repeats). The spans go to the texts, not the other way, while they are small."""
-    spans = stored(repeated_spans(docs, window, id_col, text_col), "spans")
+    spans = stored(repeated_spans(docs, window, id_col, text_col, shard_words), "spans")
     size = spans.agg(F.sum(F.lit(40) + 24 * F.size("spans"))).first()[0] or 0
     side = F.broadcast(spans) if size <= BROADCAST_BYTES else spans
     return docs.withColumn("doc", row_key(id_col, text_col)).join(side, "doc", "left").drop("doc").withColumnRenamed("spans", "_spans")
