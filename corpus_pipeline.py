@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velaspan.llm import langid, neardup, packing, secrets, substrings
-from velaspan.llm.workspace import documents, small_batches, stored
+from velaspan.llm.workspace import documents, hidden, small_batches, stored
 
 #: Words of a passage that is removed when it repeats.
 WINDOW = 50
@@ -25,9 +25,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     small_batches(spark)
     model = langid.trained(docs.where(~langid.held_out()))
-    rest = [c for c in docs.columns if c not in ("doc_id", "lang")]
-    got = langid.identified(docs, model, keep=tuple(rest)).where("lang_pred <> 'und'")
-    return got.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    own, names, of = hidden(docs, "doc_id", "text", "lang")
+    rest = [c for c in names if c != of["doc_id"]]
+    got = langid.identified(own, model, keep=tuple(rest), id_col=of["doc_id"], text_col=of["text"]).where("lang_pred <> 'und'")
+    now = {of["doc_id"]: "doc_id", of["lang"]: "lang_pred"}
+    return got.select(*[F.col(now.get(c, c)).alias(c) for c in names]).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,21 +38,26 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = neardup.near_duplicates(docs)
     kept = groups.where("kept or component_id is null").select(F.col("doc_id").alias("_id")).distinct()
     side = F.broadcast(kept) if kept.count() <= neardup.BROADCAST_IDS else kept
-    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    own, _, of = hidden(docs, "doc_id")
+    return own.join(side, F.col(of["doc_id"]).eqNullSafe(F.col("_id")), "left_semi").toDF(*docs.columns)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` again, after texts have changed."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of WINDOW or more words that stand anywhere else out of the texts; texts left without words go."""
     small_batches(spark)
     got = substrings.removed(docs, WINDOW)
-    out = got.where("_left > 0 or _gone = 0").drop("_left", "_gone")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    own, names, _ = hidden(got)
+    return _counted(own.where(f"{names[-2]} > 0 or {names[-1]} = 0").select(*names[:-2]).toDF(*docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every secret in the texts by a mark."""
-    out = secrets.redacted(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return _counted(secrets.redacted(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

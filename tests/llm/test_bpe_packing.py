@@ -1,0 +1,111 @@
+import base64
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+P = pytest.importorskip("public_tokenizers")
+
+from velaspan.llm import bpe, packing  # noqa: E402
+
+EDGES = ["", " ", "a ", "a  b", "a \n b", "x\n ", "x \n\n  y", "it's 'll we've 'S", "　 x  y  z", "\x1c \x1d a\x1cb", "🙂 é 日本語", "a" * 3000, "\t x\r\n\r\nz  ", "<|endoftext|> hi", "नमस्ते", "1 23  456", "J̌x İI̊ ŉ", "a\x00b", "«été»! ~ x~y ÉTÉ's"]
+
+
+def texts(n=400):
+    r = random.Random(1)
+    return EDGES + ["".join(r.choice(" \n\t  a'sbéZ19.,!  \x1c日🙂tT~ßÀ") for _ in range(r.randint(0, 40))) for _ in range(n)]
+
+
+def frame(spark, values):
+    return spark.createDataFrame([(i, t, "x") for i, t in enumerate(values)], "doc_id long, text string, n_tokens string").repartition(3)
+
+
+def test_ids_are_those_of_the_ranks_and_decode_back(spark):
+    tiktoken = pytest.importorskip("tiktoken")
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    values = [*texts(), None]
+    got = {r["doc_id"]: r for r in bpe.encoded(frame(spark, values), path, P.PATTERN, with_ids=True).collect()}
+    assert len(got) == len(values)
+    for i, t in enumerate(values):
+        ids, r = own.encode_ordinary(t or ""), got[i]
+        assert list(r["ids"]) == ids and r["n_tokens"] == len(ids), t
+        assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert bytes(r["decoded"]) == (t or "").encode() and r["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+    assert bpe.encoded(frame(spark, values).limit(0), path, P.PATTERN).count() == 0
+
+
+def test_the_model_is_a_sentencepiece_model():
+    import sentencepiece
+
+    pieces = [bytes([b]) for b in range(256)] + [b"ab", b"abc", b"bc"]
+    sp = sentencepiece.SentencePieceProcessor(model_proto=bpe.serialised_model(pieces))
+    to = bpe.byte_characters()
+    assert len(set(to)) == 256
+    assert sp.encode("".join(to[b] for b in b"abcbc ")) == [257, 258, 32]
+    with pytest.raises(ValueError):
+        import tempfile
+
+        with tempfile.NamedTemporaryFile("wb", suffix=".r") as f:
+            f.write(base64.b64encode(b"a") + b" 1\n")
+            f.flush()
+            bpe.read_ranks(f.name)
+
+
+def laid_out(rows, ids, tokens):
+    by, seq = {}, {}
+    for r in rows:
+        by.setdefault(r["doc_id"], []).append(r)
+        seq.setdefault(r["sequence_id"], []).append(r)
+        own = ids[r["doc_id"]]
+        assert zlib.crc32(np.array(own[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(own)
+    assert set(by) == set(ids)
+    for k, rs in by.items():
+        at = 0
+        for r in sorted(rs, key=lambda r: r["start"]):
+            assert r["start"] == at and r["length"] > 0
+            at += r["length"]
+        assert at == len(ids[k])
+    for rs in seq.values():
+        at = 0
+        for r in sorted(rs, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= tokens
+    return {k: sum(r["length"] for r in rs) for k, rs in seq.items()}, seq
+
+
+def test_packing(spark):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    values = [*texts(), "wörd word " * 700, None]
+    ids = {i: [*t.encode(v or "", add_special_tokens=False).ids, 2] for i, v in enumerate(values)}
+    docs = frame(spark, values)
+    sizes, _ = laid_out(packing.packed(docs, path, tokens=256).collect(), ids, 256)
+    assert all(n & (n - 1) == 0 for n in sizes.values())  # no padding at all
+    sizes, seq = laid_out(packing.packed(docs, path, tokens=256, segments=5).collect(), ids, 256)
+    assert max(map(len, seq.values())) <= 5
+    assert packing.packed(docs.limit(0), path).count() == 0
+
+
+def test_loss_limit_and_whole_examples(spark):
+    from pyspark.sql import functions as F
+
+    path = P.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(i, "word " * (10 + i % 50)) for i in range(300)], "doc_id long, text string").coalesce(1).withColumn("share", F.when(F.col("doc_id") % 2 == 0, 1.0).otherwise(0.25))
+    ids = {i: [0] * (11 + i % 50) for i in range(300)}
+    rows = packing.packed(docs, path, tokens=200, segments=6, loss=120, cut=False, halve=False, loss_share="share").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append(r)
+        assert r["length"] == len(ids[r["doc_id"]])  # nothing is cut
+    for rs in by.values():
+        bears = sum(int(np.ceil(r["length"] * (1.0 if r["doc_id"] % 2 == 0 else 0.25))) for r in rs)
+        assert sum(r["length"] for r in rs) <= 200 and len(rs) <= 6 and bears <= 120
+    assert len(rows) == 300

@@ -11,12 +11,13 @@ per-byte random constants (odd base, modulo 2**64), passed through a finaliser.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
 U = np.uint64
 
 _rng = np.random.default_rng(0x5EED)
@@ -28,6 +29,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = U(0x9E3779B97F4A7C15)
 _BASE_INV = U(pow(int(_BASE), -1, 2**64))
 _powers: list[np.ndarray] = []
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -70,6 +72,14 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         last = max(first + 1, int(np.searchsorted(at, at[first] + limit, side="right")) - 1)
         yield first, last, raw[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker process lives on, and the next stage runs beside what it holds."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 class Words:

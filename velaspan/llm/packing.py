@@ -17,7 +17,7 @@ from velaspan.llm.memory import Memory, groups
 from velaspan.llm.workspace import documents, raw
 
 #: Words, and parts of words, whose ids a worker remembers in each of two generations (about 200 bytes each).
-CACHE = 300_000
+CACHE = 150_000
 #: Tokens and examples that are packed together; more memory, better choice.
 BLOCK_TOKENS, BLOCK_ITEMS = 2_000_000, 2_000
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velaspan.llm.workspace import documents
+from velaspan.llm.workspace import documents, hidden
 
 # The base patterns, their order and least lengths.
 ASSIGN = "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -174,18 +174,19 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **o
 
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with every span of its texts replaced by ``mark``, overlapping spans by one; null stays null."""
-    columns = docs.columns
-    got = scanned(docs, text_col=text_col, **options)
+    own, names, of = hidden(docs, text_col)
+    text = F.col(of[text_col])
+    got = scanned(own, text_col=of[text_col], **options)
     new = F.aggregate(
         "_spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out"),
+            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out"),
         ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(F.col(text_col)))),
+        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    return got.withColumn(text_col, F.when(F.size("_spans") == 0, F.col(text_col)).otherwise(new)).select(*columns)
+    return got.withColumn(of[text_col], F.when(F.size("_spans") == 0, text).otherwise(new)).select(*names).toDF(*docs.columns)
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from velaspan.llm import kernels as K
 from velaspan.llm.repetition import repeated
-from velaspan.llm.workspace import documents, raw, stored
+from velaspan.llm.workspace import documents, hidden, raw, stored
 
 #: Words of a gram that can be a minimiser.
 GRAM = 8
@@ -272,8 +272,9 @@ def with_spans(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: s
     """``docs`` and ``_spans`` (null where nothing repeats). The spans go to the texts, not the other way, while they are small."""
     spans = stored(repeated_spans(docs, window, id_col, text_col, shard_words), "spans")
     size = spans.agg(F.sum(F.lit(40) + 24 * F.size("spans"))).first()[0] or 0
+    spans = spans.select(F.col("doc").alias("_doc"), F.col("spans").alias("_spans"))
     side = F.broadcast(spans) if size <= BROADCAST_BYTES else spans
-    return docs.withColumn("doc", row_key(id_col, text_col)).join(side, "doc", "left").drop("doc").withColumnRenamed("spans", "_spans")
+    return docs.withColumn("_own", row_key(id_col, text_col)).join(side, F.col("_own") == F.col("_doc"), "left").drop("_own", "_doc")
 
 
 def _mask(n: int, spans) -> np.ndarray:
@@ -320,12 +321,13 @@ def removed(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col:
     A removed word goes with the white space behind it; all else stays as it
     was. A null text stays null.
     """
-    got = with_spans(docs, window, id_col, text_col)
-    rest = [c for c in docs.columns if c != text_col]
-    base = got.select(raw(text_col).alias("_body"), "_spans", *rest, F.col(text_col).isNull().alias("_null"))
+    own, names, of = hidden(docs, id_col, text_col)
+    got = with_spans(own, window, of[id_col], of[text_col])
+    rest = [c for c in names if c != of[text_col]]
+    base = got.select(raw(of[text_col]).alias("_body"), "_spans", *rest, F.col(of[text_col]).isNull().alias("_null"))
     kind = "_new string, _left long, _gone long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[2:])
-    out = base.mapInArrow(_cut, kind).withColumn(text_col, F.when(~F.col("_null"), F.col("_new")))
-    return out.select(*docs.columns, "_left", "_gone")
+    out = base.mapInArrow(_cut, kind).withColumn(of[text_col], F.when(~F.col("_null"), F.col("_new")))
+    return out.select(*names, "_left", "_gone").toDF(*docs.columns, "_left", "_gone")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str, window: int = 35) -> DataFrame:

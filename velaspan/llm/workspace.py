@@ -54,3 +54,13 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 def raw(column: str | Column) -> Column:
     """The UTF-8 bytes of a text column; null is empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("binary")
+
+
+def hidden(docs: DataFrame, *roles: str) -> tuple[DataFrame, list[str], dict[str, str]]:
+    """``docs`` under names that no step uses, those names in order, and the name of each role's column.
+
+    Operators that carry all columns along work on these, so that a column of
+    the input may have any name; ``toDF`` with the old names ends it.
+    """
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names, {r: names[docs.columns.index(r)] for r in roles}
