@@ -22,7 +22,7 @@ def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
 
     Files are read whole only in this diagnostic, one task a file.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "content"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "content"))
     return files.where(F.trim("content") != "").where(F.try_parse_json("content").isNull()).select("file", (F.col("at") + 1).alias("line"), "content")
 
 
