@@ -119,3 +119,9 @@ def literal_spans(text: str, needle: str) -> Column:
         f" aggregate(slice({pieces}, 1, size({pieces}) - 1), named_struct('at', 0, 'out', cast(array() AS array<struct<start:int,end:int>>)),"
         f" (acc, p) -> named_struct('at', acc.at + length(p) + length({needle}), 'out', array_append(acc.out, named_struct('start', acc.at + length(p), 'end', acc.at + length(p) + length({needle})))), acc -> acc.out))"
     )
+
+
+def replaced(text: str, values: str) -> Column:
+    """The column ``text`` with each slot that the map ``values`` (slot -> value) knows replaced; others stay, and values are not looked at again."""
+    slot = "'\\\\{\\\\{[^{}]+\\\\}\\\\}'"
+    return F.expr(f"aggregate(arrays_zip(regexp_extract_all({text}, {slot}, 0), split({text}, {slot}, -1)), '', (acc, x) -> concat(acc, x.`1`, coalesce(try_element_at({values}, x.`0`), x.`0`, '')))")

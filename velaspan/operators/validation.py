@@ -76,6 +76,19 @@ def structural_error(min_messages: int = 6, agent_last: bool = True) -> Column:
     )
 
 
+def treatment_error(expected: str = "slots", masked: str = "masked", keep: str = "keep", reason: str = "reason") -> Column:
+    """Older format: the planned treatments (slot, type, substitute) must be listed in full, explanations must be there."""
+    wanted = F.transform(expected, lambda e: F.struct(e["slot"].alias("slot"), e["type"].alias("type"), e["substitute"].alias("substitute")))
+    same = (F.size(masked) == F.size(wanted)) & F.forall(wanted, lambda w: F.exists(masked, lambda m: (m["slot"] == w["slot"]) & (m["type"] == w["type"]) & (m["substitute"] == w["substitute"])))
+    return F.when(~F.coalesce(same, F.lit(False)), "treatments").when(F.col(keep).isNull() | F.exists(keep, lambda k: k.isNull()) | F.col(reason).isNull(), "explanations")
+
+
+def revalidated(chats: DataFrame) -> DataFrame:
+    """Stored chats checked again; the earlier verdict stays as ``previous`` (state, error)."""
+    before = chats.withColumn("previous", F.struct("state", "error")).drop("state", "error")
+    return prepared(before)
+
+
 def coherence_signals() -> Column:
     """Claims of the description that the user never made."""
     said, summary = F.lower(dialogue(sender=USER)), F.lower("description")
