@@ -59,17 +59,28 @@ def zero_shot(results: DataFrame, column: str = "entities") -> DataFrame:
 
 
 def judged(native: DataFrame, messages: DataFrame, model: Model) -> DataFrame:
-    """Native rows with ``type``, content bounds and ``fate``: error, ignored, below or kept; and ``ignored_as``."""
+    """Native rows with ``type``, content bounds and text, and ``fate``: error, ignored, below or kept; and ``ignored_as``.
+
+    Entities are gathered by message, so that each text is joined once.
+    """
     table = F.create_map(*[F.lit(x) for k, v in model.labels.items() for x in (k, v or "")])
-    joined = native.join(messages.select("id", "idx", F.col("text").alias("message")), ["id", "idx"], "left")
-    bounds = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("message"))
-    finite = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))
-    fine = F.coalesce(F.map_contains_key(table, F.col("label")) & bounds & finite, F.lit(False))
-    lo, hi = T.trimmed(F.col("message"), F.col("start"), F.col("end"))
-    kind = F.nullif(F.try_element_at(table, F.col("label")), F.lit(""))
-    fate = F.when(~fine, "error").when((lo >= hi) | kind.isNull(), "ignored").when(F.col("score") < model.threshold, "below").otherwise("kept")
-    named = F.when(fine & (lo >= hi), F.concat("label", F.lit(EMPTY))).when(fine & kind.isNull(), F.col("label"))
-    return joined.select("id", "idx", "ord", "label", F.when(fine, lo).alias("start"), F.when(fine, hi).alias("end"), "score", kind.alias("type"), fate.alias("fate"), named.alias("ignored_as"), "message")
+    own = native.groupBy("id", "idx").agg(F.collect_list(F.struct("ord", "label", "start", "end", "score")).alias("_l"))
+    got = own.join(messages.select("id", "idx", F.col("text").alias("_m")), ["id", "idx"], "left")
+
+    def one(x: Column) -> Column:
+        bounds = (x["start"] >= 0) & (x["start"] < x["end"]) & (x["end"] <= F.length("_m"))
+        finite = x["score"].isNotNull() & ~F.isnan(x["score"]) & (F.abs(x["score"]) < float("inf"))
+        fine = F.coalesce(F.map_contains_key(table, x["label"]) & bounds & finite, F.lit(False))
+        lo, hi = T.trimmed(F.col("_m"), x["start"], x["end"])
+        kind = F.nullif(F.try_element_at(table, x["label"]), F.lit(""))
+        fate = F.when(~fine, "error").when((lo >= hi) | kind.isNull(), "ignored").when(x["score"] < model.threshold, "below").otherwise("kept")
+        named = F.when(fine & (lo >= hi), F.concat(x["label"], F.lit(EMPTY))).when(fine & kind.isNull(), x["label"])
+        return F.struct(
+            x["ord"].alias("ord"), x["label"].alias("label"), F.when(fine, lo).alias("start"), F.when(fine, hi).alias("end"), x["score"].alias("score"),
+            kind.alias("type"), fate.alias("fate"), named.alias("ignored_as"), F.when(fine, T.slice_of(F.col("_m"), lo, hi)).alias("text"),
+        )
+
+    return got.select("id", "idx", F.explode(F.transform("_l", one)).alias("r")).select("id", "idx", "r.*")
 
 
 def ignored_labels(rows: DataFrame) -> DataFrame:
@@ -80,7 +91,7 @@ def ignored_labels(rows: DataFrame) -> DataFrame:
 def detections(rows: DataFrame, model: Model) -> DataFrame:
     """All kept entities as detections, overlaps included, with their source."""
     source = F.struct(F.lit("ner").alias("detector"), F.lit(model.name).alias("name"), F.col("label").alias("native_type"), "score")
-    return rows.where("fate = 'kept'").select("id", T.field_of(F.col("idx")).alias("field"), "start", "end", T.slice_of(F.col("message"), F.col("start"), F.col("end")).alias("text"), "type", F.array(source).alias("sources"), "ord")
+    return rows.where("fate = 'kept'").select("id", T.field_of(F.col("idx")).alias("field"), "start", "end", "text", "type", F.array(source).alias("sources"), "ord")
 
 
 def normalised(rows: DataFrame, messages: DataFrame, model: Model, types: Sequence[str] | None = None) -> DataFrame:

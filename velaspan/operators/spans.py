@@ -25,17 +25,30 @@ def overlap_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str] = MESSAGE) ->
     return a.join(right, list(keys)).where("start < b_end and end > b_start")
 
 
+def sliced(spans: DataFrame, messages: DataFrame) -> DataFrame:
+    """Spans with ``slice``, the text they cover, and ``n_chars`` of their message (both null without one).
+
+    Spans are gathered by message first, so that each text is joined once and
+    not copied for every span.
+    """
+    rest = [c for c in spans.columns if c not in MESSAGE]
+    own = spans.groupBy(*MESSAGE).agg(F.collect_list(F.struct(*rest)).alias("_l"))
+    got = own.join(messages.select(*MESSAGE, F.col("text").alias("_m")), list(MESSAGE), "left")
+    cut = F.transform("_l", lambda x: F.struct(*[x[c].alias(c) for c in rest], T.slice_of(F.col("_m"), x["start"], x["end"]).alias("slice")))
+    return got.select(*MESSAGE, F.length("_m").alias("n_chars"), F.explode(cut).alias("_s")).select(*MESSAGE, "_s.*", "n_chars")
+
+
 def invalid_spans(spans: DataFrame, messages: DataFrame, types: Sequence[str]) -> DataFrame:
     """(id, idx, start, end, type, reason) for every span that breaks a rule; valid spans give no row."""
-    joined = spans.join(messages.select("id", "idx", F.col("text").alias("message")), ["id", "idx"], "left")
+    joined = sliced(spans, messages)
     before = Window.partitionBy("id", "idx").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     reason = (
         F.when(F.col("idx").isNull() | F.col("type").isNull() | ~F.col("type").isin(*types), "field or type")
-        .when(F.col("message").isNull() | F.col("start").isNull() | F.col("end").isNull(), "position")
-        .when(~((F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("message"))), "bounds")
+        .when(F.col("n_chars").isNull() | F.col("start").isNull() | F.col("end").isNull(), "position")
+        .when(~((F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.col("n_chars"))), "bounds")
     )
     if "text" in spans.columns:
-        reason = reason.when(F.col("text").isNotNull() & (F.col("text") != T.slice_of(F.col("message"), F.col("start"), F.col("end"))), "text")
+        reason = reason.when(F.col("text").isNotNull() & (F.col("text") != F.col("slice")), "text")
     reason = reason.when(F.coalesce(F.max("end").over(before) > F.col("start"), F.lit(False)), "overlap")
     return joined.withColumn("reason", reason).where("reason is not null").select("id", "idx", "start", "end", "type", "reason")
 
@@ -68,22 +81,27 @@ def adjacent_merged(spans: DataFrame, messages: DataFrame, types: Sequence[str]
     ``spans`` are overlap-free, with id, idx, start, end, type, score and
     native. Neighbours join if their type is in ``types`` or their native
     labels are a pair of ``native_pairs``. The score is the least. Whether a
-    span joins depends on the one before it alone, so islands come from a
-    running sum of breaks.
+    span joins depends on the one before it alone. Each message's spans are
+    gathered, its text is joined once, and runs are cut within the row.
     """
-    w = Window.partitionBy("id", "idx").orderBy("start")
-    near = spans.join(messages.select("id", "idx", F.col("text").alias("message")), ["id", "idx"])
-    near = near.withColumns({f"p_{c}": F.lag(c).over(w) for c in ("end", "type", "native")})
-    allowed = F.lit(False)
-    if types:
-        allowed = allowed | F.col("type").isin(*types)
-    for a, b in native_pairs:
-        allowed = allowed | ((F.col("p_native") == a) & (F.col("native") == b))
-    gap = T.slice_of(F.col("message"), F.col("p_end"), F.col("start"))
-    joins = F.coalesce(allowed & (F.col("p_type") == F.col("type")) & gap.rlike("^(?U)[\\s,]*$"), F.lit(False))
-    near = near.withColumn("island", F.sum(F.when(joins, 0).otherwise(1)).over(w))
-    out = near.groupBy("id", "idx", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("type").alias("type"), F.min("score").alias("score"), F.min("message").alias("message"))
-    return out.select("id", "idx", "start", "end", "type", "score", T.slice_of(F.col("message"), F.col("start"), F.col("end")).alias("text"))
+    own = spans.groupBy(*MESSAGE).agg(F.array_sort(F.collect_list(F.struct("start", "end", "type", "score", "native"))).alias("_s"))
+    got = own.join(messages.select(*MESSAGE, F.col("text").alias("_m")), list(MESSAGE))
+
+    def joins(x: Column, i: Column) -> Column:
+        p = F.get("_s", i - 1)
+        allowed = F.lit(False)
+        if types:
+            allowed = allowed | x["type"].isin(*types)
+        for a, b in native_pairs:
+            allowed = allowed | ((p["native"] == a) & (x["native"] == b))
+        gap = T.slice_of(F.col("_m"), p["end"], x["start"])
+        return F.when(allowed & (p["type"] == x["type"]), F.coalesce(gap.rlike("^(?U)[\\s,]*$"), F.lit(False))).otherwise(False)
+
+    heads = F.filter(F.transform("_s", lambda x, i: F.when(~joins(x, i), i)), lambda i: i.isNotNull())
+    got = got.withColumn("_h", heads)
+    run = F.transform("_h", lambda a, k: F.slice("_s", a + 1, F.coalesce(F.get("_h", k + 1), F.size("_s")) - a))
+    one = lambda g: F.struct(g[0]["start"].alias("start"), F.element_at(g, -1)["end"].alias("end"), g[0]["type"].alias("type"), F.array_min(F.transform(g, lambda x: x["score"])).alias("score"), T.slice_of(F.col("_m"), g[0]["start"], F.element_at(g, -1)["end"]).alias("text"))
+    return got.select(*MESSAGE, F.explode(F.transform(run, one)).alias("m")).select(*MESSAGE, "m.*")
 
 
 def shared_characters(a: DataFrame, b: DataFrame, keys: Sequence[str] = MESSAGE) -> DataFrame:
