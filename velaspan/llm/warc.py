@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velaspan.llm.workspace import documents, fresh
+from velaspan.llm.workspace import documents, dropped, fresh, stored
 
 # The header lines of the two ARC versions.
 FIELDS = {
@@ -24,6 +24,8 @@ FIELDS = {
 }
 #: What stands for a page's missing fetch date and address in an archive.
 DATE, ADDRESS = "20240101000000", "0.0.0.0"
+#: How archives are written: Hadoop's fastest level, as most of the CPU time goes into compression.
+GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 #: Payloads below this are never revisits.
 LEAST = 1000
 #: Repeated payloads up to this number are broadcast (50 bytes each); more are joined by a shuffle.
@@ -61,7 +63,7 @@ def _arc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_arc(pages: DataFrame, path: str) -> None:
     """Lay pages (page_id, url, html) out as gzipped ARC files, one a partition; null html is empty."""
     base = pages.select(F.col("page_id").cast("long"), "url", "html")
-    base.mapInArrow(_arc_rows, "value string").write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    base.mapInArrow(_arc_rows, "value string").write.option("lineSep", "\n").options(**GZIP).text(path)
 
 
 def arc_records(content: bytes) -> Iterator[dict]:
@@ -169,7 +171,7 @@ def convert(spark: SparkSession, arc: str, warc: str, least: int = LEAST) -> Non
         side = F.broadcast(repeats) if repeats.count() <= BROADCAST_REPEATS else repeats
         both = read_arc(spark, arc).join(side, "digest", "left")
         other: Column = F.col("first_date").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("size") >= least)
-        both.withColumn("revisit", other).mapInArrow(_warc_rows, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(warc)
+        both.withColumn("revisit", other).mapInArrow(_warc_rows, "value string").write.option("lineSep", "\r\n\r\n").options(**GZIP).text(warc)
     finally:
         repeats.unpersist()
 
@@ -227,7 +229,8 @@ def converted(pages: DataFrame, least: int = LEAST) -> DataFrame:
     arc, warc = fresh(spark, "arc"), fresh(spark, "warc")
     write_arc(pages, arc)
     convert(spark, arc, warc, least)
-    got = read_warc(spark, warc)
+    dropped(spark, arc)
+    got = stored(read_warc(spark, warc), "warc-records")
     targets = got.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")).distinct()
     plain = got.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long"))
     again = got.where("record_type = 'revisit'").join(targets, "refers_to_id", "left")
