@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Scopes and metrics of the report, and those that are compared between models.
 SCOPES = ("micro", "PERSON", "LOCATION")
@@ -38,8 +39,6 @@ def units(conversations: DataFrame, outcomes: DataFrame, addresses: DataFrame |
 
 def numbered(ids: DataFrame) -> DataFrame:
     """(id, pos): ids numbered from 0 in their order. The number of conversations of an evaluation is small beside its spans."""
-    from pyspark.sql.window import Window
-
     return ids.select("id").distinct().withColumn("pos", F.row_number().over(Window.orderBy("id")) - 1)
 
 
@@ -122,10 +121,12 @@ def differences(values: DataFrame, estimates: DataFrame, models: Sequence[str],
 
 
 def index_interval(values: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The plainer interval: sorted values at int(.025 n) and int(.975 n) - 1."""
-    got = values.where("value is not null").groupBy(*by).agg(F.array_sort(F.collect_list("value")).alias("v"))
-    n = F.size("v")
-    return got.select(*by, F.col("v")[F.floor(0.025 * n).cast("int")].alias("lo"), F.col("v")[F.floor(0.975 * n).cast("int") - 1].alias("hi"))
+    """The plainer interval: sorted values at int(.025 n) and int(.975 n) - 1, counted from 0."""
+    known = values.where("value is not null")
+    sizes = known.groupBy(*by).agg(F.count("*").alias("_n"))
+    ranked = known.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("value")) - 1).join(sizes, list(by))
+    at = lambda i: F.max(F.when(F.col("_i") == i, F.col("value")))
+    return ranked.groupBy(*by).agg(at(F.floor(0.025 * F.col("_n"))).alias("lo"), at(F.floor(0.975 * F.col("_n")) - 1).alias("hi"))
 
 
 def markdown(report: DataFrame) -> str:

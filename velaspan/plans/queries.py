@@ -647,3 +647,68 @@ def fenced_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def provider_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.concat(F.when(F.col("p_size") % 2 == 0, "Claude-").otherwise("x-"), F.col("p_brand")).alias("label")
     return fx.table(spark, sf_dir, "part").select(label).distinct().select("label", V.provider_of(F.col("label")).alias("provider"))
+
+
+# --- further reports -------------------------------------------------------------------------
+
+
+@query(f"""SELECT state, count(*) AS n FROM ({fx.OUTCOMES}) GROUP BY state""")
+def state_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.outcomes(spark, sf_dir).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT s.type, d.sender, count(*) AS n FROM ({STRICT_SQL}) s JOIN ({fx.DOCS}) d ON s.id = d.id GROUP BY s.type, d.sender""")
+def category_role_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = M.detected(fx.docs(spark, sf_dir).select("id", "sender", "text"), fx.STRICT)
+    return rows.groupBy("type", "sender").agg(F.count("*").alias("n"))
+
+
+@query("""WITH r AS (SELECT o_orderstatus AS model, o_totalprice AS value, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) - 1 AS i, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)
+SELECT model, max(value) FILTER (i = CAST(floor(0.025 * n) AS BIGINT)) AS lo, max(value) FILTER (i = CAST(floor(0.975 * n) AS BIGINT) - 1) AS hi FROM r GROUP BY model""")
+def index_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("model"), F.col("o_totalprice").alias("value"))
+    return R.index_interval(rows, ["model"])
+
+
+@query("""SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'segnalato' ELSE 'non_revisionato' END AS review FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def reviewed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records, toxic labels as review notes."""
+    sha = F.lit("s")
+    records = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "doc_id", sha.alias("source_sha256"))
+    notes = fx.table(spark, sf_dir, "labels").where("toxic = 1").select(sha.alias("sha256"), F.col("doc_id").cast("string").alias("id"), F.lit("toxic").alias("note"))
+    return X.reviewed(records, notes).select("doc_id", "review")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' AND c_nationkey < 12 THEN 'in bozza' ELSE '' END AS signals FROM customer""")
+def coherence_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary that claims a draft, where the user said so only in some nations."""
+    said = F.when(F.col("c_nationkey") < 12, "aiuto").otherwise("la scheda e' IN BOZZA")
+    rows = fx.table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.array(F.struct(F.lit("Utente").alias("sender"), said.alias("text")), F.struct(F.lit("Agente").alias("sender"), F.lit("in bozza?").alias("text"))).alias("messages"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "Pratica in bozza").otherwise("Altro").alias("description"),
+    )
+    return rows.select("c_custkey", F.array_join(V.coherence_signals(), ",").alias("signals"))
+
+
+@query(f"""{_ADDRESS} SELECT CAST(k AS VARCHAR) AS id, CASE WHEN r IS NULL THEN 'street_civic' END AS problem FROM b""")
+def child_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses and the nested views of those that the catalogue could split."""
+    rows = _addresses(spark, sf_dir)
+    plain = rows.withColumn("components", F.lit(None).cast(rows.schema["components"].dataType))
+    towns = fx.table(spark, sf_dir, "region").select(F.col("r_name").alias("name"))
+    known = spark.createDataFrame([], "id string, field string, start int, end int, type string")
+    return A.children(plain, A.expanded(plain, known, towns)).select("id", "problem")
+
+
+@query("""SELECT count(DISTINCT lang || '|' || source) AS variants, count(DISTINCT lang || '|' || source) = 1 AS uniform FROM documents""")
+def uniform_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.uniform(fx.table(spark, sf_dir, "documents"), ["lang", "source"])
+
+
+@query(f"""SELECT doc_id, start, "end", type, value FROM (SELECT s.*, d.text FROM ({STRICT_SQL}) s JOIN ({fx.DOCS}) d ON s.id = d.id) WHERE substr(text, start + 1, "end" - start) <> value OR type NOT IN ('EMAIL', 'PHONE', 'PASSWORD')""")
+def invalid_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strict matches under the older type set: LOCATION is not in it."""
+    rows = fx.spans(spark, sf_dir, fx.STRICT)
+    bad = S.invalid_spans(rows.select("id", "idx", "start", "end", "type", F.col("value").alias("text")), fx.docs(spark, sf_dir), M.MASKING_TYPES)
+    return bad.where("reason <> 'overlap'").join(rows.select("id", "idx", "start", "end", "type", "value", "doc_id"), ["id", "idx", "start", "end", "type"]).select("doc_id", "start", "end", "type", "value")
