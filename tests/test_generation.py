@@ -62,3 +62,12 @@ def test_surveys(spark):
     surveys = spark.createDataFrame([("A", "a", "imprese"), ("B", "b", "imprese"), ("C", "c", "altro")], "code string, name string, respondent string")
     assert {tuple(r) for r in G.survey_problems(scenarios, surveys).collect()} == {("t", "C", "respondent"), ("t", "Z", "unknown")}
     assert G.survey_choice(scenarios.where("scenario = 's'"), surveys, 1).first()["survey"] in ("a", "b")
+
+
+def test_references(spark):
+    kind = "array<struct<reference_id:string,reference:string,type:string,hypothesis:string,state:string>>"
+    rows = [([("n", "{{N}}", "PERSON")], "A1", "Uno", None, 2024, [("x", "lit", "OFFICE", "REVIEW", "DRAFT")]), ([], None, None, "Roma", None, [])]
+    df = spark.createDataFrame(rows, f"e array<struct<entity_id:string,slot:string,type:string>>, c string, n string, t string, y int, s {kind}")
+    got = [r[0] for r in df.select(G.reference_list(*[F.col(c) for c in "ecntys"])).collect()]
+    assert [(x["reference_id"], x["reference"], x["hypothesis"]) for x in got[0]] == [("n", "{{N}}", "MASK"), ("codice_indagine", "A1", "KEEP"), ("nome_indagine", "Uno", "KEEP"), ("periodo_ricerca", "2024", "KEEP"), ("x", "lit", "REVIEW")]
+    assert [x["type"] for x in got[1]] == ["LOCATION"]

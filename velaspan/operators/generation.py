@@ -156,3 +156,20 @@ def survey_problems(scenarios: DataFrame, surveys: DataFrame) -> DataFrame:
 def slot_choices(entities: Sequence[str]) -> list[str]:
     """Slot names of entities: {{name}}."""
     return ["{{" + e + "}}" for e in entities]
+
+
+def reference_list(entities: Column, survey_code: Column, survey_name: Column, town: Column, year: Column, static: Column) -> Column:
+    """What a conversation refers to, each with the policy that is assumed at first: array of (reference_id, reference, type, hypothesis, state).
+
+    ``entities``: array of (entity_id, slot, type), to be masked. Survey and
+    context are kept; null ones are left out. ``static``: references of the
+    scenario in the result's own form.
+    """
+
+    def one(key: Column | str, reference: Column, kind: Column | str, policy: str) -> Column:
+        lit = lambda v: v if isinstance(v, Column) else F.lit(v)
+        return F.struct(lit(key).alias("reference_id"), reference.cast("string").alias("reference"), lit(kind).alias("type"), F.lit(policy).alias("hypothesis"), F.lit("APPROVED").alias("state"))
+
+    fixed = F.array(one("codice_indagine", survey_code, "COD_INDAGINE", "KEEP"), one("nome_indagine", survey_name, "INDAGINE", "KEEP"), one("comune_ricerca", town, "LOCATION", "KEEP"), one("periodo_ricerca", year, "DATE", "KEEP"))
+    own = F.transform(entities, lambda e: one(e["entity_id"], e["slot"], e["type"], "MASK"))
+    return F.concat(own, F.filter(fixed, lambda r: r["reference"].isNotNull()), static)
