@@ -146,6 +146,7 @@ def test_repeats_are_those_of_brute_force(spark, monkeypatch):
     monkeypatch.setattr(substrings, "BROADCAST_IDS", 0)
     monkeypatch.setattr(substrings, "BROADCAST_BYTES", 0)
     check_removed(spark, values, 35, shard_words=200)
+    check_removed(spark, values, 35, shard_words=200, broadcast_windows=0)
     check_removed(spark, values, 5)
 
 

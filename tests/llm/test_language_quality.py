@@ -176,3 +176,10 @@ def test_word_hashes_do_not_depend_on_place():
     assert w.count.tolist() == [2, 0, 1] and len(set(w.hashes()[:2].tolist())) == 1
     x = K.Words(np.frombuffer(b"abab AbaB", np.uint8), np.array([0, 4, 9])).hashes(lower=True)
     assert x[0] == x[1]
+
+
+def test_the_shortest_text_has_a_language(spark):
+    docs = spark.createDataFrame([(1, "a b", "aa"), (2, "é è", "bb")], "doc_id long, text string, lang string")
+    new = spark.createDataFrame([(1, "a"), (2, "é"), (3, "z")], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in L.identified(new, L.trained(docs)).collect()}
+    assert got[1] == "aa" and got[2] == "bb" and got[3] in ("aa", "bb")

@@ -82,3 +82,16 @@ def test_archive_query_is_its_sql(spark, data):
     columns = [c[0] for c in cursor.description]
     want = sorted(cursor.fetchall())
     assert sorted(tuple(r[c] for c in columns) for r in registry.QUERIES["op5_arc_to_warc"](spark, data).collect()) == want
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.ORACLE_SQL) - {"op5_arc_to_warc"}))
+def test_query_is_its_sql(spark, data, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{data}/documents.parquet')")
+    cursor = con.execute(registry.ORACLE_SQL[name])
+    columns = [c[0] for c in cursor.description]
+    want = sorted(cursor.fetchall())
+    df = registry.QUERIES[name](spark, data)
+    assert sorted(df.columns) == sorted(columns)
+    assert sorted(tuple(r[c] for c in columns) for r in df.collect()) == want

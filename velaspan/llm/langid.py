@@ -32,8 +32,10 @@ _FOLD[_LETTERLESS] = 32
 def cells(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, cell) of every n-gram with a letter: A-Z folded, other ASCII taken as one space each, runs of them as one."""
     rows = len(offsets) - 1
-    folded = _FOLD[data]
-    row = np.repeat(np.arange(rows), np.diff(offsets))
+    own = np.repeat(np.arange(rows), np.diff(offsets))
+    folded = np.full(len(data) + 2 * rows, 32, np.uint8)  # a space at either end: the shortest text has n-grams
+    folded[np.arange(len(data)) + 2 * own + 1] = _FOLD[data]
+    row = np.repeat(np.arange(rows), np.diff(offsets) + 2)
     keep = np.ones(len(folded), bool)
     if len(folded):
         keep[1:] = (folded[1:] != 32) | (folded[:-1] != 32) | (row[1:] != row[:-1])

@@ -11,6 +11,7 @@ from velaspan.llm.kneserney import op7_kneser_ney_quality
 from velaspan.llm.langid import op10_language_mixture
 from velaspan.llm.neardup import op2_minhash_dedup
 from velaspan.llm.neighbours import op8_hnsw_neighbours
+from velaspan.llm.oracles import OP2_SQL, OP3_SQL, OP9_SQL
 from velaspan.llm.packing import op4_vector_packing
 from velaspan.llm.repetition import op9_repetition_rules
 from velaspan.llm.secrets import op6_secret_scan
@@ -34,4 +35,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_arc_to_warc": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_minhash_dedup": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_arc_to_warc": OP5_SQL, "op9_repetition_rules": OP9_SQL}
