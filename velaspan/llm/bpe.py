@@ -15,6 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from velaspan.llm.kernels import give_back
 from velaspan.llm.memory import Memory, groups
 from velaspan.llm.workspace import documents
 
@@ -147,6 +148,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
                     out += [pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(texts, pa.binary())]
                 at += len(group)
                 yield pa.RecordBatch.from_arrays(out, names=names)
+            give_back()
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from velaspan.llm import kernels as K
-from velaspan.llm.workspace import documents, raw, stored
+from velaspan.llm.workspace import discard, documents, raw, stored
 
 #: Bytes of the longest n-gram; n-grams of up to 7 bytes fit a 64-bit key with their length.
 ORDER = 5
@@ -126,7 +126,9 @@ def trained(texts: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFra
     every, weights = model[0], bows[0]
     for m, b in zip(model[1:], bows[1:], strict=True):
         every, weights = every.union(m), weights.union(b)
-    return stored(every.join(weights, "key", "full_outer").select("key", F.log("p").alias("logp"), "bow"), "model")
+    out = stored(every.join(weights, "key", "full_outer").select("key", F.log("p").alias("logp"), "bow"), "model")
+    discard(*counts.values(), *model)
+    return out
 
 
 class Table:
@@ -261,14 +263,14 @@ def quality(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: f
     model = trained(base.where(F.col("trusted") & ~held), order)
     found = scored(base, model, order).select("doc_id", "lang", "trusted", F.length("body").cast("long").alias("n_bytes"), F.when(F.length("body") > 0, -F.col("total") / F.length("body")).alias("nats"))
     found = stored(found, "perplexities")
+    discard(model)
     bins = found.where(held & F.col("nats").isNotNull()).withColumn("at", F.ceil(F.col("nats") * 10_000)).withColumn("of", F.explode(F.array(F.col("lang"), F.lit(None).cast("string"))))
     bins = bins.groupBy("of", "at").agg(F.sum(F.when(F.col("of").isNull() & F.col("lang").isNull(), 0.5).otherwise(1.0)).alias("n"))
     order_ = Window.partitionBy("of").orderBy("at")
     cut = bins.withColumn("upto", F.sum("n").over(order_)).withColumn("all", F.sum("n").over(Window.partitionBy("of"))).where(F.col("upto") >= quantile * F.col("all") - 1e-9)
     cut = cut.groupBy("of").agg(F.min("at").alias("at"), F.max("all").alias("all")).select("of", "all", (F.exp(F.col("at") / 10_000) * slack).alias("threshold"))
-    cuts = {r["of"]: (r["all"], r["threshold"]) for r in cut.orderBy(F.desc("all")).limit(10_000).collect()}
-    common = cuts.pop(None, (0, None))[1]
-    own = {k: t for k, (n, t) in cuts.items() if n >= ENOUGH}
+    own = {r["of"]: r["threshold"] for r in cut.where(F.col("of").isNull() | (F.col("all") >= ENOUGH)).collect()}
+    common = own.pop(None, None)
     limit = F.lit(common).cast("double")
     if own:
         limit = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, t in own.items() for x in (k, t)]), F.coalesce("lang", F.lit(""))), limit)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from velaspan.llm import kernels as K
 from velaspan.llm.components import components
-from velaspan.llm.workspace import documents, raw, stored
+from velaspan.llm.workspace import discard, documents, raw, stored
 
 #: Shingles of one block of a bucket; a pair of blocks is compared in one task.
 BLOCK_SHINGLES = 1_000_000
@@ -162,7 +162,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         .select(F.col("rep").alias("doc_id"), "component", "band", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
     )
     late = stored(cells.join(texts, "doc_id").groupBy("band", "key", "p", "q").applyInPandas(_block(k, percent), "a long, b long"), "links")
-    final = components(star.union(late)).select(F.col("node").alias("rep"), "component")
+    final = components(star.union(late))
+    discard(member, texts, star, grouped, late)  # what follows reads the features and the last components
+    final = final.select(F.col("node").alias("rep"), "component")
     by_doc = sized.select("doc_id", "n_shingles", "d0", "d1").join(classes.select("n_shingles", "d0", "d1", "rep"), ["n_shingles", "d0", "d1"])
     out = by_doc.join(final, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = found.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from velaspan.llm.kernels import give_back
 from velaspan.llm.memory import Memory, groups
 from velaspan.llm.workspace import documents, raw
 
@@ -230,6 +231,7 @@ def _rows(path: str, end: int, limits: tuple[int, int, int], cut: bool, halve: b
                     total = sum(len(h[2]) // 4 - h[1] for h in held)
         if held:
             yield from flush(True)
+        give_back()
 
     return run
 

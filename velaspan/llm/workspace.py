@@ -27,7 +27,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back: later steps, and retries after a lost executor, start there."""
     spark, path = df.sparkSession, fresh(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`stored` that nothing which is still to run reads; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "_stored_at", None):
+            dropped(df.sparkSession, path)
 
 
 def dropped(spark: SparkSession, path: str) -> None:
@@ -37,7 +46,7 @@ def dropped(spark: SparkSession, path: str) -> None:
 
 
 #: Bytes of an Arrow batch. Each task holds a few copies of one, in the executor's JVM and in its Python worker.
-BATCH = "16m"
+BATCH = "8m"
 
 
 def small_batches(spark: SparkSession) -> None:
