@@ -19,19 +19,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velaspan.llm import kernels as K
 from velaspan.llm.repetition import repeated
-from velaspan.llm.workspace import documents, hidden, raw, stored
+from velaspan.llm.workspace import discard, documents, hidden, raw, stored
 
 #: Words of a gram that can be a minimiser.
 GRAM = 8
 #: Words of a shard; a minimiser with more than this is dealt by whole windows instead.
-SHARD_WORDS = 100_000
+SHARD_WORDS = 60_000
 #: Broadcast bounds, in rows and in bytes; beyond them the same join is shuffled.
 BROADCAST_IDS, BROADCAST_BYTES = 1_000_000, 32_000_000
+#: Repeated windows of hot minimisers (200 bytes each in a worker), up to which they are broadcast.
+BROADCAST_WINDOWS = 300_000
 
 
 def _sliding_min(values: np.ndarray, w: int) -> np.ndarray:
@@ -58,7 +60,6 @@ def _segments(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
             for first, last, data, offsets in K.slices(batch.column(1)):
                 words = K.Words(data, offsets)
                 if len(words.row) < window:
@@ -81,46 +82,78 @@ def _segments(window: int):
                 digest = _range_hash(hashes)(start, end)
                 own_repeat = twice[start + n - 1 + width] > twice[start]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(value[head].view(np.int64)), pa.array(digest.view(np.int64)), pa.array(keys[first + row]), pa.array((start - words.first[row]).astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(own_repeat)],
+                    [pa.array(value[head].view(np.int64)), pa.array(digest.view(np.int64)), batch.column(0).take(pa.array(first + row)), pa.array((start - words.first[row]).astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(own_repeat)],
                     names=["key", "digest", "doc", "start", "n", "own"],
                 )
 
     return run
 
 
+_CONTENTS = "key long, digest long, weight long, words binary, deal long, code long, hot boolean, deals array<long>, codes array<long>"
+
+
 def _contents(window: int):
-    """Words of the segments that a document stands for; segments of hot minimisers are cut into whole windows."""
+    """What the segments hold that a document stands for.
+
+    A segment gives a row with its words, dealt by its minimiser. A segment of
+    a hot minimiser gives a row with two hashes for each of its windows, and
+    its windows' words are added up, a row for each different one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            bodies = batch.column(1)
-            for i, own in enumerate(batch.column(0).to_pylist()):
-                words = bodies[i].as_py().split()
-                hashes = None
+            single: dict[tuple[int, int], list] = {}
+            for own, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = body.as_py().split()
+                pair = None
                 for s in own:
+                    start, n = s["start"], s["n"]
                     if not s["hot"]:
-                        rows.append((s["key"], s["digest"], 0, s["weight"], b" ".join(words[s["start"] : s["start"] + s["n"] - 1 + window]), s["key"], s["digest"]))
+                        rows.append((s["key"], s["digest"], s["weight"], b" ".join(words[start : start + n - 1 + window]), s["key"], s["digest"], False, None, None))
                         continue
-                    if hashes is None:
-                        body = np.frombuffer(bodies[i].as_py(), np.uint8)
-                        every = K.Words(body, np.array([0, len(body)])).hashes()
-                        hashes = _range_hash(every)(np.arange(len(every) - window + 1), np.arange(window, len(every) + 1))
-                    for k in range(s["n"]):
-                        at = s["start"] + k
-                        rows.append((s["key"], s["digest"], k, s["weight"], b" ".join(words[at : at + window]), int(hashes[at].view(np.int64)), None))
-                if len(rows) >= 20_000:
-                    yield _batch(rows)
-                    rows = []
-            if rows:
-                yield _batch(rows)
+                    if pair is None:
+                        data = np.frombuffer(body.as_py(), np.uint8)
+                        every = K.Words(data, np.array([0, len(data)])).hashes()
+                        ends = np.arange(window, len(every) + 1)
+                        pair = [_range_hash(h)(ends - window, ends).view(np.int64).tolist() for h in (every, K.mix(every + K.U(1)))]
+                    deals, codes = (p[start : start + n] for p in pair)
+                    rows.append((s["key"], s["digest"], s["weight"], None, None, None, True, deals, codes))
+                    for k, place in enumerate(zip(deals, codes, strict=True)):
+                        if place in single:
+                            single[place][0] += s["weight"]
+                        else:
+                            single[place] = [s["weight"], b" ".join(words[start + k : start + k + window])]
+                if len(rows) + len(single) >= 20_000:
+                    yield _batch(rows, single)
+                    rows, single = [], {}
+            yield _batch(rows, single)
 
     return run
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "digest", "at", "weight", "words", "deal", "code"])
+def _batch(rows: list[tuple], single: dict[tuple[int, int], list]) -> pa.RecordBatch:
+    rows = rows + [(None, None, weight, words, deal, code, True, None, None) for (deal, code), (weight, words) in single.items()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split(" ")[0] for x in _CONTENTS.split(", ")])
+
+
+def _marked(shared):
+    """Runs of repeated windows of hot segments, by a broadcast set of repeated windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = set(zip(*shared.value, strict=True))
+        for batch in batches:
+            out: list[tuple] = []
+            for key, digest, deals, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                hit = np.array([0, *(p in known for p in zip(deals, codes, strict=True)), 0], np.int8)
+                edge = np.diff(hit)
+                out += [(key, digest, int(a), int(b)) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["key", "digest", "a", "b"])
+
+    return run
 
 
 class Automaton:
@@ -220,7 +253,7 @@ def _shard(window: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(doc, spans): for each text with repeats, the word ranges [start, end) that repeated windows cover.
 
     ``doc`` is :func:`row_key`. A window is ``window`` consecutive words
@@ -229,9 +262,10 @@ def repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     places. Texts below ``window`` words, null or empty, have none.
     """
     base = docs.select(row_key(id_col, text_col).alias("doc"), raw(text_col).alias("body"))
-    segments = stored(base.mapInArrow(_segments(window), "key long, digest long, doc long, start long, n int, own boolean"), "segments")
+    segments = stored(base.mapInArrow(_segments(window), f"key long, digest long, doc {base.schema['doc'].dataType.simpleString()}, start long, n int, own boolean"), "segments")
     keys = segments.groupBy("key").agg(F.count("*").alias("places"), F.max("own").alias("own")).where("places > 1 or own").select("key")
     again = stored(segments.join(keys, "key"), "again")
+    discard(segments)
     variants = again.groupBy("key", "digest").agg(F.count("*").alias("weight"), F.min(F.struct("doc", "start", "n")).alias("at"))
     size = F.col("at.n") + F.lit(window - 1)
     hot = variants.groupBy("key").agg(F.sum(size).alias("size")).where(f"size > {shard_words}").select("key", F.lit(True).alias("hot"))
@@ -239,19 +273,29 @@ def repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     wanted = variants.groupBy("doc").agg(F.collect_list(F.struct("key", "digest", "weight", "start", "n", "hot")).alias("own"))
     ids = variants.select("doc").distinct()
     texts = base.join(F.broadcast(ids), "doc", "left_semi") if ids.count() <= BROADCAST_IDS else base
-    contents = stored(wanted.join(texts, "doc").select("own", "body").mapInArrow(_contents(window), "key long, digest long, at int, weight long, words binary, deal long, code long"), "contents")
-    # one item for each distinct segment, or distinct window of a hot minimiser (code 0, whatever segment it is of)
-    whole = contents.where("code is not null").groupBy("deal", "code").agg(F.min("weight").alias("weight"), F.min("words").alias("words"), F.lit(False).alias("hot"))
-    cut = contents.where("code is null").select("key", "digest", "at", "deal", "weight", "words").dropDuplicates(["key", "digest", "at"])
-    single = cut.groupBy("deal").agg(F.sum("weight").alias("weight"), F.min("words").alias("words")).select("deal", F.lit(0).cast("long").alias("code"), "weight", "words", F.lit(True).alias("hot"))
-    items = stored(whole.union(single.select("deal", "code", "weight", "words", "hot")), "items")
+    held = wanted.join(texts, "doc").dropDuplicates(["doc"])  # equal rows are one text with their number as weight
+    contents = stored(held.select("own", "body").mapInArrow(_contents(window), _CONTENTS), "contents")
+    discard(variants)
+    whole = contents.where("not hot").select("deal", "code", "weight", "words", "hot")
+    single = contents.where("hot and words is not null").groupBy("deal", "code").agg(F.sum("weight").alias("weight"), F.min("words").alias("words"), F.lit(True).alias("hot"))
+    items = stored(whole.union(single), "items")
     total = items.agg(F.sum(F.size(F.split(F.col("words").cast("string"), " ")))).first()[0] or 0
     shards = max(1, -(-int(total) // shard_words))
     found = stored(items.groupBy(F.pmod(F.xxhash64("deal"), F.lit(shards)).alias("shard")).applyInPandas(_shard(window), "deal long, code long, hot boolean, a int, b int"), "repeats")
+    discard(items)
     ranges = found.where("not hot").select(F.col("deal").alias("key"), F.col("code").alias("digest"), "a", "b")
-    windows = cut.select("key", "digest", "at", "deal").join(found.where("hot").select("deal"), "deal").select("key", "digest", F.col("at").alias("a"), (F.col("at") + 1).alias("b"))
-    places = again.join(ranges.union(windows), ["key", "digest"]).select("doc", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b") - 1 + window).alias("end"))
-    spans = places.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("all"))
+    twice, hot_rows = found.where("hot").select("deal", "code"), contents.where("deals is not null").select("key", "digest", "deals", "codes")
+    if twice.count() <= broadcast_windows:
+        table = twice.toArrow()
+        shared = docs.sparkSession.sparkContext.broadcast((table["deal"].to_pylist(), table["code"].to_pylist()))
+        windows = hot_rows.mapInArrow(_marked(shared), "key long, digest long, a int, b int")
+    else:
+        one = hot_rows.select("key", "digest", F.posexplode(F.arrays_zip("deals", "codes")).alias("a", "w")).select("key", "digest", "a", F.col("w.deals").alias("deal"), F.col("w.codes").alias("code"))
+        windows = one.join(twice, ["deal", "code"]).select("key", "digest", "a", (F.col("a") + 1).alias("b"))
+    runs = ranges.union(windows).groupBy("key", "digest").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    shift = lambda r: F.struct((F.col("start") + r["a"]).alias("start"), (F.col("start") + r["b"] - 1 + window).alias("end"))
+    places = again.join(runs, ["key", "digest"]).select("doc", F.transform("runs", shift).alias("s"))
+    spans = places.groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("all"))
     none = F.expr("cast(array() AS array<struct<start:bigint,end:bigint>>)")
     united = F.aggregate(
         "all",
@@ -261,16 +305,19 @@ def repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
         ),
         lambda acc: F.array_append(acc["done"], F.struct(acc["start"].alias("start"), acc["end"].alias("end"))),
     )
-    return spans.select("doc", united.alias("spans"))
+    out = stored(spans.select("doc", united.alias("spans")), "spans")
+    discard(again, contents, found)
+    return out
 
 
-def row_key(id_col: str = "doc_id", text_col: str = "text"):
-    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A row's id and a hash of its text: rows that repeat an id stay apart unless they are equal."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
 
 
-def with_spans(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
+def with_spans(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """``docs`` and ``_spans`` (null where nothing repeats). The spans go to the texts, not the other way, while they are small."""
-    spans = stored(repeated_spans(docs, window, id_col, text_col, shard_words), "spans")
+    spans = repeated_spans(docs, window, id_col, text_col, shard_words, broadcast_windows)
     size = spans.agg(F.sum(F.lit(40) + 24 * F.size("spans"))).first()[0] or 0
     spans = spans.select(F.col("doc").alias("_doc"), F.col("spans").alias("_spans"))
     side = F.broadcast(spans) if size <= BROADCAST_BYTES else spans
