@@ -80,6 +80,7 @@ def _block(k: int, percent: int):
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        K.give_back()  # what the last group took
         group = group.drop_duplicates("doc_id").sort_values("doc_id")
         ids, comps = group["doc_id"].to_numpy(), group["component"].to_numpy()
         sets = []

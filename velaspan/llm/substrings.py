@@ -235,6 +235,7 @@ class Automaton:
 
 def _shard(window: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        K.give_back()  # what the last shard took
         ids: dict[bytes, int] = {}
         automaton = Automaton()
         sequences = []
