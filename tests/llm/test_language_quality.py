@@ -144,6 +144,22 @@ def test_kneser_ney_is_that_of_brute_force(spark, monkeypatch):
     assert total == pytest.approx(1.0, abs=1e-6)
 
 
+def test_kneser_ney_counts_what_was_seen_once(spark):
+    r = random.Random(8)
+    train = [text(r, "aa", 12) for _ in range(6)]
+    probe = [train[0], train[5], text(r, "aa", 12)]
+    frame = lambda rows: spark.createDataFrame([(t, i) for i, t in enumerate(rows)], "t string, i long").select(F.col("t").cast("binary").alias("body"), "i")
+    p, seen = brute_model(train, KN.ORDER, 1)
+    model = KN.trained(frame(train).select("body"))
+    grams = {bytes([KN.PAD]) * 4 + t.encode() for t in train}
+    assert model.where("shiftright(key, 56) = 5 and logp is not null").count() == len({s[i : i + 5] for s in grams for i in range(len(s) - 4)})
+    got = {x["i"]: x["total"] for x in KN.scored(frame(probe), model).collect()}
+    for i, t in enumerate(probe):
+        s = bytes([KN.PAD]) * 4 + t.encode()
+        assert all(s[k : k + 1] in seen for k in range(4, len(s)))
+        assert got[i] == pytest.approx(sum(math.log(p(s[k - 4 : k + 1])) for k in range(4, len(s))), rel=1e-4, abs=1e-3)
+
+
 def test_quality_keeps_clean_texts(spark):
     r = random.Random(7)
     good = [(i, text(r, "aa" if i % 2 else "bb", 50), "aa" if i % 2 else "bb", "q") for i in range(300)]

@@ -15,8 +15,8 @@ from velaspan.llm.workspace import discard, documents, raw, stored
 
 #: Bytes of the longest n-gram; n-grams of up to 7 bytes fit a 64-bit key with their length.
 ORDER = 5
-#: Longest n-grams below this count are left to the shorter ones.
-LEAST = 2
+#: Longest n-grams below this count would be left to the shorter ones; at 1 none is.
+LEAST = 1
 #: Rows of the model that one pass broadcasts (16 bytes each); a larger model takes more passes.
 SHARD_ROWS = 2_000_000
 #: Share of trusted held-out documents of a language whose perplexity is at most the threshold, and slack on it.
