@@ -33,13 +33,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each near-duplicate group (five-word shingles, similarity 0.8)."""
+    """Keep one row of each near-duplicate group (five-word shingles, similarity 0.8): the one with the least id, null last.
+
+    Groups are of rows, not of ids, so repeated rows and rows without an id are
+    copies like any others. Rows are numbered once, in a stored table.
+    """
     small_batches(spark)
-    groups = neardup.near_duplicates(docs)
-    kept = groups.where("kept or component_id is null").select(F.col("doc_id").alias("_id")).distinct()
+    own, names, of = hidden(docs, "doc_id", "text")
+    rows = stored(own.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = neardup.near_duplicates(rows, id_col="_row", text_col=of["text"]).select(F.col("doc_id").alias("_row"), "component_id")
+    ids = rows.select("_row", F.col(of["doc_id"]).alias("_id"), F.xxhash64(of["text"]).alias("_hash"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash", "_row"))
+    kept = stored(groups.join(ids, "_row").groupBy("component_id").agg(first.alias("first")).select("first._row"), "kept")
     side = F.broadcast(kept) if kept.count() <= neardup.BROADCAST_IDS else kept
-    own, _, of = hidden(docs, "doc_id")
-    return own.join(side, F.col(of["doc_id"]).eqNullSafe(F.col("_id")), "left_semi").toDF(*docs.columns)
+    return rows.join(side, "_row", "left_semi").select(*names).toDF(*docs.columns)
 
 
 def _counted(docs: DataFrame) -> DataFrame:

@@ -55,6 +55,23 @@ def test_stages(spark):
     assert {r["doc_id"] for r in pieces} == set(safe) and max(r["length"] for r in pieces) <= 4096
 
 
+def test_one_row_of_each_group_stays(spark):
+    texts = dict(rows())
+    own = {i: texts[i] for i in range(6)}
+    near = own[3].split()
+    near[40] = "other"
+    lone = texts[20], texts[21]
+    # repeated rows; copies, whole and near, without an id; texts that only rows without an id have, one of them twice; one id with two texts
+    values = [*own.items(), (0, own[0]), (0, own[0]), (1, own[1]), (None, own[2]), (None, " ".join(near)), (None, lone[0]), (None, lone[0]), (None, lone[1]), (4, texts[22]), (7, own[5])]
+    want = sorted([*own.items(), (None, lone[0]), (None, lone[1]), (4, texts[22])], key=repr)
+    kept = frame(spark, values)
+    for name, stage in pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, "")
+        kept = spark.createDataFrame(kept.collect(), kept.schema)
+        if name != "language":
+            assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == want, name
+
+
 @pytest.mark.parametrize("stage", [s for _, s in pipeline.STAGES])
 def test_empty_tables(spark, stage):
     docs = frame(spark, rows()).limit(0)
