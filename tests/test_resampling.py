@@ -1,3 +1,4 @@
+import hashlib
 import random
 import statistics
 
@@ -52,3 +53,19 @@ def test_index_interval(spark):
     df = spark.createDataFrame([("m", float(i)) for i in range(100)], "model string, value double")
     r = R.index_interval(df, ["model"]).first()
     assert (r["lo"], r["hi"]) == (2.0, 96.0)
+
+
+def test_hash_draws_are_those_of_brute_force(spark):
+    want = {}
+    for rep in range(3):
+        for draw in range(7):
+            pos = int(hashlib.sha256(f"5|{rep}|{draw}".encode()).hexdigest()[:8], 16) % 7
+            want[(rep, pos)] = want.get((rep, pos), 0) + 1
+    assert {(r["rep"], r["pos"]): r["weight"] for r in R.hash_draws(spark, 7, 3, 5).collect()} == want
+
+
+def test_registered_bootstrap_draws_the_references_replicates(spark, data):
+    from velaspan.plans import queries as plans
+
+    values, _ = plans._boot(spark, data)
+    assert values.select("rep").distinct().count() == 10_000

@@ -411,7 +411,8 @@ def unresolved_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- bootstrap -------------------------------------------------------------------------------
 
-REPLICATES, SEED = 20, 7
+# The number of replicates is the reference's default.
+REPLICATES, SEED = 10_000, 7
 _BOOT_STRICT = [M.Rule("mail", "PERSON", 1, fx.STRICT[0].pattern, ""), M.Rule("ip", "LOCATION", 1, fx.STRICT[1].pattern, "")]
 _BOOT = {"loose": [M.Rule("mail", "PERSON", 1, fx.LOOSE[0].pattern, ""), M.Rule("ip", "LOCATION", 1, fx.LOOSE[1].pattern, "")], "mail_only": [M.Rule("mail", "PERSON", 1, fx.STRICT[0].pattern, "")]}
 
