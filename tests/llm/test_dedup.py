@@ -167,3 +167,47 @@ def test_automaton_counts_places():
     a.finish(2)
     assert a.repeats(list("abcabd"), 2) == [True, True, False, True, False]
     assert a.repeats(list("zzab"), 2) == [False, False, True]
+
+
+def morse(n, a="a", b="b"):
+    """Two different strings of 2**n letters that every polynomial modulo a power of two maps to one value."""
+    out = [0]
+    for _ in range(n):
+        out += [1 - x for x in out]
+    return "".join((a, b)[x] for x in out), "".join((b, a)[x] for x in out)
+
+
+def test_words_lines_and_windows_have_hashes_without_a_pattern(spark):
+    x, y = morse(11)
+    data = np.frombuffer(f"{x} {y} {x}".encode(), np.uint8)
+    words = K.Words(data, np.array([0, len(data)]))
+    for family in (0, 1):
+        a, b, c = words.hashes(family=family).tolist()
+        assert a == c != b
+    signs = np.array([ord(i) for i in x + y], np.uint64)
+    assert len(set(K.windows(K.mix(signs), 2048)[[0, 2048]].tolist())) == 2
+    assert (K.sequences(K.mix(signs), np.array([0, 5]), np.array([2048, 17])) == [K.windows(K.mix(signs), 2048)[0], K.windows(K.mix(signs), 12)[5]]).all()
+    values = [x, y, f"{x} one two three", f"{y} one two three"]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, values), k=3, percent=85).collect()}
+    assert got == {i: i for i in range(4)}
+    check_removed(spark, [f"{x} {' '.join('abcdef')}", f"{y} {' '.join('abcdef')}"], 7)
+
+
+def test_long_words_hash_by_every_byte():
+    r = random.Random(9)
+    for n in (1, 7, 8, 9, 16, 17, 511, 512, 513, 4000):
+        body = bytes(r.randrange(33, 127) for _ in range(n))
+        other = bytearray(body)
+        other[r.randrange(n)] ^= 1
+        data = np.frombuffer(body + b" " + bytes(other) + b" " + body + b" " + body.upper(), np.uint8)
+        own = K.Words(data, np.array([0, len(data)]))
+        if len(own.start) == 4:
+            h, low = own.hashes(), own.hashes(lower=True)
+            assert h[0] == h[2] != h[1] and (low[0] == low[3]) == (body.lower() == body.upper().lower())
+
+
+def test_an_id_of_several_texts_has_the_links_of_each(spark):
+    a, b = "a b c d e f g h", "q r s t u v w x"
+    rows = spark.createDataFrame([(5, a), (5, b), (7, a), (3, b), (9, "other words that stand alone here")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(rows).collect())
+    assert got == [(3, 3), (5, 3), (5, 5), (7, 5), (9, 9)]

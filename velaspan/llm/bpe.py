@@ -79,24 +79,28 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         import sentencepiece
 
-        self.pieces = read_ranks(path)
-        self.ids = {p: struct.pack("<I", i) for i, p in enumerate(self.pieces)}
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=serialised_model(self.pieces))
+        pieces = read_ranks(path)
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=serialised_model(pieces))
         self.map = dict(enumerate(byte_characters()))
+        back = {c: b for b, c in self.map.items()}
+        self.pieces = [bytes(map(back.__getitem__, self.model.id_to_piece(i))) for i in range(len(pieces))]
+        # a piece that no merges lead to is itself all the same, as the rank libraries have it
+        whole = self.model.encode([self._mapped(p) for p in pieces], num_threads=1)
+        self.apart = {p: struct.pack("<I", i) for i, (p, ids) in enumerate(zip(pieces, whole, strict=True)) if ids != [i]}
         pattern = pattern.replace("[^\\s", f"[^{WHITE}").replace("\\s", f"[{WHITE}]").replace("\\S", f"[^{WHITE}]")
         self.split = regex.compile(pattern).findall
         self.run = regex.compile(f" [{WHITE}]")
         self.cut = regex.compile(f" (?=[^{WHITE}])")
         self.tokens, self.chunks = Memory(self._tokens, CACHE), Memory(self._chunks, CACHE)
 
+    def _mapped(self, token: bytes) -> str:
+        return token.decode("latin-1").translate(self.map)
+
     def _tokens(self, tokens: list[str]) -> list[bytes]:
-        """Ids (little-endian 32-bit) of pre-tokens: a piece of the vocabulary is itself, others are merged."""
-        out = [self.ids.get(t.encode()) for t in tokens]
-        rest = [i for i, x in enumerate(out) if x is None]
-        mapped = [tokens[i].encode().decode("latin-1").translate(self.map) for i in rest]
-        for i, ids in zip(rest, self.model.encode(mapped, num_threads=1), strict=True):
-            out[i] = struct.pack(f"<{len(ids)}I", *ids)
-        return out
+        """Ids (little-endian 32-bit) of pre-tokens, merged by the model."""
+        data = [t.encode() for t in tokens]
+        found = self.model.encode([self._mapped(t) for t in data], num_threads=1)
+        return [self.apart.get(t) or struct.pack(f"<{len(ids)}I", *ids) for t, ids in zip(data, found, strict=True)]
 
     def _chunks(self, chunks: list[str]) -> Iterator[bytes]:
         parts = [self.split(c) for c in chunks]
@@ -117,6 +121,7 @@ class Codec:
         return [b"".join([known[c] for c in p]) for p in parts]
 
     def decode(self, ids: bytes) -> bytes:
+        """The bytes that the characters of the model's pieces stand for."""
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
@@ -129,9 +134,9 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     """Encode and decode each text: (doc_id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]).
 
     ids are those of byte-level BPE by the ranks in ``path``, each match of
-    ``pattern`` separately, no special tokens. A match that is a piece itself
-    is that piece; others are merged by sentencepiece, lowest rank first,
-    leftmost first. Null and empty texts have no ids. Rows are independent, so
+    ``pattern`` separately, no special tokens: merged by sentencepiece, lowest
+    rank first, leftmost first; a match that is a piece itself is that piece.
+    Texts come back by the inverse mapping of the model's pieces. Null and empty texts have no ids. Rows are independent, so
     nothing is shuffled; repeated ids stay repeated rows; other columns are
     ignored. ``with_ids`` adds the ids (array<int>) and the decoded bytes.
     """

@@ -5,8 +5,11 @@ batch at a time, so that a worker's memory follows ``SLICE_BYTES`` and the
 longest single text, not the size of an Arrow batch.
 
 Words are the maximal runs of ``[^\\x20\\x09-\\x0D]`` of the UTF-8 text, which
-is what ``bytes.split()`` returns. Hashes are 64 bits wide: a polynomial over
-per-byte random constants (odd base, modulo 2**64), passed through a finaliser.
+is what ``bytes.split()`` returns. Hashes are 64 bits wide, in two families
+that know nothing of each other. No hash is a polynomial, so there is no
+pattern of bytes, words or lines that makes it collide: blocks of eight bytes
+are mixed with their place before they are added up, and sequences are hashed
+as mixed pairs of shorter ones.
 """
 
 from __future__ import annotations
@@ -20,15 +23,14 @@ import pyarrow as pa
 SLICE_BYTES = 500_000
 U = np.uint64
 
-_rng = np.random.default_rng(0x5EED)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = U(0x9E3779B97F4A7C15)
-_BASE_INV = U(pow(int(_BASE), -1, 2**64))
-_powers: list[np.ndarray] = []
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_ODD = U(0x9E3779B97F4A7C15)
+#: What sets the two families of hashes apart.
+_FAMILY = (U(0x243F6A8885A308D3), U(0x452821E638D01377))
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
@@ -41,16 +43,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the base and of its inverse."""
-    if not _powers or len(_powers[0]) <= n:
-        size = max(n + 1, 2 * SLICE_BYTES)
-        _powers.clear()
-        for base in (_BASE, _BASE_INV):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            _powers.append(np.multiply.accumulate(p))
-    return _powers[0], _powers[1]
+def ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False, family: int = 0) -> np.ndarray:
+    """A hash of the bytes of each range; ``lower`` folds A-Z.
+
+    Ranges of one length up to eight bytes never collide.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = _LOWER[data] if lower else data
+    eight = np.ascontiguousarray(np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,)))
+    size = (end - start).astype(np.int64)
+    salt = _FAMILY[family]
+    total = mix((eight[start] & _MASK[np.minimum(size, 8)]) + salt)
+    place, live = 8, np.flatnonzero(size > 8)
+    if len(live) and size.max() <= 512:
+        while len(live):
+            total[live] += mix((eight[start[live] + place] & _MASK[np.minimum(size[live] - place, 8)]) + mix(np.full(1, salt + U(place))))
+            place += 8
+            live = live[size[live] > place]
+    elif len(live):
+        more = (size[live] - 1) >> 3
+        owner = np.repeat(np.arange(len(live)), more)
+        first = np.cumsum(more) - more
+        at = (np.arange(len(owner)) - first[owner] + 1) << 3
+        part = mix((eight[start[live][owner] + at] & _MASK[np.minimum(size[live][owner] - at, 8)]) + mix(salt + at.astype(np.uint64)))
+        total[live] += np.add.reduceat(part, first)
+    return mix(total + size.astype(np.uint64) * _ODD)
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -103,25 +122,39 @@ class Words:
         self.row = np.repeat(np.arange(rows), self.count)
         self.data, self.offsets = data, offsets
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
+    def hashes(self, lower: bool = False, family: int = 0) -> np.ndarray:
         """A hash for each word; ``lower`` folds A-Z."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        up, down = powers(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((_BYTE_LOWER if lower else _BYTE)[self.data] * up[: len(self.data)], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        return ranges(self.data, self.start, self.end, lower, family)
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * _ODD + b)
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
-    """A hash of every k consecutive values, by an exact rolling polynomial."""
+    """A hash of every k consecutive values: two halves that overlap unless k is a power of two, and so on down."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = powers(len(hashes) + 1)
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
-    return mix((total[k:] - total[:-k]) * down[:n] + U(k))
+    span, out = 1, hashes
+    while 2 * span <= k:
+        out = _pair(out[:-span], out[span:])
+        span *= 2
+    return mix(_pair(out[:n], out[k - span : k - span + n]) + U(k))
+
+
+def sequences(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the values of each range, equal to that of :func:`windows` for its length."""
+    size = end - start
+    out = np.zeros(len(start), np.uint64)
+    span, level, longest = 1, hashes, int(size.max(initial=0))
+    while span <= longest:
+        own = np.flatnonzero((size >= span) & (size < 2 * span))
+        out[own] = mix(_pair(level[start[own]], level[end[own] - span]) + size[own].astype(np.uint64))
+        if 2 * span <= longest:
+            level = _pair(level[:-span], level[span:])
+        span *= 2
+    return out
 
 
 def within(words: Words, k: int) -> np.ndarray:
@@ -130,13 +163,13 @@ def within(words: Words, k: int) -> np.ndarray:
     return words.row[:n] == words.row[k - 1 :] if n > 0 else np.zeros(0, bool)
 
 
-def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(words: Words, k: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(row offsets, hashes): the distinct k-word shingles of each row, sorted.
 
     A row of fewer than k words, but at least one, has its whole sequence as
     its one shingle; a row without words has the empty set.
     """
-    base = words.hashes(lower=True)
+    base = words.hashes(lower=True, family=family)
     ok = within(words, k)
     grams, owner = windows(base, k)[ok], words.row[: len(ok)][ok]
     rows = len(words.count)

@@ -16,8 +16,8 @@ from velaspan.llm.workspace import discard, documents, raw, stored
 
 #: Shingles of one block of a bucket; a pair of blocks is compared in one task.
 BLOCK_SHINGLES = 1_000_000
-#: Up to so many document ids (8 MB) are broadcast to pick out texts; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Up to so many document ids (about 90 bytes each as Spark broadcasts them) are sent to every task to pick out texts; more are joined by a shuffle.
+BROADCAST_IDS = 300_000
 
 
 def _features(k: int, bands: int, rows: int):
@@ -129,8 +129,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     4. Union-find over all verified links.
 
     At the default bands a link at 80 % misses every band with a probability
-    of 5e-5, one at 85 % with 4e-7; nothing else loses a link. Repeated ids
-    give repeated rows. Other columns are ignored.
+    of 5e-5, one at 85 % with 4e-7; nothing else loses a link. Sets are equal
+    if their sizes and two 64-bit digests are. Repeated ids give repeated rows;
+    if their texts differ, the id has the links of each, and each row the
+    group of its own text. Other columns are ignored.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), raw(text_col).alias("body"))
     found = stored(base.mapInArrow(_features(k, bands, rows), "doc_id long, n_shingles long, d0 long, d1 long, keys array<long>"), "features")

@@ -67,10 +67,7 @@ def measures(data: np.ndarray, offsets: np.ndarray, grams: tuple[int, ...]) -> d
     has = np.searchsorted(words.start, ends) > np.searchsorted(words.start, begins)
     begins, ends = begins[has], ends[has]
     row = np.searchsorted(offsets, begins, side="right") - 1
-    up, down = K.powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(K._BYTE[data] * up[: len(data)], out=total[1:])
-    key = K.mix((total[ends] - total[begins]) * down[begins] + (ends - begins).astype(np.uint64))
+    key = K.ranges(data, begins, ends)
     order = np.lexsort((begins, key, row))
     later = np.zeros(len(order), bool)
     if len(order):

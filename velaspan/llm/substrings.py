@@ -31,7 +31,7 @@ GRAM = 8
 #: Words of a shard; a minimiser with more than this is dealt by whole windows instead.
 SHARD_WORDS = 60_000
 #: Broadcast bounds, in rows and in bytes; beyond them the same join is shuffled.
-BROADCAST_IDS, BROADCAST_BYTES = 1_000_000, 32_000_000
+BROADCAST_IDS, BROADCAST_BYTES = 300_000, 32_000_000
 #: Repeated windows of hot minimisers (200 bytes each in a worker), up to which they are broadcast.
 BROADCAST_WINDOWS = 300_000
 
@@ -46,14 +46,6 @@ def _sliding_min(values: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def _range_hash(hashes: np.ndarray):
-    """A function of (starts, ends) that hashes ranges of word hashes by content."""
-    up, down = K.powers(len(hashes) + 1)
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
-    return lambda a, b: K.mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
-
-
 def _segments(window: int):
     gram = min(GRAM, window)
     width = window - gram + 1
@@ -79,7 +71,7 @@ def _segments(window: int):
                 n = np.diff(np.append(head, len(at)))
                 start, row = at[head], row[head]
                 end = start + n - 1 + window
-                digest = _range_hash(hashes)(start, end)
+                digest = K.sequences(words.hashes(family=1), start, end)
                 own_repeat = twice[start + n - 1 + width] > twice[start]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(value[head].view(np.int64)), pa.array(digest.view(np.int64)), batch.column(0).take(pa.array(first + row)), pa.array((start - words.first[row]).astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(own_repeat)],
@@ -114,9 +106,8 @@ def _contents(window: int):
                         continue
                     if pair is None:
                         data = np.frombuffer(body.as_py(), np.uint8)
-                        every = K.Words(data, np.array([0, len(data)])).hashes()
-                        ends = np.arange(window, len(every) + 1)
-                        pair = [_range_hash(h)(ends - window, ends).view(np.int64).tolist() for h in (every, K.mix(every + K.U(1)))]
+                        every = K.Words(data, np.array([0, len(data)]))
+                        pair = [K.windows(every.hashes(family=f), window).view(np.int64).tolist() for f in (0, 1)]
                     deals, codes = (p[start : start + n] for p in pair)
                     rows.append((s["key"], s["digest"], s["weight"], None, None, None, True, deals, codes))
                     for k, place in enumerate(zip(deals, codes, strict=True)):
@@ -233,6 +224,24 @@ class Automaton:
         return out
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's spans by start, those that meet or overlap as one."""
+    for batch in batches:
+        every = batch.column(1)
+        row = np.repeat(np.arange(len(every)), np.diff(every.offsets.to_numpy()))
+        far = row << 40  # keeps rows apart on one line
+        start, end = (every.flatten().field(i).to_numpy() + far for i in (0, 1))
+        order = np.lexsort((end, start))
+        start, upto, row = start[order], np.maximum.accumulate(end[order]), row[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (start[1:] > upto[:-1]) | (row[1:] != row[:-1])
+        head = np.flatnonzero(new)
+        last = np.append(head[1:], len(row))[: len(head)] - 1
+        row = row[head]
+        spans = pa.StructArray.from_arrays([pa.array(start[head] - (row << 40)), pa.array(upto[last] - (row << 40))], names=["start", "end"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(every) + 1)).astype(np.int32)), spans)], names=["doc", "spans"])
+
+
 def _shard(window: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         K.give_back()  # what the last shard took
@@ -296,17 +305,8 @@ def repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     runs = ranges.union(windows).groupBy("key", "digest").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     shift = lambda r: F.struct((F.col("start") + r["a"]).alias("start"), (F.col("start") + r["b"] - 1 + window).alias("end"))
     places = again.join(runs, ["key", "digest"]).select("doc", F.transform("runs", shift).alias("s"))
-    spans = places.groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("all"))
-    none = F.expr("cast(array() AS array<struct<start:bigint,end:bigint>>)")
-    united = F.aggregate(
-        "all",
-        F.struct(none.alias("done"), F.col("all")[0]["start"].alias("start"), F.col("all")[0]["end"].alias("end")),
-        lambda acc, s: F.when(s["start"] <= acc["end"], F.struct(acc["done"].alias("done"), acc["start"].alias("start"), F.greatest(acc["end"], s["end"]).alias("end"))).otherwise(
-            F.struct(F.array_append(acc["done"], F.struct(acc["start"].alias("start"), acc["end"].alias("end"))).alias("done"), s["start"].alias("start"), s["end"].alias("end"))
-        ),
-        lambda acc: F.array_append(acc["done"], F.struct(acc["start"].alias("start"), acc["end"].alias("end"))),
-    )
-    out = stored(spans.select("doc", united.alias("spans")), "spans")
+    spans = places.groupBy("doc").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    out = stored(spans.mapInArrow(_united, spans.schema), "spans")
     discard(again, contents, found)
     return out
 
