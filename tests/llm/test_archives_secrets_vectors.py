@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -94,8 +95,10 @@ def test_markov_models_tell_random_from_ordinary(spark):
     rand = ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(32)) for _ in range(60)] + ["%020x" % r.getrandbits(80) for _ in range(40)]
     rand = [x for x in rand if re.search(r"\d", x) and re.search("[A-Za-z]", x)]
     plain = ["getUserAccountById2", "max_retry_count_10", "utf8_general_ci_case", "ServerConnectionPool42", "MAX_BUFFER_SIZE_1024", "thtionanreouanonthe5", "version-2-release-notes", "ereschätzungengebung"]
+    rand += ["".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(40)) for _ in range(20)]
     docs = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(rand + plain)], "doc_id long, text string")
-    got = {x["doc_id"]: x for x in secrets.secrets(docs).collect()}
+    words = "user account server version connection buffer retry general release notes number value section order create count table address status method".split()
+    got = {x["doc_id"]: x for x in secrets.secrets(docs, labelled=secrets.samples(spark, words)).collect()}
     assert np.mean([got[i]["n_markov"] == 1 for i in range(len(rand))]) > 0.95
     assert sum(got[len(rand) + i]["n_markov"] for i in range(len(plain))) == 0
     x = got[0]
@@ -112,9 +115,28 @@ def test_redaction(spark):
 
 
 def test_samples_are_stable(spark):
-    a = secrets.samples(spark, 200)
-    assert a.count() == 400 and sorted(map(str, a.collect())) == sorted(map(str, secrets.samples(spark, 200).collect()))
+    docs = spark.createDataFrame([(i, "some words that come again, and words that don't") for i in range(9)] + [(9, None)], "doc_id long, text string")
+    words = secrets.common_words(docs, rows=5, n=4)
+    assert words == ["that", "words", "again", "come"]
+    a = secrets.samples(spark, words, 200)
+    assert a.count() == 400 and sorted(map(str, a.collect())) == sorted(map(str, secrets.samples(spark, words, 200).collect()))
     assert len(secrets.ratios(a)) == 9216
+    assert secrets.samples(spark, [], 10).where("not random").count() == 0
+
+
+def test_a_run_of_a_million_characters_takes_seconds(spark):
+    r = random.Random(8)
+    body = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000))
+    docs = spark.createDataFrame([(1, f"see {body}"), (2, "word " * 1000)], "doc_id long, text string")
+    began = time.monotonic()
+    got = {x["doc_id"]: x["spans"] for x in secrets.secrets(docs).collect()}
+    assert got == {1: "markov:4:1000004", 2: ""} and time.monotonic() - began < 60
+
+
+def test_repeated_ids_and_other_columns_stay_rows(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh", "a"), (1, "token=abcdefgh", "a"), (None, "x", "b")], "doc_id long, text string, _base string")
+    got = sorted((x["doc_id"] or 0, x["n_assign"]) for x in secrets.secrets(docs).collect())
+    assert got == [(0, 0), (1, 1), (1, 1)]
 
 
 def neighbours_by_force(rows, k):

@@ -16,48 +16,42 @@ HEX = "[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "markov")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 
-#: Runs that the Markov models judge, if they hold a letter and a digit.
+#: Runs that the Markov models judge, if they hold a letter; numbers are not told from keys by their transitions.
 CANDIDATE = "[A-Za-z0-9_+/=-]{16,}"
 #: Least log-likelihood ratio, in nats, and least ratio per character, of a secret.
 THRESHOLD, PER_CHARACTER = 12.0, 0.35
-#: Labelled samples of each class that the built-in generator makes.
+#: Labelled samples of each class that :func:`samples` makes.
 SAMPLES = 4_000
+#: Rows of the table whose words ordinary identifiers are made of, and words taken from them.
+WORD_ROWS, WORDS = 1_000, 512
 
-# Parts of ordinary identifiers.
-PARTS = (
-    "account action active address agent align amount append apply archive array attribute audio author backup balance base batch binary block body border branch browser bucket "
-    "buffer build button byte cache calendar call campaign cancel category channel character check child class client clone close cluster code collection color column command comment "
-    "commit common compare component config connect console content context control convert cookie count create current cursor custom customer data database date debug decode default "
-    "delete delta depth detail device dialog digest directory display document domain double download draft driver dump duration edit element email enable encode engine entity entry "
-    "environment error event example exception execute export factory feature field file filter final find flag float folder font format frame function gateway general generate global "
-    "graph group handle hash header height hidden history host icon identifier image import index info input insert instance integer internal invoice item iterator java join kernel key "
-    "label language layer layout leader length level library light limit line link list load local location lock login long lookup machine manager map margin master match matrix measure "
-    "media member memory menu merge message meta method metric minimum mirror mobile mode model module monitor month mount name namespace native network node normal number object offset "
-    "open operation option order output owner package page parameter parent parse partition password patch path pattern payload payment percent period permission person phone pipeline "
-    "point policy pool port position prefix print process product profile project property protocol provider public query queue random range rate read record region register release "
-    "remote render report request reset resource response result return role root route rule runtime sample save schema scope screen search section secret select sender sequence server "
-    "service session setting shadow share shell signal simple size sort source split stack stage start state static status step storage store stream string style subject submit suffix "
-    "summary support switch symbol system table target task template terminal test text theme thread ticket time title token topic total trace track transaction transfer tree trigger "
-    "type unit update upload user valid value variable vector version video view virtual volume wait window word worker write year zone"
-).split()
-
-
-def samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
-    """(text, random): labelled strings by rule, ``n`` of each class, the same on every call.
+
+def common_words(docs: DataFrame, text_col: str = "text", rows: int = WORD_ROWS, n: int = WORDS) -> list[str]:
+    """The n most frequent words of 4 to 12 letters a-z in a sample of ``rows`` rows, by hash: the same on every call."""
+    plain = [c for c, kind in docs.dtypes if kind in ("string", "bigint", "int")]
+    some = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.xxhash64(*[F.col(c) for c in plain]).alias("h")).orderBy("h").limit(rows)
+    words = some.select(F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"\b[a-z]{4,12}\b"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return [r["w"] for r in words.orderBy(F.desc("n"), "w").limit(n).collect()]
+
+
+def samples(spark: SparkSession, words: list[str], n: int = SAMPLES) -> DataFrame:
+    """(text, random): labelled strings, ``n`` of each class, the same on every call.
 
     Random ones are hexadecimal, base64 and base-36 digits of hashes; ordinary
-    ones join two to four parts in the usual styles, some with a number.
+    ones join two to four words in the usual styles, some with a number.
+    Without words there are no ordinary ones.
     """
-    parts = F.array(*map(F.lit, PARTS))
     digest = lambda salt: F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")).cast("binary"), 256)
     number = lambda at, mod: F.conv(F.substring(digest("n"), at, 6), 16, 10).cast("long") % mod
-    part = lambda at: F.element_at(parts, (number(at, len(PARTS)) + 1).cast("int"))
     b64 = F.substring(F.base64(F.unhex(digest("b"))), 1, 40)
     b36 = F.concat(*[F.conv(F.substring(digest("c"), 1 + 12 * i, 12), 16, 36) for i in range(3)])
     rand = spark.range(n).select(
         F.expr("id % 5").alias("kind"), digest("a").alias("hex"), b64.alias("b64"), b36.alias("b36")
     ).select(F.when(F.col("kind") < 2, F.col("hex")).when(F.col("kind") < 4, F.col("b64")).otherwise(F.col("b36")).alias("text"), F.lit(True).alias("random"))
-    a, b, c, d = part(1), part(7), part(13), part(19)
+    if not words:
+        return rand
+    parts = F.split(F.lit(" ".join(words)), " ")
+    a, b, c, d = (F.element_at(parts, (number(at, len(words)) + 1).cast("int")) for at in (1, 7, 13, 19))
     style = number(25, 6)
     tail = F.when(number(31, 4) == 0, number(37, 100).cast("string")).otherwise(F.lit(""))
     plain = spark.range(n).select(
@@ -95,8 +89,8 @@ def ratios(labelled: DataFrame) -> list[float]:
     return out
 
 
-def _spans(text: str, pattern: str, kind: int, test: str) -> Column:
-    """Struct(start, kind, end) of the pattern's matches in turn; offsets in code points.
+def _spans(text: str, pattern: str, kind: int, test: str, whole: bool = False) -> Column:
+    """Struct(start, kind, end[, run]) of the pattern's matches in turn; offsets in code points.
 
     ``test`` is SQL over m (the match) and v (its last group, or the match).
     Offsets come from the lengths of the matches and of the pieces between them.
@@ -105,11 +99,12 @@ def _spans(text: str, pattern: str, kind: int, test: str) -> Column:
     group = 2 if kind == 0 else 0
     every = f"regexp_extract_all({text}, '{quoted}', 0)"
     values = f"regexp_extract_all({text}, '{quoted}', {group})"
+    extra, run = (",run:string", ", 'run', x.`0`") if whole else ("", "")
     return F.expr(
         f"aggregate(arrays_zip({every}, {values}, split({text}, '{quoted}', -1)),"
-        " named_struct('at', 0, 'out', cast(array() AS array<struct<start:int,kind:int,end:int>>)),"
+        f" named_struct('at', 0, 'out', cast(array() AS array<struct<start:int,kind:int,end:int{extra}>>)),"
         " (acc, x) -> named_struct('at', acc.at + length(x.`2`) + coalesce(length(x.`0`), 0),"
-        f" 'out', if(x.`0` IS NOT NULL AND {test.replace('x.m', 'x.`0`').replace('x.v', 'x.`1`')}, array_append(acc.out, named_struct('start', acc.at + length(x.`2`), 'kind', {kind}, 'end', acc.at + length(x.`2`) + length(x.`0`))), acc.out)),"
+        f" 'out', if(x.`0` IS NOT NULL AND {test.replace('x.m', 'x.`0`').replace('x.v', 'x.`1`')}, array_append(acc.out, named_struct('start', acc.at + length(x.`2`), 'kind', {kind}, 'end', acc.at + length(x.`2`) + length(x.`0`){run})), acc.out)),"
         " acc -> acc.out)"
     )
 
@@ -124,16 +119,18 @@ def scanned(docs: DataFrame, labelled: DataFrame | None = None, threshold: float
 
     ``_base`` has the fixed patterns' matches, leftmost first and without
     overlap within a kind. ``_spans`` adds runs of identifier characters that
-    hold a letter and a digit, lie in no base span, and look random to the
-    models: log-likelihood ratio at ``threshold`` or more, and at
-    ``per_character`` for each transition. ``labelled`` (text, random) are the
-    samples to learn from, by default the built-in ones. Null text is empty.
-    Every step is a projection of the row: no shuffle, no Python.
+    hold a letter, lie in no base span, and look random to the models:
+    log-likelihood ratio at ``threshold`` or more, and at ``per_character`` for
+    each transition. ``labelled`` (text, random) are the samples to learn from,
+    by default those of :func:`samples` with the table's own words. Null text
+    is empty. Every step on texts is a projection of the row: no shuffle, no
+    Python, and linear in the length of a run.
     """
     spark = docs.sparkSession
-    table = ratios(samples(spark) if labelled is None else labelled)
+    table = ratios(samples(spark, common_words(docs, text_col)) if labelled is None else labelled)
     model = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")
     none = F.expr("cast(array() AS array<struct<start:int,kind:int,end:int>>)")
+    no_runs = F.expr("cast(array() AS array<struct<start:int,kind:int,end:int,run:string>>)")
     t, low = F.col("_t"), F.lower("_t")
     named = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("api_key") | low.contains("apikey")
     out = docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
@@ -143,19 +140,19 @@ def scanned(docs: DataFrame, labelled: DataFrame | None = None, threshold: float
             "_a1": F.when(t.contains("AKIA"), _spans("_t", ACCESS, 1, f"length(x.m) >= {LEAST['access']}")).otherwise(none),
             # runs are maximal, so the least length can stand in the pattern itself
             "_a2": F.when(t.rlike(f"[0-9a-f]{{{LEAST['hex']}}}"), _spans("_t", HEX.replace("+", f"{{{LEAST['hex']},}}"), 2, "true")).otherwise(none),
-            "_c": F.when(t.rlike(CANDIDATE), _spans("_t", CANDIDATE, 3, "x.m rlike '[0-9]' AND x.m rlike '[A-Za-z]'")).otherwise(none),
+            "_c": F.when(t.rlike(CANDIDATE), _spans("_t", CANDIDATE, 3, "x.m rlike '[A-Za-z]'", whole=True)).otherwise(no_runs),
         }
     )
     out = out.withColumn("_base", F.array_sort(F.concat("_a0", "_a1", "_a2")))
     fresh = F.filter("_c", lambda s: ~F.exists("_base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
 
     def likely(s: Column) -> Column:
-        run = F.substring(t, s["start"] + 1, s["end"] - s["start"])
-        code = lambda i: F.ascii(F.substring(run, i, F.lit(1))) - 32
-        total = F.aggregate(F.sequence(F.lit(1), F.length(run) - 1), F.lit(0.0), lambda acc, i: acc + F.get(model, 96 * code(i) + code(i + 1)))
-        return total >= F.greatest(F.lit(float(threshold)), per_character * (F.length(run) - 1))
+        codes = F.transform(F.split(s["run"], ""), lambda c: F.ascii(c) - 32)  # once; steps along it are by index
+        steps = lambda c: F.aggregate(F.sequence(F.lit(1), F.size(c) - 1), F.lit(0.0), lambda acc, i: acc + F.get(model, 96 * F.get(c, i - 1) + F.get(c, i)))
+        return F.exists(F.array(codes), lambda c: steps(c) >= F.greatest(F.lit(float(threshold)), per_character * (F.size(c) - 1)))
 
-    out = out.withColumn("_spans", F.when(F.size("_c") == 0, F.col("_base")).otherwise(F.array_sort(F.concat("_base", F.filter(fresh, likely)))))
+    found = F.transform(F.filter(fresh, likely), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    out = out.withColumn("_spans", F.when(F.size("_c") == 0, F.col("_base")).otherwise(F.array_sort(F.concat("_base", found))))
     return out.drop("_a0", "_a1", "_a2", "_c", "_t")
 
 
