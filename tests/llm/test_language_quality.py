@@ -88,7 +88,7 @@ def test_repetition_rules(spark, data):
     assert R.quality(docs.limit(0)).count() == 0
 
 
-def brute_model(texts, order, least):
+def brute_model(texts, order):
     """Modified Kneser-Ney by dictionaries, for one string at a time."""
     grams = {order: Counter()}
     for t in texts:
@@ -105,9 +105,8 @@ def brute_model(texts, order, least):
         total, held, mass = defaultdict(int), defaultdict(float), {}
         for g, c in grams[n].items():
             total[g[:-1]] += c
-            if n < order or c >= least:
-                mass[g] = c - d[min(c, 3) - 1]
-                held[g[:-1]] += mass[g]
+            mass[g] = c - d[min(c, 3) - 1]
+            held[g[:-1]] += mass[g]
         levels[n] = (total, held, mass)
 
     def p(g):
@@ -127,11 +126,14 @@ def test_kneser_ney_is_that_of_brute_force(spark, monkeypatch):
     train = [text(r, "aa", 40) + " é." for _ in range(40)] + ["", "x"]
     docs = spark.createDataFrame([(t,) for t in train], "t string").select(F.col("t").cast("binary").alias("body"))
     model = KN.trained(docs, order=4)
-    p, seen = brute_model(train, 4, KN.LEAST)
+    p, seen = brute_model(train, 4)
     probe = [train[0], text(r, "aa", 9), "katomi über ZZ", "x", ""]
     frame = spark.createDataFrame([(t, i) for i, t in enumerate(probe)], "t string, i long").select(F.col("t").cast("binary").alias("body"), "i")
-    for rows in (KN.SHARD_ROWS, 40):
-        got = {x["i"]: x["total"] for x in KN.scored(frame, model, 4, rows).collect()}
+    for chunk, most in ((KN.CHUNK, KN.BROADCAST_GRAMS), (30, 0)):
+        monkeypatch.setattr(KN, "BROADCAST_GRAMS", most)
+        rows = KN.scored(frame, model, 4, chunk).collect()
+        assert sorted((x["i"], x["n_bytes"]) for x in rows) == [(i, len(t.encode())) for i, t in enumerate(probe)]
+        got = {x["i"]: x["total"] for x in rows}
         for i, t in enumerate(probe):
             s = bytes([KN.PAD]) * 3 + t.encode()
             want = sum(math.log(p(s[k - 3 : k + 1])) for k in range(3, len(s)) if s[k : k + 1] in seen)
@@ -149,7 +151,7 @@ def test_kneser_ney_counts_what_was_seen_once(spark):
     train = [text(r, "aa", 12) for _ in range(6)]
     probe = [train[0], train[5], text(r, "aa", 12)]
     frame = lambda rows: spark.createDataFrame([(t, i) for i, t in enumerate(rows)], "t string, i long").select(F.col("t").cast("binary").alias("body"), "i")
-    p, seen = brute_model(train, KN.ORDER, 1)
+    p, seen = brute_model(train, KN.ORDER)
     model = KN.trained(frame(train).select("body"))
     grams = {bytes([KN.PAD]) * 4 + t.encode() for t in train}
     assert model.where("shiftright(key, 56) = 5 and logp is not null").count() == len({s[i : i + 5] for s in grams for i in range(len(s) - 4)})

@@ -6,25 +6,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from velaspan.llm import kernels as K
 from velaspan.llm.workspace import discard, documents, raw, stored
 
 #: Bytes of the longest n-gram; n-grams of up to 7 bytes fit a 64-bit key with their length.
 ORDER = 5
-#: Longest n-grams below this count would be left to the shorter ones; at 1 none is.
-LEAST = 1
-#: Rows of the model that one pass broadcasts (16 bytes each); a larger model takes more passes.
-SHARD_ROWS = 2_000_000
+#: Bytes of text whose distinct n-grams are gathered, and whose scores are looked up, together.
+CHUNK = 16_000_000
+#: Scored n-grams up to this number are broadcast (16 bytes each) to join the chunks that hold them; more are joined by a shuffle.
+BROADCAST_GRAMS = 1_000_000
 #: Share of trusted held-out documents of a language whose perplexity is at most the threshold, and slack on it.
 QUANTILE, SLACK = 0.99, 1.10
 #: Nats that any text may have beyond its threshold: the first bytes have little context, which only weighs on short texts.
 ALLOWANCE = 12.0
-#: Held-out documents that a language needs for a threshold of its own; below, all languages share one.
-ENOUGH = 50
+#: A language's threshold is its own quantile and, with the weight of so many documents, that of all languages.
+ENOUGH = 10
 #: Trusted labels up to this number are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
 #: Texts are padded in front with this byte, which no model ever predicts.
@@ -89,7 +91,7 @@ def _context(n: int) -> Column:
     return F.expr(f"shiftright(key & {(1 << 8 * n) - 1}L, 8) | {(n - 1) << 56}L")
 
 
-def trained(texts: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
+def trained(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """The model of the texts in column ``body``: (key, logp, bow), natural logarithms.
 
     The longest n-grams have their counts, shorter ones the number of bytes
@@ -110,10 +112,10 @@ def trained(texts: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFra
         n1, n2, n3, n4 = (few.get(i, 0) for i in range(1, 5))
         y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
         discount = [min(max(d, 0.05), i - 0.05) for i, d in ((1, 1 - 2 * y * n2 / n1 if n1 else 0.5), (2, 2 - 3 * y * n3 / n2 if n2 else 1.0), (3, 3 - 4 * y * n4 / n3 if n3 else 1.5))]
-        own = counts[n].withColumn("ctx", _context(n)).withColumn("kept", F.col("n") >= least if n == order else F.lit(True))
-        own = own.withColumn("mass", F.when(F.col("kept"), F.col("n") - F.when(F.col("n") == 1, discount[0]).when(F.col("n") == 2, discount[1]).otherwise(discount[2])).otherwise(0.0))
+        own = counts[n].withColumn("ctx", _context(n))
+        own = own.withColumn("mass", F.col("n") - F.when(F.col("n") == 1, discount[0]).when(F.col("n") == 2, discount[1]).otherwise(discount[2]))
         totals = own.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum("mass").alias("held"))
-        rows = own.where("kept").join(totals, "ctx")
+        rows = own.join(totals, "ctx")
         gamma = (F.col("total") - F.col("held")) / F.col("total")
         share = F.col("mass") / F.col("total")
         if n == 1:
@@ -166,80 +168,134 @@ class Table:
 
 #: Log probability, beyond all backing off, of a byte that no trusted text holds.
 UNSEEN = float(np.log(1 / 256))
-_tables: list[tuple[tuple, Table, Table]] = []
 
 
-def _at_hand(value: tuple) -> tuple[Table, Table]:
-    """The lookup tables of a broadcast shard, built once in a worker process."""
-    if not _tables or _tables[0][0] is not value:
-        _tables[:] = [(value, Table(*value[0]), Table(*value[1]))]
-    return _tables[0][1:]
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """(number, parts) of consecutive rows with ``size`` bytes of text or little more.
 
+    The number follows from the partition and its rows alone, however they
+    come in batches, so two passes over one scan agree on it.
+    """
+    first = TaskContext.get().partitionId() << 32
+    parts: list[pa.RecordBatch] = []
+    held = 0
+    for batch in batches:
+        lengths = pc.binary_length(batch.column(0)).to_numpy().astype(np.int64)
+        upto, at = np.cumsum(lengths) + held, 0
+        while at < len(batch):
+            end = int(np.searchsorted(upto, size)) + 1
+            if end > len(batch):
+                break
+            yield first, [*parts, batch.slice(at, end - at)]
+            first, parts, held, at = first + 1, [], 0, end
+            upto = upto - upto[end - 1]
+            upto[:end] = -1
+        if at < len(batch):
+            parts.append(batch.slice(at))
+            held = int(upto[-1])
+    if parts:
+        yield first, parts
 
-def _scored(shared, order: int, first: bool):
-    """Add the log probabilities of the positions that a shard covers."""
+
+def _grams(order: int, size: int):
+    """The distinct n-grams of each chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, weights = _at_hand(shared.value)
-        covers = shared.value[2]
-        for batch in batches:
-            sums = [np.zeros(0)]
-            for a, b, data, offsets in K.slices(batch.column(0)):
-                padded, at, row = _padded(data, offsets, order)
-                if covers is not None:
-                    mine = covers[padded[at - 2].astype(np.int64) << 8 | padded[at - 1]]
-                    at, row = at[mine], row[mine]
-                logp = np.zeros(len(at))
-                todo = np.arange(len(at))
-                for n in range(order, 0, -1):
-                    got = grams.find(_keys(padded, at[todo], n))
-                    hit = ~np.isnan(got)
-                    logp[todo[hit]] += got[hit]
-                    todo = todo[~hit]
-                    if not len(todo):
-                        break
-                    logp[todo] += np.nan_to_num(weights.find(_keys(padded, at[todo], n - 1, 1))) if n > 1 else UNSEEN
-                sums.append(np.bincount(row, weights=logp, minlength=b - a))
-            total = np.concatenate(sums)
-            rest = batch.columns[1 if first else 2 :]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total if first else total + batch.column(1).to_numpy()), *rest], names=["body", "total", *batch.schema.names[1 if first else 2 :]])
+        for chunk, parts in _chunks(batches, size):
+            found: list[np.ndarray] = []
+            for part in parts:
+                for _, _, data, offsets in K.slices(part.column(0)):
+                    padded, at, _ = _padded(data, offsets, order)
+                    found.append(np.unique(_keys(padded, at, order)))
+                    if len(found) > 16:
+                        found = [np.unique(np.concatenate(found))]
+            keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+            for at in range(0, len(keys), 500_000):
+                own = keys[at : at + 500_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), chunk, np.int64)), pa.array(own.view(np.int64))], names=["chunk", "key"])
+
+    return run
+
+
+def _packs(size: int):
+    """Each chunk's rows as one compressed value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, parts in _chunks(batches, size):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                for part in parts:
+                    stream.write_batch(part)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["chunk", "pack"])
+            K.give_back()
+
+    return run
+
+
+def _summed(order: int):
+    """The rows of a chunk with the sums of their n-grams' log probabilities."""
+
+    def run(packs: pa.Table, known: pa.Table) -> pa.Table:
+        table = Table(known["key"].to_numpy().view(np.uint64), known["logp"].to_numpy())
+        rows = []
+        for pack in packs["pack"].combine_chunks():
+            for batch in pa.ipc.open_stream(pack.as_buffer()):
+                sums = [np.zeros(0)]
+                for a, b, data, offsets in K.slices(batch.column(0)):
+                    padded, at, row = _padded(data, offsets, order)
+                    logp = table.find(_keys(padded, at, order))
+                    if np.isnan(logp).any():
+                        raise ValueError("an n-gram of a chunk has no score: its rows were not those that were read before")
+                    sums.append(np.bincount(row, weights=logp, minlength=b - a))
+                rows.append(pa.RecordBatch.from_arrays([pc.binary_length(batch.column(0)).cast(pa.int64()), *batch.columns[1:], pa.array(np.concatenate(sums))], names=["n_bytes", *batch.schema.names[1:], "total"]))
+        K.give_back()
+        return pa.Table.from_batches(rows)
 
     return run
 
 
-def scored(docs: DataFrame, model: DataFrame, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``docs`` with ``total``, the log probability of its column ``body`` (first in order).
+def _known(keys: DataFrame, model: DataFrame, order: int) -> DataFrame:
+    """(key, logp) of each of the longest n-grams in ``keys``, by equi-joins with the model.
 
-    A model beyond ``shard_rows`` is cut by the two bytes that stand before the
-    predicted one: n-grams and contexts that a position looks up share them. So
-    each pass broadcasts a bounded part, scores the positions that it covers,
-    and adds up. Only n-grams of up to two bytes (at most 65,792) are in every part.
+    One join settles what the model holds. The rest is joined once more by all
+    shorter n-grams and contexts that it may back off to.
     """
-    spark = docs.sparkSession
-    n = F.expr("shiftright(key, 56)")
-    grams = model.where("logp is not null").select("key", F.col("logp").alias("v"), F.when(n >= 3, F.expr("shiftright(key, 8) & 65535L")).otherwise(F.lit(-1)).alias("bucket"))
-    weights = model.where("bow is not null").select("key", F.col("bow").alias("v"), F.when(n >= 2, F.expr("key & 65535L")).otherwise(F.lit(-1)).alias("bucket"))
-    sizes = np.zeros(65536, np.int64)
-    for r in grams.union(weights).where("bucket >= 0").groupBy("bucket").agg(F.count("*").alias("n")).toArrow().to_pylist():
-        sizes[r["bucket"]] = r["n"]
-    shard = np.zeros(65536, np.int64)
-    if sizes.sum() > shard_rows:
-        held = now = 0
-        for b in range(65536):
-            if held and held + sizes[b] > shard_rows:
-                now, held = now + 1, 0
-            shard[b] = now
-            held += sizes[b]
-    parts = int(shard.max()) + 1
-    for i in range(parts):
-        low, high = int(np.flatnonzero(shard == i)[0]), int(np.flatnonzero(shard == i)[-1])
-        tables = [t.where(f"bucket = -1 or bucket between {low} and {high}").select("key", "v").toArrow() for t in (grams, weights)]
-        value = (*((t["key"].to_numpy().view(np.uint64), t["v"].to_numpy().astype(np.float32)) for t in tables), None if parts == 1 else shard == i)
-        kind = "body binary, total double" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name not in ("body", "total"))
-        docs = docs.mapInArrow(_scored(spark.sparkContext.broadcast(value), order, i == 0), kind)
-        if parts > 1:
-            docs = stored(docs, "scores")
-    return docs
+    first = stored(keys.join(model.select("key", "logp"), "key", "left"), "first-scores")
+    suffix = lambda n: F.expr(f"(key & {(1 << 8 * n) - 1}L) | {n << 56}L")
+    before = lambda n: F.expr(f"shiftright(key & {(1 << 8 * n) - 1}L, 8) | {(n - 1) << 56}L")
+    asked = [F.struct(F.lit(n).alias("n"), F.lit(False).alias("context"), suffix(n).alias("at")) for n in range(1, order)]
+    asked += [F.struct(F.lit(n).alias("n"), F.lit(True).alias("context"), before(n).alias("at")) for n in range(2, order + 1)]
+    rest = first.where("logp is null").select("key", F.explode(F.array(*asked)).alias("q")).select("key", "q.*")
+    found = rest.join(model.select(F.col("key").alias("at"), "logp", "bow"), "at", "left")
+    one = lambda n, context, value: F.max(F.when((F.col("n") == n) & (F.col("context") == context), F.col(value)))
+    found = found.groupBy("key").agg(*[one(n, False, "logp").alias(f"p{n}") for n in range(1, order)], *[one(n, True, "bow").alias(f"b{n}") for n in range(2, order + 1)])
+    logp = F.coalesce("p1", F.lit(UNSEEN)) if order > 1 else F.lit(UNSEEN)
+    for n in range(2, order):
+        logp = F.coalesce(F.col(f"p{n}"), F.coalesce(f"b{n}", F.lit(0.0)) + logp)
+    logp = F.coalesce(f"b{order}", F.lit(0.0)) + logp if order > 1 else logp
+    return first.where("logp is not null").union(found.select("key", logp.alias("logp")))
+
+
+def scored(docs: DataFrame, model: DataFrame, order: int = ORDER, chunk: int = CHUNK) -> DataFrame:
+    """``docs`` with ``total``, the log probability of its column ``body`` (binary, first in order), and ``n_bytes`` in its place.
+
+    A byte's log probability follows from the n-gram that ends there. Chunks of
+    text give their distinct n-grams; those of the whole table are scored once
+    by joins with the model, and go back to the chunks that hold them. So the
+    model is neither collected nor broadcast, each n-gram is sent once for each
+    chunk, and texts are moved once. ``docs`` must be a scan, or a projection
+    of one: it is read twice and must come in the same rows and partitions;
+    otherwise this fails rather than give a wrong sum.
+    """
+    grams = stored(docs.select("body").mapInArrow(_grams(order, chunk), "chunk long, key long"), "grams")
+    known = stored(_known(grams.select("key").distinct(), model, order).select("key", F.col("logp").cast("float").alias("logp")), "scores")
+    side = F.broadcast(known) if known.count() <= BROADCAST_GRAMS else known
+    scores = grams.join(side, "key").select("chunk", "key", "logp")
+    packs = docs.mapInArrow(_packs(chunk), "chunk long, pack binary")
+    kind = StructType([StructField("n_bytes", LongType()), *docs.schema.fields[1:], StructField("total", DoubleType())])
+    out = stored(packs.groupBy("chunk").cogroup(scores.groupBy("chunk")).applyInArrow(_summed(order), kind), "totals")
+    discard(grams, known)
+    return out
 
 
 def quality(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK, allowance: float = ALLOWANCE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -248,32 +304,33 @@ def quality(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: f
     ``trusted`` holds the ids (``doc_id``) of texts to learn from. Four fifths
     of them train the model; the rest give each language its threshold: the
     perplexity per byte that ``quantile`` of them do not exceed, times
-    ``slack``. Languages with fewer than ENOUGH such texts, and null, share a
-    threshold over all languages. A document is kept if its surprise, in nats,
-    is at most that of the threshold at its length plus ``allowance``. A
-    null or empty text has no perplexity and is not kept; without trusted
-    texts there is no threshold and every other text is kept. Repeated ids
-    stay repeated rows (trusted ids count once); other columns are ignored.
+    ``slack``. A language's quantile is drawn towards that of all languages
+    with the weight of ENOUGH documents; one without held-out texts, and null,
+    have the latter. A document is kept if its surprise, in nats, is at most
+    that of the threshold at its length plus ``allowance``. A null or empty
+    text has no perplexity and is not kept; without trusted texts there is no
+    threshold and every other text is kept. Repeated ids stay repeated rows
+    (trusted ids count once); other columns are ignored.
     """
     ids = trusted.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct().withColumn("trusted", F.lit(True))
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_LABELS else ids
+    few = ids.count() <= BROADCAST_LABELS
     base = docs.select(raw(text_col).alias("body"), F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"))
-    base = base.join(side, base["doc_id"] == side["_id"], "left").select("body", "doc_id", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    base = base.join(F.broadcast(ids) if few else ids, base["doc_id"] == ids["_id"], "left").select("body", "doc_id", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    if not few:
+        base = stored(base, "labelled")  # scored() reads it twice
     held = F.col("trusted") & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1)
     model = trained(base.where(F.col("trusted") & ~held), order)
-    found = scored(base, model, order).select("doc_id", "lang", "trusted", F.length("body").cast("long").alias("n_bytes"), F.when(F.length("body") > 0, -F.col("total") / F.length("body")).alias("nats"))
-    found = stored(found, "perplexities")
-    discard(model)
-    bins = found.where(held & F.col("nats").isNotNull()).withColumn("at", F.ceil(F.col("nats") * 10_000)).withColumn("of", F.explode(F.array(F.col("lang"), F.lit(None).cast("string"))))
-    bins = bins.groupBy("of", "at").agg(F.sum(F.when(F.col("of").isNull() & F.col("lang").isNull(), 0.5).otherwise(1.0)).alias("n"))
-    order_ = Window.partitionBy("of").orderBy("at")
-    cut = bins.withColumn("upto", F.sum("n").over(order_)).withColumn("all", F.sum("n").over(Window.partitionBy("of"))).where(F.col("upto") >= quantile * F.col("all") - 1e-9)
-    cut = cut.groupBy("of").agg(F.min("at").alias("at"), F.max("all").alias("all")).select("of", "all", (F.exp(F.col("at") / 10_000) * slack).alias("threshold"))
-    own = {r["of"]: r["threshold"] for r in cut.where(F.col("of").isNull() | (F.col("all") >= ENOUGH)).collect()}
-    common = own.pop(None, None)
-    limit = F.lit(common).cast("double")
-    if own:
-        limit = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, t in own.items() for x in (k, t)]), F.coalesce("lang", F.lit(""))), limit)
+    found = scored(base, model, order).withColumn("nats", F.when(F.col("n_bytes") > 0, -F.col("total") / F.col("n_bytes")))
+    discard(model, base)
+    tested = found.where(held & F.col("nats").isNotNull()).withColumn("at", F.ceil(F.col("nats") * 10_000))
+    cut = F.expr(f"percentile_disc({quantile}) WITHIN GROUP (ORDER BY at)").cast("double")  # counts of values are summed in each task
+    common = tested.agg(cut.alias("at")).first()["at"]
+    limit = F.lit(None).cast("double")
+    if common is not None:
+        own = tested.where("lang is not null").groupBy("lang").agg(cut.alias("at"), F.count("*").alias("n"))
+        drawn = own.select(F.col("lang").alias("_lang"), ((F.col("n") * F.col("at") + ENOUGH * common) / (F.col("n") + ENOUGH)).alias("_at"))
+        found = found.join(F.broadcast(drawn), F.col("lang") == F.col("_lang"), "left")  # a row a language
+        limit = F.exp(F.coalesce("_at", F.lit(common)) / 10_000) * slack
     out = found.withColumn("perplexity", F.exp("nats")).withColumn("threshold", limit)
     return out.select("doc_id", "lang", "n_bytes", "perplexity", "threshold", "trusted", (F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("nats") * F.col("n_bytes") <= F.log("threshold") * F.col("n_bytes") + allowance))).alias("kept"))
 
