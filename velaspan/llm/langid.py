@@ -14,13 +14,14 @@ from velaspan.llm import kernels as K
 from velaspan.llm.workspace import documents, raw
 
 #: n-grams are counted in 2**BITS hashed cells; a model has one probability a cell and language,
-#: so its size is bounded by the number of languages alone (2 MB each).
+#: so its size is bounded by the number of languages alone (1 MB each).
 BITS = 18
 #: Byte n-gram lengths.
 GRAMS = (2, 3, 4)
 #: EM rounds at most, and the step below which it stops.
 ROUNDS, STEP = 30, 1e-3
 #: Nats that another language in a document's set must gain, for each such language and root of the n-gram count.
+#: Half a logarithm of that count (BIC) is too little: n-grams overlap, so what a text gains by chance grows with its length.
 PENALTY = 2.0
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -81,25 +82,30 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def trained(docs: DataFrame, lang: str | Column = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities: cell x language) from all rows with a language.
 
-    Counts are summed in each task before they are shuffled; what reaches the
-    driver is at most 2**BITS cells a language, whatever the input's size.
+    Counts are summed in each task before they are shuffled. What reaches the
+    driver is at most 2**BITS cells a language, whatever the input's size, in
+    packed arrays; the model takes 1 MB a language.
     """
     base = docs.select((F.col(lang) if isinstance(lang, str) else lang).alias("lang"), raw(text_col).alias("body")).where("lang is not null")
     counts = base.mapInArrow(_counted, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    table = counts.toArrow()
+    packed = counts.groupBy("lang", F.shiftright("cell", 13).alias("block")).agg(F.collect_list(F.col("cell").cast("int")).alias("cells"), F.collect_list("n").alias("ns"))
+    table = packed.toArrow()
     names = sorted(set(table["lang"].to_pylist()))
-    n = np.full((1 << BITS, len(names)), 0.5)
-    of = np.searchsorted(np.array(names), np.array(table["lang"].to_pylist(), dtype=object).astype(str)) if names else np.zeros(0, np.int64)
-    n[table["cell"].to_numpy(), of] += table["n"].to_numpy()
-    return names, np.log(n / n.sum(axis=0)).astype(np.float32)
+    out = np.full((1 << BITS, len(names)), 0.5, np.float32)
+    for lang_, cells_, ns in zip(table["lang"], table["cells"], table["ns"], strict=True):
+        out[cells_.values.to_numpy(), names.index(lang_.as_py())] += ns.values.to_numpy()
+    for j in range(len(names)):
+        out[:, j] = np.log(out[:, j].astype(np.float64) / out[:, j].sum(dtype=np.float64))
+    return names, out
 
 
 def mixture(likelihood: np.ndarray, weight: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """A document's language shares, from n-gram log likelihoods (n-gram x language) and counts.
 
-    EM from equal shares; then the language with the least share leaves as
-    long as the likelihood without it, EM run again, loses less than the
-    penalty for one more language.
+    EM from equal shares; then languages with the least shares leave as long
+    as the likelihood without them, EM run again, loses no more than the
+    penalty for so many more languages: half of them at once, and fewer where
+    that fails, so that a hundred languages take a few fits.
     """
     n, langs = likelihood.shape
     dense = np.exp(likelihood - likelihood.max(axis=1, keepdims=True)).astype(np.float64)
@@ -118,13 +124,18 @@ def mixture(likelihood: np.ndarray, weight: np.ndarray, penalty: float = PENALTY
 
     live = np.arange(langs)
     share, fits = fit(live, np.full(langs, 1.0 / langs))
+    leave = max(1, langs // 2)
     while len(live) > 1:
-        rest = np.delete(np.arange(len(live)), np.argmin(share))
+        leave = min(leave, len(live) - 1)
+        rest = np.sort(np.argsort(share, kind="stable")[leave:])
         start = np.maximum(share[rest], 1e-6)
         less, lower = fit(live[rest], start / start.sum())
-        if fits - lower > fine:
+        if fits - lower <= leave * fine:
+            live, share, fits = live[rest], less, lower
+        elif leave == 1:
             break
-        live, share, fits = live[rest], less, lower
+        else:
+            leave //= 2
     out = np.zeros(langs)
     out[live] = share
     return out
