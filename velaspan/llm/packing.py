@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velaspan.llm.kernels import give_back
@@ -22,11 +24,23 @@ CACHE = 150_000
 #: Tokens and examples that are packed together; more memory, better choice.
 BLOCK_TOKENS, BLOCK_ITEMS = 2_000_000, 2_000
 
+# The folding and cutting of a tokeniser file that texts may be cut by a plain pattern for.
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CUT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def _cuts_plainly(own: dict) -> bool:
+    """Whether a tokeniser file folds and cuts as those fixed values say, and marks the ends of words."""
+    steps = (own.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return own.get("normalizer") == NORMALISER and steps[0].get("pattern") == {"Regex": CUT} and own["model"].get("end_of_word_suffix") == "</w>" and "~</w>" in own["model"]["vocab"]
+
 
 class WordIds:
     """Ids (little-endian 32-bit) of texts. One per worker process, by :func:`word_ids`.
 
-    The tokeniser drops white space and folds case before it cuts. A text of
+    Strings of special tokens in a text are ordinary text. A tokeniser that
+    folds or cuts in another way than the following encodes whole texts as
+    they are. The tokeniser drops white space and folds case before it cuts. A text of
     ASCII and Latin letters is cut the same way by a plain pattern; its ids are
     those of the parts in turn. Unknown parts are encoded together in one
     text, and told apart by the ids that end a word. In other texts the words
@@ -38,6 +52,9 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.plain = _cuts_plainly(json.loads(Path(path).read_text()))
+        if not self.plain:
+            return
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -74,6 +91,8 @@ class WordIds:
         return [out[w] if w in out else self._ids(w.decode()).tobytes() for w in words]
 
     def texts(self, bodies: list[bytes]) -> list[bytes]:
+        if not self.plain:
+            return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch([b.decode() for b in bodies], add_special_tokens=False)]
         cut: list[list[bytes]] = []
         odd: set[int] = set()
         for i, body in enumerate(bodies):
@@ -105,8 +124,8 @@ class Packer:
     One sequence is filled at a time. Of the examples that fit, it takes the
     one with the largest dot product of its demands and the room left, each as
     a share of its limit: the dimension that is emptiest counts most. If none
-    fits and ``cut`` is set, the one with the largest product is cut to the
-    room left. Without ``cut``, what fits nowhere starts the next sequence;
+    fits and ``cut`` is set, the one that fills most of it is cut to the room
+    left. Without ``cut``, what fits nowhere starts the next sequence;
     an example beyond a limit of its own is cut at that limit all the same.
     """
 
@@ -144,9 +163,9 @@ class Packer:
                     j = int(np.argmax(np.where(fits, score, -1)))
                     take = int(need[j])
                 elif self.cut or not bin_:
-                    j = int(np.argmax(score))
-                    share = loss[live[j]]
-                    take = int(min(room[0], room[2] // share if share > 0 else room[0], need[j]))
+                    takes = np.minimum(np.minimum(need, room[0]), np.floor(room[2] / np.maximum(loss[live], 1e-9)))
+                    j = int(np.argmax(np.where(takes == takes.max(), score, -1)))
+                    take = int(takes[j])
                     if take < 1:
                         break
                 else:
@@ -201,13 +220,15 @@ def _rows(path: str, end: int, limits: tuple[int, int, int], cut: bool, halve: b
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             size = np.array([len(h[2]) // 4 - h[1] for h in held], np.int64)
             pieces, back = packer.pack(size, np.array([h[3] for h in held]), last)
-            if halve and pieces and last:
+            if halve and pieces:
                 by: dict[int, int] = {}
                 for p in pieces:
                     by[p[3]] = by.get(p[3], 0) + p[2]
-                for seq in [s for s, n in by.items() if n & n - 1]:
-                    short = [p for p in pieces if p[3] == seq]
-                    pieces = [p for p in pieces if p[3] != seq] + packer.halved(short)
+                short = {s: [] for s, n in by.items() if n & n - 1}
+                for p in pieces:
+                    if p[3] in short:
+                        short[p[3]].append(p)
+                pieces = [p for p in pieces if p[3] not in short] + [x for own in short.values() for x in packer.halved(own)]
             cols: list[list] = [[], [], [], [], [], [], [], []]
             for i, start, length, seq, offset in pieces:
                 key, before, ids, _ = held[i]
@@ -247,8 +268,8 @@ def packed(docs: DataFrame, path: str, tokens: int = 4096, segments: int = 1024,
     with the share of loss-bearing tokens (null: 1, and held between 0 and 1).
     Every id is in exactly one piece. With ``cut``, a sequence is left below
     ``tokens`` only by the limit on segments or loss-bearing tokens, or as the
-    last of a partition; ``halve`` lays that one out as powers of two, which
-    need no padding. Each partition is packed by itself in blocks of bounded
+    last of a partition; ``halve`` lays such sequences out again as powers of
+    two, which need no padding. Each partition is packed by itself in blocks of bounded
     size, without a shuffle; sequence ids hold the partition's number, so a
     task that runs again gives the same rows. Repeated ids are separate
     examples; other columns are ignored; an empty table gives no rows.
@@ -258,8 +279,19 @@ def packed(docs: DataFrame, path: str, tokens: int = 4096, segments: int = 1024,
     return docs.select(*columns).mapInArrow(_rows(path, end, (tokens, segments, loss), cut, halve, bool(loss_share), with_ids), kind)
 
 
+#: Limits of the query: segments and loss-bearing tokens of a sequence.
+SEGMENTS, LOSS = 64, 3840
+
+
+def loss_share(text_col: str = "text") -> Column:
+    """Share of loss-bearing tokens of a text whose first line is the prompt (one line: its first half); null or empty: all."""
+    size, line = F.length(text_col), F.locate("\n", F.col(text_col))
+    return F.when(size > 0, 1 - F.when(line > 0, line).otherwise(F.floor(size / 2)) / size).otherwise(1.0)
+
+
 def op4_vector_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    """All ``documents`` in sequences of at most 4096 tokens; every token bears loss."""
+    """All ``documents`` in sequences of at most 4096 tokens, SEGMENTS pieces and LOSS loss-bearing tokens; the first line of a text bears none."""
     import public_tokenizers
 
-    return packed(documents(spark, sf_dir), path or public_tokenizers.path("word_bpe_49k.json"))
+    docs = documents(spark, sf_dir).select("doc_id", "text", loss_share().alias("loss_share"))
+    return packed(docs, path or public_tokenizers.path("word_bpe_49k.json"), segments=SEGMENTS, loss=LOSS, loss_share="loss_share")
