@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -51,12 +52,65 @@ def test_archives_hold_true_warc_records(spark, tmp_path):
     arc, out = "file://" + str(tmp_path / "arc"), "file://" + str(tmp_path / "warc")
     warc.write_arc(pages, arc)
     warc.convert(spark, arc, out)
-    (path,) = (tmp_path / "warc").glob("*.gz")
+    (path,) = (tmp_path / "warc").glob("part-*")
     records = list(warc.warc_records(path.read_bytes()))
     assert [f["warc-type"] for f, _ in records][0] == "warcinfo" and len({f["warc-record-id"] for f, _ in records}) == len(records)
     for f, block in records[1:]:
         assert f["warc-block-digest"].startswith("sha1:") and re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", f["warc-record-id"]) and f["warc-date"] == "2024-01-01T00:00:00Z"
-        assert ("warc-refers-to" in f) == (f["warc-type"] == "revisit")
+        assert ("warc-refers-to" in f) == ("warc-refers-to-date" in f) == (f["warc-type"] == "revisit")
+    # every record is a gzip member of its own, so a reader can start at any
+    data, at, members = path.read_bytes(), 0, []
+    while at < len(data):
+        d = zlib.decompressobj(31)
+        members.append(d.decompress(data[at:]))
+        assert d.eof
+        at = len(data) - len(d.unused_data)
+    assert len(members) == len(records) and all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") for m in members)
+
+
+def legacy(version, records):
+    """An archive made by hand: (url, date, mime, body) each."""
+    extra = "" if version == "1" else " 200 - - 0 f.arc"
+    head = f"{version} 0 x\n{warc.FIELDS[version]}\n".encode()
+    out = [f"filedesc://f.arc 0.0.0.0 20010203040506 text/plain{extra} {len(head)}\n".encode() + head]
+    return b"\n".join(out + [f"{url} 1.2.3.4 {date} {mime}{extra} {len(body)}\n".encode() + body for url, date, mime, body in records]) + b"\n"
+
+
+@pytest.mark.parametrize("version", ["1", "2"])
+def test_real_archives_have_any_bytes_and_records(spark, tmp_path, version):
+    head = b"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    latin, image = "<p>déjà vu</p>".encode("latin-1") * 90, b"\x89PNG\r\n\x1a\n\x00\xff" * 150
+    records = [
+        ("dns:a.org", "20010203040506", "text/dns", b"20010203040506\na.org. 300 IN A 1.2.3.4\n"), ("http://a.org/", "20010203040506", "text/html", head + latin), ("http://a.org/i.png", "20010203040507", "image/png", head + image),
+        ("http://b.org/", "20020203040506", "text/html", head + latin), ("http://c.org/", "20020203040506", "text/html", b"HTTP/1.0 404 Gone\r\n\r\n"), ("http://d.org/", "20020203040506", "text/html", b""),
+    ]
+    arc = tmp_path / "arc"
+    arc.mkdir()
+    (arc / "f.arc.gz").write_bytes(gzip.compress(legacy(version, records)))
+    warc.convert(spark, f"file://{arc}", f"file://{tmp_path}/out")
+    found = {f["warc-target-uri"]: (f, block) for path in (tmp_path / "out").glob("part-*") for f, block in warc.warc_records(path.read_bytes()) if f["warc-type"] != "warcinfo"}
+    assert {u: f["warc-type"] for u, (f, _) in found.items()} == {"dns:a.org": "resource", "http://a.org/": "revisit", "http://a.org/i.png": "response", "http://b.org/": "response", "http://c.org/": "response", "http://d.org/": "resource"}
+    assert found["dns:a.org"][0]["content-type"] == "text/dns" and found["dns:a.org"][1] == records[0][3]
+    assert found["http://a.org/i.png"][1] == head + image and found["http://b.org/"][1] == head + latin and found["http://a.org/"][1] == head
+    assert found["http://a.org/"][0]["warc-refers-to"] == found["http://b.org/"][0]["warc-record-id"] and found["http://a.org/"][0]["warc-refers-to-date"] == "2002-02-03T04:05:06Z"
+    back = {r["url"]: (r["payload_bytes"], r["payload_digest"], r["record_type"]) for r in warc.read_warc(spark, f"file://{tmp_path}/out").collect()}
+    for url, _, _, body in records:
+        payload = body[len(head):] if body.startswith(head) else b"" if body.startswith(b"HTTP") else body
+        assert back[url][:2] == (len(payload), hashlib.sha1(payload).hexdigest())
+
+
+def test_members_of_large_records_end_in_a_zero():
+    for n in (0, 5, 1 << 24, (1 << 24) + 7):
+        body = b"x" * n
+        assert gzip.decompress(warc._member(body) + b"\0" + warc._member(b"next") + b"\0") == body + b"next"
+
+
+def test_null_and_repeated_pages(spark):
+    big = "y" * 1500
+    rows = [(None, None, big), (None, "http://a/", big), (7, "http://b/", big), (7, "http://b/", big), (3, None, None), (4, "http://c/", "z")]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id int, url string, html string, size int")
+    got = sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.converted(pages).collect()), key=str)
+    assert got == sorted([(None, "revisit", 7), (None, "revisit", 7), (7, "response", None), (7, "response", None), (3, "response", None), (4, "response", None)], key=str)
 
 
 def brute_base(t):

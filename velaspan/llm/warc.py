@@ -8,6 +8,7 @@ import hashlib
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velaspan.llm.workspace import documents, dropped, fresh, stored
+from velaspan.llm.workspace import discard, documents, dropped, fresh, raw, stored
 
 # The header lines of the two ARC versions.
 FIELDS = {
@@ -24,8 +25,8 @@ FIELDS = {
 }
 #: What stands for a page's missing fetch date and address in an archive.
 DATE, ADDRESS = "20240101000000", "0.0.0.0"
-#: How archives are written: Hadoop's fastest level, as most of the CPU time goes into compression.
-GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
+#: Level of the gzip members that archives are written in; most of the CPU time goes there.
+LEVEL = 1
 #: Payloads below this are never revisits.
 LEAST = 1000
 #: Repeated payloads up to this number are broadcast (50 bytes each); more are joined by a shuffle.
@@ -38,32 +39,50 @@ def _line(text: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", text)
 
 
+def _gzipped(data: bytes) -> bytes:
+    packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    return packer.compress(data) + packer.flush()
+
+
+def _member(record: bytes) -> bytes:
+    """A record as a gzip member without its last byte, which is 0 and written by :func:`_write` behind each row.
+
+    That byte is the highest of the record's length; beyond 16 MB, where it may
+    not be 0, an empty member follows.
+    """
+    out = _gzipped(record)
+    return (out if out[-1] == 0 else out + _gzipped(b""))[:-1]
+
+
+def _write(members: DataFrame, path: str) -> None:
+    """One file for each partition, a gzip member for each record: Spark's text writer takes any bytes as they are."""
+    members.select(F.col("value").cast("string")).write.option("lineSep", "\0").text(path)
+
+
 def _arc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines of one legacy archive: its version block, then a record a page. Partitions alternate the version."""
+    """The records of one legacy archive: its version block, then a record a page. Partitions alternate the version."""
     part = TaskContext.get().partitionId()
     version = "12"[part % 2]
     name = f"part-{part:05d}.arc"
     head = f"{version} 0 velaspan\n{FIELDS[version]}\n"
     mime = {"1": "text/plain", "2": f"text/plain 200 - - 0 {name}"}[version]
-    first = f"filedesc://{name} {ADDRESS} {DATE} {mime} {len(head)}\n{head}"
+    first = f"filedesc://{name} {ADDRESS} {DATE} {mime} {len(head)}\n{head}\n".encode()
     for batch in batches:
-        out = [first] if first else []
-        first = ""
-        for key, url, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            body = html or ""
-            size = len(body.encode())
+        out = [_member(first)] if first else []
+        first = b""
+        for key, url, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             own = "" if key is None else str(key)
-            doc = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\nX-Page-Id: {own}\r\n\r\n"
-            length = len(doc) + size
-            extra = "" if version == "1" else f" 200 {hashlib.sha1(body.encode()).hexdigest()} - 0 {name}"
-            out.append(f"{_line(url or f'urn:page:{own}')} {ADDRESS} {DATE} text/html{extra} {length}\n{doc}{body}")
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+            doc = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\nX-Page-Id: {own}\r\n\r\n"
+            extra = "" if version == "1" else f" 200 {hashlib.sha1(body).hexdigest()} - 0 {name}"
+            line = f"{_line(url or f'urn:page:{own}')} {ADDRESS} {DATE} text/html{extra} {len(doc) + len(body)}\n"
+            out.append(_member(b"".join([line.encode(), doc.encode(), body, b"\n"])))
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
 
 def write_arc(pages: DataFrame, path: str) -> None:
     """Lay pages (page_id, url, html) out as gzipped ARC files, one a partition; null html is empty."""
-    base = pages.select(F.col("page_id").cast("long"), "url", "html")
-    base.mapInArrow(_arc_rows, "value string").write.option("lineSep", "\n").options(**GZIP).text(path)
+    base = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), raw("html").alias("html"))
+    _write(base.mapInArrow(_arc_rows, "value binary"), path)
 
 
 def arc_records(content: bytes) -> Iterator[dict]:
@@ -86,11 +105,19 @@ def arc_records(content: bytes) -> Iterator[dict]:
 
 
 def _http(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
+    """Header fields, head and payload of an HTTP response; any other block is all payload."""
+    if not block.startswith(b"HTTP/"):
+        return {}, b"", block
     head, gap, payload = block.partition(b"\r\n\r\n")
-    lines = [x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:]]
+    lines = [x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:]]
     return {k.strip().lower(): v.strip() for k, _, v in lines}, head + gap, payload
 
 
+def _page(head: dict[str, str]) -> int | None:
+    own = head.get("x-page-id", "")
+    return int(own) if own.isascii() and own.lstrip("-").isdigit() else None
+
+
 def _stamp(date: str) -> str:
     """WARC-Date of an ARC date of 14 digits (fewer: the rest is the first moment)."""
     d = (date + "00000101000000"[len(date) :])[:14]
@@ -101,19 +128,18 @@ def record_id(url: str, date: str, page: str, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{url} {date} {page} {digest}')}>"
 
 
-_PARSED = "page_id long, url string, ip string, date string, mime string, digest string, size long, head binary, payload binary"
+_PARSED = "page_id long, url string, ip string, date string, mime string, digest string, size long, http boolean, head binary, payload binary"
 
 
 def _parsed(batches: Iterator[pa.RecordBatch], bodies: bool) -> Iterator[pa.RecordBatch]:
     names = [x.split(" ")[0] for x in _PARSED.split(", ")]
-    kinds = [pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), *[pa.string()] * 5, pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
     for batch in batches:
         for content in batch.column(0):
             rows, held = [], 0
             for r in arc_records(content.as_py()):
                 head, lines, payload = _http(r["body"])
-                page = head.get("x-page-id", "")
-                rows.append((int(page) if page else None, r["URL"], r["IP-address"], r["Archive-date"], r["Content-type"], hashlib.sha1(payload).hexdigest(), len(payload), lines if bodies else None, payload if bodies else None))
+                rows.append((_page(head), r["URL"], r["IP-address"], r["Archive-date"], r["Content-type"], hashlib.sha1(payload).hexdigest(), len(payload), bool(lines), lines if bodies else None, payload if bodies else None))
                 held += len(payload)
                 if held > 8_000_000 or len(rows) >= 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -128,52 +154,57 @@ def read_arc(spark: SparkSession, path: str, bodies: bool = True) -> DataFrame:
     return files.mapInArrow(lambda batches: _parsed(batches, bodies), _PARSED)
 
 
-def _block(fields: list[tuple[str, str]], block: str) -> str:
-    return "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + f"Content-Length: {len(block.encode())}\r\n\r\n{block}"
+def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
+    head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + f"Content-Length: {len(block)}\r\n\r\n"
+    return b"".join([head.encode(), block, b"\r\n\r\n"])
+
+
+def _sha1(digest: bytes) -> str:
+    return "sha1:" + base64.b32encode(digest).decode()
 
 
 def _warc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
-    info = _block([("WARC-Type", "warcinfo"), ("WARC-Date", _stamp(DATE)), ("WARC-Record-ID", record_id("warcinfo", DATE, str(part), "")), ("Content-Type", "application/warc-fields")], "software: velaspan\r\nformat: WARC File Format 1.1\r\n")
+    info = _record([("WARC-Type", "warcinfo"), ("WARC-Date", _stamp(DATE)), ("WARC-Record-ID", record_id("warcinfo", DATE, str(part), "")), ("Content-Type", "application/warc-fields")], b"software: velaspan\r\nformat: WARC File Format 1.1\r\n")
     for batch in batches:
-        out = [info] if info else []
-        info = ""
+        out = [_member(info)] if info else []
+        info = b""
         for r in batch.to_pylist():
             page = "" if r["page_id"] is None else str(r["page_id"])
             date, digest = _stamp(r["date"]), r["digest"]
-            sha = "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
-            head, payload = r["head"].decode("utf-8", "replace"), r["payload"].decode()
-            fields = [("WARC-Type", "response"), ("WARC-Target-URI", r["url"]), ("WARC-Date", date), ("WARC-Record-ID", record_id(r["url"], date, page, digest)), ("WARC-IP-Address", r["ip"]), ("WARC-Payload-Digest", sha)]
+            kind = "revisit" if r["revisit"] else "response" if r["head"] else "resource"
+            fields = [("WARC-Type", kind), ("WARC-Target-URI", r["url"]), ("WARC-Date", date), ("WARC-Record-ID", record_id(r["url"], date, page, digest)), ("WARC-IP-Address", r["ip"]), ("WARC-Payload-Digest", _sha1(bytes.fromhex(digest))), ("X-Payload-Length", str(r["size"]))]
+            block = r["head"] + r["payload"]
             if r["revisit"]:
                 first = "" if r["first_id"] is None else str(r["first_id"])
-                fields[0] = ("WARC-Type", "revisit")
-                fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(r["first_url"], _stamp(r["first_date"]), first, digest)), ("WARC-Refers-To-Target-URI", r["first_url"])]
-                payload = ""
-            block = head + payload
-            fields += [("WARC-Block-Digest", "sha1:" + base64.b32encode(hashlib.sha1(block.encode()).digest()).decode()), ("Content-Type", "application/http;msgtype=response")]
-            out.append(_block(fields, block))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                then = _stamp(r["first_date"])
+                fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(r["first_url"], then, first, digest)), ("WARC-Refers-To-Target-URI", r["first_url"]), ("WARC-Refers-To-Date", then)]
+                block = r["head"]
+            fields += [("WARC-Block-Digest", _sha1(hashlib.sha1(block).digest())), ("Content-Type", "application/http;msgtype=response" if r["head"] else r["mime"])]
+            out.append(_member(_record(fields, block)))
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
 
 def convert(spark: SparkSession, arc: str, warc: str, least: int = LEAST) -> None:
-    """Turn a folder of ARC files into gzipped WARC files, one for each task.
-
-    Each record becomes a response, or a revisit of the record with the same
-    payload (``least`` bytes or more) and the largest page id. Only digests are
-    grouped, pre-aggregated; payloads are never shuffled while the number of
-    repeated ones allows a broadcast.
+    """Turn a folder of ARC files into WARC files, one for each task, a gzip member for each record.
+
+    An HTTP response becomes a response, or a revisit of the one with the same
+    payload (``least`` bytes or more) and the largest page id; without page
+    ids, the largest URL and date. Other records (names looked up, images of
+    older schemes) become resources of their declared type. Payloads may hold
+    any bytes. Only digests are grouped, pre-aggregated; payloads are never
+    shuffled while the number of repeated ones allows a broadcast.
     """
-    light = read_arc(spark, arc, bodies=False).where(F.col("size") >= least)
+    light = read_arc(spark, arc, bodies=False).where((F.col("size") >= least) & F.col("http"))
     groups = light.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "url", "date")).alias("first")).where("n > 1")
-    repeats = groups.select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), F.col("first.date").alias("first_date"))
-    repeats = repeats.persist()
-    try:
-        side = F.broadcast(repeats) if repeats.count() <= BROADCAST_REPEATS else repeats
-        both = read_arc(spark, arc).join(side, "digest", "left")
-        other: Column = F.col("first_date").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("size") >= least)
-        both.withColumn("revisit", other).mapInArrow(_warc_rows, "value string").write.option("lineSep", "\r\n\r\n").options(**GZIP).text(warc)
-    finally:
-        repeats.unpersist()
+    repeats = groups.select("digest", F.lit(True).alias("http"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), F.col("first.date").alias("first_date"))
+    repeats = stored(repeats, "repeats")
+    side = F.broadcast(repeats) if repeats.count() <= BROADCAST_REPEATS else repeats
+    both = read_arc(spark, arc).join(side, ["digest", "http"], "left")
+    same = F.when(F.col("page_id").isNotNull() | F.col("first_id").isNotNull(), F.col("page_id").eqNullSafe(F.col("first_id"))).otherwise((F.col("url") == F.col("first_url")) & (F.col("date") == F.col("first_date")))
+    other: Column = F.col("first_date").isNotNull() & ~same & (F.col("size") >= least)
+    _write(both.withColumn("revisit", other).mapInArrow(_warc_rows, "value binary"), warc)
+    discard(repeats)
 
 
 def warc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -201,20 +232,19 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for content in batch.column(0):
             rows = []
             for fields, block in warc_records(content.as_py()):
-                if fields["warc-type"] not in ("response", "revisit"):
+                if fields["warc-type"] not in ("response", "revisit", "resource"):
                     continue
                 head, _, payload = _http(block)
-                page = head.get("x-page-id", "")
                 declared = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
-                if fields["warc-type"] == "response" and declared != hashlib.sha1(payload).hexdigest():
+                if fields["warc-type"] != "revisit" and declared != hashlib.sha1(payload).hexdigest():
                     raise ValueError(f"payload of {fields['warc-record-id']} differs from its digest")
-                rows.append((int(page) if page else None, int(head["content-length"]), declared, fields["warc-type"], fields["warc-record-id"], fields.get("warc-refers-to"), fields["warc-target-uri"], fields["warc-date"]))
+                rows.append((_page(head), int(fields.get("x-payload-length", len(payload))), declared, fields["warc-type"], fields["warc-record-id"], fields.get("warc-refers-to"), fields["warc-target-uri"], fields["warc-date"]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Responses and revisits of a folder of WARC files; a response's payload is checked against its digest."""
+    """Responses, revisits and resources of a folder of WARC files; a payload that is there is checked against its digest."""
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read, _READ)
 
 
