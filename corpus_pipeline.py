@@ -11,23 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velaspan.llm import langid, neardup, packing, secrets, substrings
-from velaspan.llm.workspace import documents, hidden, small_batches, stored
+from velaspan.llm.workspace import discard, documents, hidden, small_batches, stored
 
 #: Words of a passage that is removed when it repeats.
 WINDOW = 50
+#: Share of a text that one language must have.
+LEAST_SHARE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is identified (text with letters) and write it into ``lang``.
+    """Keep documents of which one language has LEAST_SHARE or more, and write it into ``lang``.
 
-    Learns from four fifths of the rows that name a language; a document
-    without letters, or null, is rejected.
+    Learns from four fifths of the rows that name a language. A document
+    without letters, or null, or whose languages are mixed beyond that share,
+    is rejected; where no row names a language, so is every document.
     """
     small_batches(spark)
     model = langid.trained(docs.where(~langid.held_out()))
     own, names, of = hidden(docs, "doc_id", "text", "lang")
     rest = [c for c in names if c != of["doc_id"]]
-    got = langid.identified(own, model, keep=tuple(rest), id_col=of["doc_id"], text_col=of["text"]).where("lang_pred <> 'und'")
+    got = langid.identified(own, model, keep=tuple(rest), id_col=of["doc_id"], text_col=of["text"]).where(F.col("score") >= LEAST_SHARE)
     now = {of["doc_id"]: "doc_id", of["lang"]: "lang_pred"}
     return got.select(*[F.col(now.get(c, c)).alias(c) for c in names]).toDF(*docs.columns)
 
@@ -72,7 +75,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     small_batches(spark)
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+    own = docs.withColumn("_loss_share", packing.loss_share())
+    return packing.packed(own, public_tokenizers.path("word_bpe_49k.json"), segments=packing.SEGMENTS, loss=packing.LOSS, loss_share="_loss_share")
 
 
 STAGES = [
@@ -91,5 +95,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over the whole of ``documents``."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
