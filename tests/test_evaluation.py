@@ -50,3 +50,39 @@ def test_sweep(spark):
     scored = spark.createDataFrame([("a", 0, 0, 1, "P", 0.5), ("a", 0, 4, 5, "P", 0.9)], KIND + ", score double")
     got = {r["threshold"]: (r["tp"], r["fp"], r["fn"]) for r in E.threshold_sweep(gold, scored, [0.0, 0.5, 0.6, 0.95]).collect()}
     assert got == {0.0: (1, 1, 1), 0.5: (1, 1, 1), 0.6: (0, 1, 2), 0.95: (0, 0, 2)}
+
+
+GOOD = {"a": ["Anna qui", "ciao"], "b": ["nulla"]}
+WRONG = [
+    ({}, [], [], [], ["a", "b"], None, "no inputs"),
+    (GOOD, [("a", 0, 0, 4, "PERSON")], [], [("a", "ok", None)], ["a"], None, "b: no gold"),
+    (GOOD, [], [("a", 0, 0, 4, "CITY")], [("a", "ok", None)], ["a", "b"], None, "a: prediction: field or type"),
+    (GOOD, [], [("a", 0, 0, 40, "PERSON")], [("a", "ok", None)], ["a", "b"], None, "a: prediction: bounds"),
+    (GOOD, [("a", 0, 0, 4, "PERSON"), ("a", 0, 2, 6, "PERSON")], [], [("a", "ok", None)], ["a", "b"], None, "a: gold: overlap"),
+    (GOOD, [], [], [("a", "boh", None)], ["a", "b"], None, "a: state"),
+    (GOOD, [], [], [("a", "errore", " ")], ["a", "b"], None, "a: failure without a reason"),
+    (GOOD, [], [("a", 0, 0, 4, "PERSON")], [("a", "errore", "x")], ["a", "b"], None, "a: failure with spans"),
+    (GOOD, [], [], [("z", "ok", None)], ["a", "b"], None, "z: prediction without input"),
+    (GOOD, [], [], [("a", "ok", None), ("a", "ok", None)], ["a", "b"], None, "a: repeated prediction"),
+    (GOOD, [], [], [], ["a", "b"], ("b", 0, "Utente", "again"), "b: repeated input"),
+    (GOOD, [], [], [], ["a", "b"], ("a", 2, "Altro", "x"), "a: message"),
+    (GOOD, [], [], [], ["a", "b"], ("a", 2, "Utente", None), "a: message"),
+    (GOOD, [], [], [], ["a", "b", "c"], ("c", None, None, None), "c: no messages"),
+]
+
+
+@pytest.mark.parametrize("texts, gold, pred, states, ids, extra, said", WRONG)
+def test_invalid_evaluations_are_refused(spark, texts, gold, pred, states, ids, extra, said):
+    rows = [(i, k, "Utente" if k % 2 == 0 else "Agente", t) for i, ts in texts.items() for k, t in enumerate(ts)] + ([extra] if extra else [])
+    messages = spark.createDataFrame(rows, "id string, idx int, sender string, text string")
+    frames = spark.createDataFrame(gold, KIND), spark.createDataFrame(pred, KIND), spark.createDataFrame(states, "id string, state string, error string")
+    with pytest.raises(ValueError, match=said):
+        E.evaluate(messages, *frames, ("PERSON",), gold_ids=spark.createDataFrame([(i,) for i in ids], "id string"))
+
+
+def test_valid_evaluations_pass(spark):
+    messages = spark.createDataFrame([("a", 0, "Utente", "Anna qui"), ("b", 0, "Utente", "x")], "id string, idx int, sender string, text string")
+    spans = spark.createDataFrame([("a", 0, 0, 4, "PERSON")], KIND)
+    states = spark.createDataFrame([("a", "ok", None), ("b", "errore", "timeout")], "id string, state string, error string")
+    r = E.evaluate(messages, spans, spans, states, ("PERSON",), gold_ids=spark.createDataFrame([("a",), ("b",)], "id string"))
+    assert r.micro.first()["tp"] == 1 and r.failures.count() == 1

@@ -1,7 +1,7 @@
-import hashlib
 import random
 import statistics
 
+import numpy as np
 import pytest
 
 from velaspan.operators import resampling as R
@@ -22,20 +22,58 @@ def test_units_and_points(spark):
     assert p[("m2", "LOCATION.precision")] is None
 
 
+def by_force(spark, u, samples, metric="micro.precision"):
+    """Values of a metric for samples of ids, conversation by conversation."""
+    own = {(r["model"], r["id"]): r.asDict() for r in u.collect()}
+    out = {}
+    for model in ("m1", "m2"):
+        for rep, ids in enumerate(samples):
+            tp, fp = (sum(own[model, i][f"micro_{o}"] for i in ids) for o in ("tp", "fp"))
+            out[model, rep] = tp / (tp + fp) if tp + fp else None
+    return out
+
+
 def test_sequential_draws_are_pythons(spark):
+    _, u = fixture(spark)
     g = random.Random(3)
-    want = {}
-    for rep in range(4):
-        for pos in g.choices(range(5), k=5):
-            want[(rep, pos)] = want.get((rep, pos), 0) + 1
-    assert {(r["rep"], r["pos"]): r["weight"] for r in R.sequential_draws(spark, 5, 4, 3).collect()} == want
+    want = by_force(spark, u, [g.choices([f"c{i}" for i in range(5)], k=5) for _ in range(40)])
+    got = {(r["model"], r["rep"]): r["value"] for r in R.sequential(u, 40, 3).where("metric = 'micro.precision'").collect()}
+    assert got == want
+
+
+def mixed(x):
+    m = 2**32 - 1
+    x = ((x ^ x >> 16) * 0x7FEB352D) & m
+    x = ((x ^ x >> 15) * 0x846CA68B) & m
+    return x ^ x >> 16
+
+
+def test_draws_are_those_of_brute_force(spark):
+    _, u = fixture(spark)
+    samples = [[f"c{mixed((mixed(9 + rep) + d) & 2**32 - 1) % 5}" for d in range(5)] for rep in range(30)]
+    got = {(r["model"], r["rep"]): r["value"] for r in R.replicated(u, 30, 9).where("metric = 'micro.precision'").collect()}
+    assert got == by_force(spark, u, samples)
+
+
+def test_poisson_weights_have_mean_and_variance_one(spark):
+    w = R._poisson(R.mixed(np.arange(2000, dtype=np.uint64)), R.mixed(np.arange(500, dtype=np.uint64)))
+    assert w.mean() == pytest.approx(1, abs=0.01) and w.var() == pytest.approx(1, abs=0.02)
+    conv = spark.createDataFrame([(m, f"c{i}") for m in ("m1", "m2") for i in range(400)], "model string, id string")
+    out = spark.createDataFrame([(m, f"c{i}", "PERSON", "tp" if (i * 7) % 10 < k else "fp") for m, k in (("m1", 6), ("m2", 4)) for i in range(400)], "model string, id string, type string, outcome string")
+    u = R.units(conv, out)
+    near, far = (R.differences(R.replicated(u, 800, 5, exact=e), R.point_estimates(u), ["m1", "m2"]).where("metric = 'micro.f1'").first() for e in (None, 0))
+    assert near["estimate"] == far["estimate"] and all(near[c] == pytest.approx(far[c], abs=0.02) for c in ("mean", "ci_lower", "ci_upper", "standard_error"))
+
+
+def test_models_need_the_same_conversations(spark):
+    _, u = fixture(spark)
+    with pytest.raises(ValueError):
+        R.replicated(u.where("not (model = 'm1' and id = 'c0')"), 5, 1)
 
 
 def test_replicates_and_summary(spark):
     conv, u = fixture(spark)
-    draws = R.hash_draws(spark, 5, 50, 1)
-    assert {r["n"] for r in draws.groupBy("rep").agg({"weight": "sum"}).withColumnRenamed("sum(weight)", "n").collect()} == {5}
-    values = R.replicated(u, R.numbered(conv), draws)
+    values = R.replicated(u, 50, 1)
     v = sorted(r["value"] for r in values.where("model = 'm1' and metric = 'micro.precision' and value is not null").collect())
     s = R.summary(values, R.point_estimates(u), ["model", "metric"]).where("model = 'm1' and metric = 'micro.precision'").first()
     assert s["mean"] == pytest.approx(statistics.fmean(v)) and s["variance"] == pytest.approx(statistics.variance(v)) and s["replicates_valid"] == len(v)
@@ -55,15 +93,6 @@ def test_index_interval(spark):
     assert (r["lo"], r["hi"]) == (2.0, 96.0)
 
 
-def test_hash_draws_are_those_of_brute_force(spark):
-    want = {}
-    for rep in range(3):
-        for draw in range(7):
-            pos = int(hashlib.sha256(f"5|{rep}|{draw}".encode()).hexdigest()[:8], 16) % 7
-            want[(rep, pos)] = want.get((rep, pos), 0) + 1
-    assert {(r["rep"], r["pos"]): r["weight"] for r in R.hash_draws(spark, 7, 3, 5).collect()} == want
-
-
 def test_registered_bootstrap_draws_the_references_replicates(spark, data):
     from velaspan.plans import queries as plans
 

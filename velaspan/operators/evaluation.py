@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velaspan.operators.spans import shared_characters
+from velaspan.operators.spans import invalid_spans
 
 SPAN = ("id", "idx", "start", "end", "type")
 # The senders and prediction states of the format.
@@ -30,11 +30,10 @@ def with_scores(df: DataFrame, zero: bool = False) -> DataFrame:
 
 
 def compared(gold: DataFrame, pred: DataFrame, keys: Sequence[str] = SPAN) -> DataFrame:
-    """Distinct spans of both sides with ``outcome``: tp, fp or fn. One full outer join on the span's key."""
-    g = gold.select(*keys).distinct().withColumn("_g", F.lit(True))
-    p = pred.select(*keys).distinct().withColumn("_p", F.lit(True))
-    outcome = F.when(F.col("_g") & F.col("_p"), "tp").when(F.col("_p"), "fp").otherwise("fn")
-    return g.join(p, list(keys), "full_outer").select(*keys, outcome.alias("outcome"))
+    """Distinct spans of both sides with ``outcome``: tp, fp or fn. One aggregation by the span's key, with partial sums before the shuffle."""
+    both = gold.select(*keys, F.lit(True).alias("_g"), F.lit(False).alias("_p")).union(pred.select(*keys, F.lit(False), F.lit(True)))
+    outcome = F.when(F.bool_and("_g"), "fn").when(F.bool_and("_p"), "fp").otherwise("tp")
+    return both.groupBy(*keys).agg(outcome.alias("outcome"))
 
 
 def counted(outcomes: DataFrame, *by: str) -> DataFrame:
@@ -84,17 +83,25 @@ class Evaluation:
     failures: DataFrame
 
 
-def conversation_characters(messages: DataFrame, gold: DataFrame, pred: DataFrame) -> DataFrame:
+def conversation_characters(messages: DataFrame, outcomes: DataFrame) -> DataFrame:
     """By conversation: expected, covered, uncovered, overmasked and other characters; types do not matter.
 
-    Both sides are free of overlaps within a message, so lengths add up and no
-    position is ever expanded.
+    ``outcomes`` are compared spans. Each side is free of overlaps within a
+    message, so lengths add up; what both sides cover is their sum less the
+    union, which one pass along a message's sorted spans gives. No position is
+    ever expanded and no pair of spans is made.
     """
     size = messages.groupBy("id").agg(F.sum(F.length("text")).alias("total"))
-    g = gold.groupBy("id").agg(F.sum(F.col("end") - F.col("start")).alias("expected"))
-    p = pred.groupBy("id").agg(F.sum(F.col("end") - F.col("start")).alias("predicted"))
-    both = shared_characters(gold, pred).groupBy("id").agg(F.sum("shared").alias("covered"))
-    out = size.join(g, "id", "left").join(p, "id", "left").join(both, "id", "left").na.fill(0)
+    long = lambda *kinds: F.coalesce(F.sum(F.when(F.col("outcome").isin(*kinds), F.col("end") - F.col("start"))), F.lit(0))
+    own = outcomes.groupBy("id", "idx").agg(long("tp", "fn").alias("expected"), long("tp", "fp").alias("predicted"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_s"))
+    union = F.aggregate(
+        "_s",
+        F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("total")),
+        lambda acc, s: F.struct(F.greatest(acc["upto"], s["end"].cast("long")).alias("upto"), (acc["total"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], acc["upto"]))).alias("total")),
+        lambda acc: acc["total"],
+    )
+    sums = own.withColumn("covered", F.col("expected") + F.col("predicted") - union).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("expected", "predicted", "covered")])
+    out = size.join(sums, "id", "left").na.fill(0)
     return out.select("id", "expected", "covered", (F.col("expected") - F.col("covered")).alias("uncovered"), (F.col("predicted") - F.col("covered")).alias("overmasked"), (F.col("total") - F.col("expected")).alias("other"), "predicted")
 
 
@@ -117,17 +124,54 @@ def error_list(outcomes: DataFrame) -> DataFrame:
     return wrong.groupBy("id").agg(pick("fp"), pick("fn"))
 
 
-def evaluate(messages: DataFrame, gold: DataFrame, pred: DataFrame, outcomes: DataFrame, types: Sequence[str], focus: Sequence[str] = ()) -> Evaluation:
-    """Everything that the evaluation of one model reports, over conversations whose prediction is usable."""
+def problems(messages: DataFrame, gold: DataFrame, gold_ids: DataFrame, pred: DataFrame, outcomes: DataFrame, types: Sequence[str]) -> DataFrame:
+    """(id, problem): all that makes an evaluation invalid. None of it is a matter of scores, so none may be left out silently.
+
+    Ids that do not fit; inputs that repeat, have no messages, or one with a bad
+    sender or without text; states that are neither ok nor errore; failures
+    without a reason or with spans; and spans of either side that are invalid.
+    """
+    bad = lambda df, why: df.select("id", F.lit(why).alias("problem"))
+    twice = messages.where("idx is not null").groupBy("id", "idx").count().where("count > 1").select("id").distinct()
+    message = messages.where(F.col("idx").isNotNull() & (~F.coalesce(F.col("sender").isin(*SENDERS), F.lit(False)) | F.col("text").isNull())).select("id").distinct()
+    failed = outcomes.where(f"state = '{FAILED}'")
+    out = id_problems(messages, gold_ids, outcomes)
+    out = out.union(bad(twice, "repeated input")).union(bad(messages.where("idx is null").select("id").distinct(), "no messages")).union(bad(message, "message"))
+    out = out.union(bad(outcomes.where(f"state is null or state not in ('{OK}', '{FAILED}')"), "state"))
+    out = out.union(bad(failed.where("trim(coalesce(error, '')) = ''"), "failure without a reason")).union(bad(pred.join(failed, "id", "left_semi").select("id").distinct(), "failure with spans"))
+    usable = pred.join(outcomes.where(f"state = '{OK}'"), "id", "left_semi")
+    for side, spans in (("gold", gold), ("prediction", usable)):
+        out = out.union(invalid_spans(spans, messages, types).select("id", F.concat(F.lit(f"{side}: "), "reason").alias("problem")).distinct())
+    return out
+
+
+def require(problems_: DataFrame, messages: DataFrame) -> None:
+    """Raise ValueError if there are no inputs, or if there is any problem; the first ten are named."""
+    if messages.isEmpty():
+        raise ValueError("no inputs")
+    if found := [f"{r['id']}: {r['problem']}" for r in problems_.orderBy("id", "problem").limit(10).collect()]:
+        raise ValueError("invalid evaluation: " + "; ".join(found))
+
+
+def evaluate(messages: DataFrame, gold: DataFrame, pred: DataFrame, outcomes: DataFrame, types: Sequence[str], focus: Sequence[str] = (), gold_ids: DataFrame | None = None) -> Evaluation:
+    """Everything that the evaluation of one model reports, over conversations whose prediction is usable.
+
+    With ``gold_ids`` (id of each conversation that gold exists for), inputs are
+    checked first and any of :func:`problems` raises ValueError; without, the
+    caller has checked them and nothing runs here.
+    """
     if not types or set(focus) - set(types):
         raise ValueError("types must not be empty, and must hold the focus types")
+    if gold_ids is not None:
+        require(problems(messages, gold, gold_ids, pred, outcomes, types), messages)
     usable = outcomes.where(f"state = '{OK}'").select("id").distinct()
-    messages_, gold_, pred_ = (df.join(usable, "id", "left_semi") for df in (messages, gold, pred))
-    spans = compared(gold_, pred_)
+    spans = compared(gold, pred).join(usable, "id", "left_semi").select(*SPAN, "outcome")
+    messages_ = messages.join(usable, "id", "left_semi")
     by_type = always(counted(spans, "type"), "type", sorted(types))
-    by_role = always(counted(spans.join(messages_.select("id", "idx", "sender"), ["id", "idx"]), "sender"), "sender", SENDERS)
+    per_message = counted(spans, "id", "idx").join(messages_.select("id", "idx", "sender"), ["id", "idx"])
+    by_role = always(per_message.groupBy("sender").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]), "sender", SENDERS)
     in_focus = with_scores(by_type.where(F.col("type").isin(*focus)).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])) if focus else None
-    characters = conversation_characters(messages_, gold_, pred_)
+    characters = conversation_characters(messages_, spans)
     totals = characters.agg(*[F.sum(c).alias(c) for c in ("expected", "covered", "uncovered", "overmasked", "other")]).withColumn("coverage", F.try_divide("covered", "expected"))
     return Evaluation(spans, with_scores(counted(spans)), with_scores(by_type), with_scores(by_role), in_focus, totals, flags(characters), error_list(spans), technical_failures(messages, outcomes))
 

@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
+from re import _parser as parser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,32 @@ TYPES = ("PERSON", "ORGANIZATION", "LOCATION", "ADDRESS", "EMAIL", "PHONE", "COD
 MASKING_TYPES = ("PERSON", "EMAIL", "PHONE", "ADDRESS", "COD_UTENTE", "PASSWORD", "NUM_PRATICA")
 
 
+def required(pattern: str, fold: bool) -> str:
+    """The longest string that every match of a pattern holds ('' if none is sure); with ``fold`` of characters without case only."""
+    runs = [""]
+
+    def walk(tokens) -> None:
+        for op, value in tokens:
+            if op is parser.LITERAL:
+                c = chr(value)
+                if fold and c.lower() != c.upper():
+                    runs.append("")
+                else:
+                    runs[-1] += c
+            elif op is parser.SUBPATTERN:
+                walk(value[3])
+            elif op in (parser.MAX_REPEAT, parser.MIN_REPEAT):
+                runs.append("")
+                if value[0] > 0:
+                    walk(value[2])
+                    runs.append("")
+            elif op is not parser.AT:
+                runs.append("")
+
+    walk(parser.parse(pattern))
+    return max(runs, key=len)
+
+
 @dataclass(frozen=True)
 class Rule:
     """A pattern whose group ``valore`` (or group 1) is the detected value."""
@@ -35,13 +62,17 @@ class Rule:
     def java(self) -> str:
         return (f"(?{self.flags})" if self.flags else "") + self.pattern.replace("(?P<", "(?<")
 
+    @property
+    def needs(self) -> str:
+        """A string without which a text has no match."""
+        return required(self.pattern, "i" in self.flags)
+
     @property
     def native(self) -> bool:
         """Whether nothing but assertions follows the value group, so that it ends the match."""
         if "(?P=" in self.pattern:
             return False
-        at = self.pattern.find("(?P<valore>")
-        at = self.pattern.find("(") if at < 0 else at
+        at = self._at
         depth, i, inside = 0, at, False
         while i < len(self.pattern):
             c = self.pattern[i]
@@ -60,6 +91,21 @@ class Rule:
         rest = self.pattern[i + 1 :]
         return bool(re.fullmatch(r"(\\b|\$|\(\?[!=](?:[^()\\]|\\.)*\))*", rest))
 
+    @property
+    def _at(self) -> int:
+        at = self.pattern.find("(?P<valore>")
+        return self.pattern.find("(") if at < 0 else at
+
+    @property
+    def whole(self) -> bool:
+        """Whether the value is all of the match: a native rule with nothing but assertions before its group."""
+        before = self.pattern[: self._at]
+        return self.native and bool(re.fullmatch(r"(\\b|\^|\(\?<[!=](?:[^()\\]|\\.)*\))*", before))
+
+
+#: Where a package's own configurations lie.
+CONFIGS = Path(__file__).resolve().parent.parent / "configs"
+
 
 def rules_from(config: dict) -> list[Rule]:
     """Checked rules of a configuration with ``regole``: unique names, known types, whole priorities, a value group."""
@@ -73,7 +119,8 @@ def rules_from(config: dict) -> list[Rule]:
     return out
 
 
-def read_rules(path: str | Path) -> list[Rule]:
+def read_rules(path: str | Path = CONFIGS / "rules.json") -> list[Rule]:
+    """Rules of a configuration file, by default those that come with the package."""
     return rules_from(json.loads(Path(path).read_text(encoding="utf-8")))
 
 
@@ -85,19 +132,22 @@ def matches(text: str, rule: Rule) -> Column:
     """All matches of a rule in the column named ``text``: array of (start, end, type, value, rule, priority).
 
     The lengths of the pieces between matches and of the matches give the end
-    of each match, which is the end of its value.
+    of each match, which is the end of its value. A text without the string
+    that the rule needs is not searched, and one without a match only once.
     """
     p = _quoted(rule.java)
+    values = f"regexp_extract_all({text}, {p}, 0)" if rule.whole else f"regexp_extract_all({text}, {p}, {rule.group})"
+    sure = f"contains({text}, {_quoted(rule.needs)}) AND " if rule.needs else ""
     empty = "cast(array() AS array<struct<start:int,end:int,type:string,value:string,rule:string,priority:int>>)"
     fold = (
-        f"aggregate(arrays_zip(regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {rule.group}), split({text}, {p}, -1)),"
+        f"aggregate(arrays_zip(regexp_extract_all({text}, {p}, 0), {values}, split({text}, {p}, -1)),"
         f" named_struct('at', 0, 'out', {empty}),"
         " (acc, x) -> named_struct('at', acc.at + length(x.`2`) + coalesce(length(x.`0`), 0), 'out', if(x.`0` IS NULL, acc.out,"
         " array_append(acc.out, named_struct('start', acc.at + length(x.`2`) + length(x.`0`) - length(x.`1`), 'end', acc.at + length(x.`2`) + length(x.`0`),"
         f" 'type', {_quoted(rule.type)}, 'value', x.`1`, 'rule', {_quoted(rule.name)}, 'priority', {rule.priority})))),"
         " acc -> acc.out)"
     )
-    return F.expr(f"if({text} rlike {p}, {fold}, {empty})")
+    return F.expr(f"if({sure}{text} rlike {p}, {fold}, {empty})")
 
 
 def _python_matches(rules: list[Rule]):
@@ -121,19 +171,23 @@ def candidates(df: DataFrame, rules: list[Rule], text: str = "text", out: str =
 
 def detected(df: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """One row for each match of each rule: columns of ``df`` but the text, then start, end, type, value, rule, priority."""
-    rest = [c for c in df.columns if c != text]
-    return candidates(df, rules, text).select(*rest, F.explode("found").alias("m")).select(*rest, "m.*")
+    return _rows(candidates(df, rules, text), [c for c in df.columns if c != text])
+
+
+def _rows(found: DataFrame, rest: list[str]) -> DataFrame:
+    # not explode(): Spark would filter by the array first, and so compute all of it again below the scan's filter
+    return found.select(*rest, F.explode_outer("found").alias("m")).where("m is not null").select(*rest, "m.*")
 
 
 def greedy(spans: Column, key) -> Column:
     """Spans in the order of ``key`` (a function of a span), each kept unless it overlaps one kept before; by start."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(key(s).alias("key"), s.alias("span"))))
-    kept = F.aggregate(
-        ordered,
-        F.slice(spans, 1, 0),
+    fold = lambda o: F.aggregate(
+        o,
+        F.transform(F.slice(o, 1, 0), lambda x: x["span"]),
         lambda acc, x: F.when(F.exists(acc, lambda k: (k["start"] < x["span"]["end"]) & (k["end"] > x["span"]["start"])), acc).otherwise(F.array_append(acc, x["span"])),
     )
-    return F.array_sort(kept)
+    return F.array_sort(F.get(F.transform(F.array(ordered), fold), F.lit(0)))  # the spans are computed once, as the fold's variable
 
 
 def by_priority(s: Column) -> Column:
@@ -149,6 +203,5 @@ def by_score(s: Column) -> Column:
 def resolved(df: DataFrame, rules: list[Rule], text: str = "text", types: tuple[str, ...] | None = None) -> DataFrame:
     """Non-overlapping matches, one row each: the flat view of a text. ``types`` keeps only those."""
     rest = [c for c in df.columns if c != text]
-    got = candidates(df, rules, text).withColumn("found", greedy(F.col("found"), by_priority))
-    out = got.select(*rest, F.explode("found").alias("m")).select(*rest, "m.*")
+    out = _rows(candidates(df, rules, text).withColumn("found", greedy(F.col("found"), by_priority)), rest)
     return out.where(F.col("type").isin(*types)) if types else out

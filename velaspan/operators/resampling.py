@@ -1,15 +1,19 @@
 """Paired cluster bootstrap over conversations.
 
 Counters are summed once for each (model, conversation). A replicate is a
-multiset of conversation numbers, drawn once and joined to all models, so
-differences between models are paired. What is shuffled is counters, never spans.
+multiset of conversations, the same for all models, so differences between
+models are paired. Replicates are independent: each task draws some of them in
+blocks and multiplies their weights with the counters, so neither spans nor
+draws are ever shuffled.
 """
 
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,32 +41,109 @@ def units(conversations: DataFrame, outcomes: DataFrame, addresses: DataFrame |
     return out.na.fill(0)
 
 
-def numbered(ids: DataFrame) -> DataFrame:
-    """(id, pos): ids numbered from 0 in their order. The number of conversations of an evaluation is small beside its spans."""
-    return ids.select("id").distinct().withColumn("pos", F.row_number().over(Window.orderBy("id")) - 1)
+#: Conversations up to which a replicate draws exactly as many with replacement, from counters that every task has
+#: (104 bytes each and model). Beyond, each conversation counts a Poisson number of times, where its counters are.
+EXACT = 200_000
+#: Weights that a task holds at a time.
+BLOCK = 4_000_000
+_U = np.uint64
 
 
-def hash_draws(spark: SparkSession, n: int, replicates: int, seed: int) -> DataFrame:
-    """(rep, pos, weight): n draws with replacement in each replicate, by hashes of seed, replicate and draw.
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of the splitmix64 generator."""
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def mixed32(x: np.ndarray) -> np.ndarray:
+    """A finaliser of 32 bits, whose products fit the integers of any SQL engine."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x846CA68B)
+    return x ^ (x >> np.uint32(16))
+
+
+def drawn(reps: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Positions (replicate x draw), n draws with replacement from n: mixed32(mixed32(seed + replicate) + draw) modulo n."""
+    keys = mixed32((reps.astype(np.int64) + seed).astype(np.uint32))
+    return (mixed32(keys[:, None] + np.arange(n, dtype=np.uint32)) % np.uint32(n)).astype(np.int64)
+
+
+def _poisson(keys: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    """Poisson weights of mean 1 (replicate x conversation), by inversion of mixed hashes."""
+    share = (mixed(keys[:, None] + positions) >> _U(11)).astype(np.float64) / 2.0**53
+    below = np.exp(-1.0) * np.cumsum(1 / np.cumprod(np.maximum(np.arange(20), 1)))
+    return np.searchsorted(below, share, side="right").astype(np.float64)
+
+
+def _sums(models: list[str], reps: np.ndarray, sums: np.ndarray) -> pd.DataFrame:
+    out = pd.DataFrame(sums.reshape(-1, len(COUNTERS)), columns=list(COUNTERS))
+    out.insert(0, "rep", np.repeat(reps, len(models)))
+    out.insert(0, "model", models * len(reps))
+    return out
+
+
+_KIND = "model string, rep long, " + ", ".join(f"{c} double" for c in COUNTERS)
 
-    The same on every engine that has SHA-256; made where it is needed, with a partial sum before the shuffle.
-    """
-    grid = spark.range(replicates * n).select((F.col("id") / n).cast("long").alias("rep"), (F.col("id") % n).alias("draw"))
-    text = F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("draw").cast("string"))
-    pos = F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 8), 16, 10).cast("long") % n
-    return grid.select("rep", pos.alias("pos")).groupBy("rep", "pos").agg(F.count("*").alias("weight"))
 
+def _exact(spark: SparkSession, counters: DataFrame, models: list[str], n: int, replicates: int, seed: int) -> DataFrame:
+    table = counters.select("model", "id", *COUNTERS).toPandas().sort_values("id", kind="stable")
+    shared = spark.sparkContext.broadcast(np.concatenate([table[table["model"] == m][list(COUNTERS)].to_numpy(np.float64) for m in models], axis=1))
 
-def sequential_draws(spark: SparkSession, n: int, replicates: int, seed: int) -> DataFrame:
-    """The same with the sequential generator of Python's ``random``, drawn on the driver (n times replicates numbers)."""
-    generator, items = random.Random(seed), range(n)
-    rows: list[tuple[int, int, int]] = []
-    for rep in range(replicates):
-        counts: dict[int, int] = {}
-        for pos in generator.choices(items, k=n):
-            counts[pos] = counts.get(pos, 0) + 1
-        rows += [(rep, pos, weight) for pos, weight in counts.items()]
-    return spark.createDataFrame(rows, "rep long, pos long, weight long")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = max(1, BLOCK // n)
+        for batch in batches:
+            for at in range(0, len(batch), step):
+                reps = batch["id"].to_numpy()[at : at + step]
+                flat = drawn(reps, n, seed) + np.arange(len(reps))[:, None] * n
+                weights = np.bincount(flat.ravel(), minlength=len(reps) * n).reshape(len(reps), n).astype(np.float64)
+                yield _sums(models, reps, weights @ shared.value)
+
+    return spark.range(0, replicates, 1, max(1, min(replicates, 2 * spark.sparkContext.defaultParallelism))).mapInPandas(run, _KIND)
+
+
+def _approximate(spark: SparkSession, counters: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """The Poisson bootstrap: sums of each task's conversations, then of tasks. A conversation's weights are the same for all models."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[str, np.ndarray] = {}
+        keys = mixed(np.arange(replicates, dtype=np.uint64) + _U(seed))
+        for batch in batches:
+            for model, own in batch.groupby("model"):
+                sums = total.setdefault(model, np.zeros((replicates, len(COUNTERS))))
+                step = max(1, BLOCK // replicates)
+                for at in range(0, len(own), step):
+                    part = own.iloc[at : at + step]
+                    sums += _poisson(keys, part["key"].to_numpy().view(np.uint64)) @ part[list(COUNTERS)].to_numpy(np.float64)
+        for model, sums in total.items():
+            yield _sums([model], np.arange(replicates), sums)
+
+    rows = counters.select("model", F.xxhash64("id").alias("key"), *COUNTERS)
+    return rows.mapInPandas(run, _KIND).groupBy("model", "rep").agg(*[F.sum(c).alias(c) for c in COUNTERS])
+
+
+def replicated(counters: DataFrame, replicates: int, seed: int, exact: int | None = None) -> DataFrame:
+    """(model, rep, metric, value) of every replicate, over the conversations of :func:`units`."""
+    spark = counters.sparkSession
+    sizes = {r["model"]: r["n"] for r in counters.groupBy("model").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        raise ValueError("no conversations")
+    if len(set(sizes.values())) > 1:
+        raise ValueError("models must have the same conversations")
+    n = next(iter(sizes.values()))
+    sums = _exact(spark, counters, sorted(sizes), n, replicates, seed) if n <= (EXACT if exact is None else exact) else _approximate(spark, counters, replicates, seed)
+    return long_metrics(sums, "model", "rep")
+
+
+def sequential(counters: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """The same with the sequential generator of Python's ``random`` over ids in their order, drawn on the driver: n times replicates numbers."""
+    spark, generator = counters.sparkSession, random.Random(seed)
+    table = counters.select("model", "id", *COUNTERS).toPandas().sort_values("id", kind="stable")
+    models = sorted(table["model"].unique())
+    every = np.concatenate([table[table["model"] == m][list(COUNTERS)].to_numpy(np.float64) for m in models], axis=1)
+    items = range(len(every))
+    sums = np.array([np.bincount(generator.choices(items, k=len(every)), minlength=len(every)) @ every for _ in range(replicates)])
+    return long_metrics(spark.createDataFrame(_sums(models, np.arange(replicates), sums), _KIND), "model", "rep")
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -84,12 +165,6 @@ def point_estimates(counters: DataFrame) -> DataFrame:
     return long_metrics(counters.groupBy("model").agg(*[F.sum(c).alias(c) for c in COUNTERS]), "model").withColumnRenamed("value", "estimate")
 
 
-def replicated(counters: DataFrame, positions: DataFrame, draws: DataFrame) -> DataFrame:
-    """(model, rep, metric, value) of every replicate."""
-    own = counters.join(positions, "id").join(draws, "pos")
-    return long_metrics(own.groupBy("model", "rep").agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in COUNTERS]), "model", "rep")
-
-
 def summary(values: DataFrame, estimates: DataFrame, by: Sequence[str], confidence: float = 0.95) -> DataFrame:
     """Mean, bias, sample variance, standard error and interpolated percentile interval; nulls do not count."""
     if not 0 < confidence < 1:

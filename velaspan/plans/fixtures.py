@@ -66,6 +66,28 @@ FROM (SELECT id, doc_id, v, i, list_sum(list_transform(pc[1:i], lambda x: length
     return "\nUNION ALL\n".join(parts)
 
 
+def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an imperfect detector finds: loose matches, of which by id and place some are left out, end early or get another type; and a false one at the end of every fifth text."""
+    k = (F.col("doc_id") + F.col("start")) % 7
+    rows = spans(spark, sf_dir, LOOSE).where(k != 0)
+    other = F.when(F.col("type") == "PHONE", "PASSWORD").otherwise("PHONE")
+    rows = rows.select(
+        "id", "idx", "doc_id", "start", F.when(k == 1, F.col("end") - 1).otherwise(F.col("end")).alias("end"), F.when(k == 2, other).otherwise(F.col("type")).alias("type"),
+        F.when(k == 1, F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value")).alias("value"), "rule", "priority",
+    )
+    size = F.length("text")
+    false = docs(spark, sf_dir).where((F.col("doc_id") % 5 == 0) & (size >= 40))
+    false = false.select("id", "idx", "doc_id", (size - 3).alias("start"), size.alias("end"), F.lit("PHONE").alias("type"), F.substring("text", size - 2, F.lit(3)).alias("value"), F.lit("tail").alias("rule"), F.lit(20).alias("priority"))
+    return rows.union(false)
+
+
+def predicted_sql() -> str:
+    return f"""SELECT id, idx, doc_id, start, CASE WHEN (doc_id + start) % 7 = 1 THEN "end" - 1 ELSE "end" END AS "end",
+  CASE WHEN (doc_id + start) % 7 <> 2 THEN type WHEN type = 'PHONE' THEN 'PASSWORD' ELSE 'PHONE' END AS type,
+  CASE WHEN (doc_id + start) % 7 = 1 THEN substr(value, 1, length(value) - 1) ELSE value END AS value, rule, priority FROM ({spans_sql(LOOSE)}) WHERE (doc_id + start) % 7 <> 0
+UNION ALL SELECT 'doc-' || CAST(doc_id AS VARCHAR), 0, doc_id, CAST(length(text) - 3 AS INTEGER), CAST(length(text) AS INTEGER), 'PHONE', substr(text, CAST(length(text) - 2 AS INTEGER), 3), 'tail', 20 FROM documents WHERE doc_id % 5 = 0 AND length(text) >= 40"""
+
+
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A detector that skips very short documents and runs out of time on very long ones."""
     failed = F.col("n_chars") > 12000
@@ -76,6 +98,11 @@ OUTCOMES = """SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS id, CASE WHEN n_chars
   FROM documents WHERE n_chars >= 40"""
 
 
+def usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcomes of a detector that never fails."""
+    return docs(spark, sf_dir).select("id", F.lit("ok").alias("state"), F.lit(None).cast("string").alias("error"))
+
+
 def pseudo_score(*parts: str) -> Column:
     """A number in [0, 1) from columns, the same in SQL."""
     text = F.concat_ws("|", *[F.col(p).cast("string") for p in parts])

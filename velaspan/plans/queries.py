@@ -35,6 +35,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+PRED_SQL = fx.predicted_sql()
 STRICT_SQL, LOOSE_SQL, BOTH_SQL = fx.spans_sql(fx.STRICT), fx.spans_sql(fx.LOOSE), fx.spans_sql(fx.STRICT + fx.LOOSE)
 SCORES_SQL = "CAST(tp AS DOUBLE) / nullif(tp + fp, 0) AS precision, CAST(tp AS DOUBLE) / nullif(tp + fn, 0) AS recall, 2.0 * tp / nullif(2 * tp + fp + fn, 0) AS f1"
 
@@ -157,10 +158,9 @@ def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- evaluation ------------------------------------------------------------------------------
 
-_EVAL = f"""WITH o AS (SELECT id FROM ({fx.OUTCOMES}) WHERE state = 'ok'),
-d AS (SELECT x.* FROM ({fx.DOCS}) x JOIN o ON x.id = o.id),
-g AS (SELECT DISTINCT x.id, x.idx, x.start, x."end" AS fin, x.type FROM ({STRICT_SQL}) x JOIN o ON x.id = o.id),
-p AS (SELECT DISTINCT x.id, x.idx, x.start, x."end" AS fin, x.type FROM ({LOOSE_SQL}) x JOIN o ON x.id = o.id),
+_EVAL = f"""WITH d AS ({fx.DOCS}),
+g AS (SELECT DISTINCT id, idx, start, "end" AS fin, type FROM ({STRICT_SQL})),
+p AS (SELECT DISTINCT id, idx, start, "end" AS fin, type FROM ({PRED_SQL})),
 c AS (SELECT coalesce(g.id, p.id) AS id, coalesce(g.idx, p.idx) AS idx, coalesce(g.start, p.start) AS start, coalesce(g.fin, p.fin) AS fin, coalesce(g.type, p.type) AS type,
   CASE WHEN g.id IS NOT NULL AND p.id IS NOT NULL THEN 'tp' WHEN p.id IS NOT NULL THEN 'fp' ELSE 'fn' END AS outcome
   FROM g FULL OUTER JOIN p ON g.id = p.id AND g.idx = p.idx AND g.start = p.start AND g.fin = p.fin AND g.type = p.type)"""
@@ -168,8 +168,8 @@ _COUNTS = "count(*) FILTER (outcome = 'tp') AS tp, count(*) FILTER (outcome = 'f
 
 
 def _evaluation(spark: SparkSession, sf_dir: str) -> E.Evaluation:
-    gold, pred = fx.spans(spark, sf_dir, fx.STRICT).select(*E.SPAN), fx.spans(spark, sf_dir, fx.LOOSE).select(*E.SPAN)
-    return E.evaluate(fx.docs(spark, sf_dir), gold, pred, fx.outcomes(spark, sf_dir), fx.TYPES + ("DATE",), fx.FOCUS)
+    gold, pred = fx.spans(spark, sf_dir, fx.STRICT).select(*E.SPAN), fx.predicted(spark, sf_dir).select(*E.SPAN)
+    return E.evaluate(fx.docs(spark, sf_dir), gold, pred, fx.usable(spark, sf_dir), fx.TYPES + ("DATE",), fx.FOCUS)
 
 
 @query(f"{_EVAL}, n AS (SELECT {_COUNTS} FROM c) SELECT tp, fp, fn, {SCORES_SQL} FROM n")
@@ -221,7 +221,7 @@ def conversation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT d.id, coalesce(o.state, 'mancante') AS state, o.error FROM ({fx.DOCS}) d LEFT JOIN ({fx.OUTCOMES}) o ON d.id = o.id WHERE o.state IS NULL OR o.state = 'errore'""")
 def technical_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _evaluation(spark, sf_dir).failures
+    return E.technical_failures(fx.docs(spark, sf_dir), fx.outcomes(spark, sf_dir))
 
 
 @query(f"""WITH g AS (SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS id FROM labels), d AS (SELECT id FROM ({fx.DOCS}))
@@ -235,7 +235,7 @@ def id_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 THRESHOLDS = (0.0, 0.25, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95)
 _SWEEP = f"""WITH g AS (SELECT DISTINCT id, idx, start, "end" AS fin, type FROM ({STRICT_SQL})),
-p AS (SELECT id, idx, start, "end" AS fin, type, max({fx.pseudo_score_sql("id", "start", "rule")}) AS score FROM ({LOOSE_SQL}) GROUP BY ALL),
+p AS (SELECT id, idx, start, "end" AS fin, type, max({fx.pseudo_score_sql("id", "start", "rule")}) AS score FROM ({PRED_SQL}) GROUP BY ALL),
 t AS (SELECT unnest([{", ".join(f"CAST({x} AS DOUBLE)" for x in THRESHOLDS)}]) AS threshold),
 f AS (SELECT g.id AS gid, p.id AS pid, p.score FROM g FULL OUTER JOIN p ON g.id = p.id AND g.idx = p.idx AND g.start = p.start AND g.fin = p.fin AND g.type = p.type),
 n AS (SELECT threshold, count(*) FILTER (gid IS NOT NULL AND pid IS NOT NULL AND score >= threshold) AS tp, count(*) FILTER (gid IS NULL AND score >= threshold) AS fp,
@@ -245,14 +245,14 @@ SELECT threshold, tp, fp, fn, {SCORES_SQL} FROM n"""
 
 @query(_SWEEP)
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = fx.spans(spark, sf_dir, fx.LOOSE).withColumn("score", fx.pseudo_score("id", "start", "rule"))
+    scored = fx.predicted(spark, sf_dir).withColumn("score", fx.pseudo_score("id", "start", "rule"))
     return E.threshold_sweep(fx.spans(spark, sf_dir, fx.STRICT), scored, THRESHOLDS)
 
 
-@query(f"""{_EVAL} SELECT value, count(*) AS n FROM c JOIN (SELECT DISTINCT id, idx, start, "end" AS fin, type, value FROM ({LOOSE_SQL})) v
+@query(f"""{_EVAL} SELECT value, count(*) AS n FROM c JOIN (SELECT DISTINCT id, idx, start, "end" AS fin, type, value FROM ({PRED_SQL})) v
   ON c.id = v.id AND c.idx = v.idx AND c.start = v.start AND c.fin = v.fin AND c.type = v.type WHERE outcome = 'fp' GROUP BY value ORDER BY n DESC, value LIMIT 20""")
 def top_false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = fx.spans(spark, sf_dir, fx.LOOSE).select(*E.SPAN, "value").distinct()
+    values = fx.predicted(spark, sf_dir).select(*E.SPAN, "value").distinct()
     return E.frequent_false_positives(_evaluation(spark, sf_dir).spans, values, 20)
 
 
@@ -426,10 +426,21 @@ def _boot(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         own = ids.withColumn("model", F.lit(name))
         found = one if found is None else found.union(one)
         conversations = own if conversations is None else conversations.union(own)
-    counters = R.units(conversations, found)
-    n = ids.count()
-    values = R.replicated(counters, R.numbered(ids), R.hash_draws(spark, n, REPLICATES, SEED))
-    return values, R.point_estimates(counters)
+    # an address for every third text, of which a detector covers what its length leaves over
+    size = F.length("text")
+    models = F.explode(F.array(*map(F.lit, _BOOT))).alias("model")
+    covered = F.when(F.col("model") == "loose", size % 21).otherwise(size % 13).cast("int")
+    addresses = fx.docs(spark, sf_dir).where(F.col("doc_id") % 3 == 0).select(models, "id", "text")
+    addresses = addresses.select("model", "id", F.lit(20).alias("expected"), covered.alias("covered"), (covered == 20).alias("complete"))
+    counters = R.units(conversations, found, addresses).persist()  # counted, collected and summed
+    return R.replicated(counters, REPLICATES, SEED), R.point_estimates(counters)
+
+
+def _mixed_sql(inner: str, out: str, keep: str) -> str:
+    """``inner`` with its column x, below 2^32, mixed as ``out``."""
+    one = f"SELECT {keep}, (xor(x, x >> 16) * {0x7FEB352D}) & 4294967295 AS x FROM ({inner})"
+    two = f"SELECT {keep}, (xor(x, x >> 15) * {0x846CA68B}) & 4294967295 AS x FROM ({one})"
+    return f"SELECT {keep}, xor(x, x >> 16) AS {out} FROM ({two})"
 
 
 def _boot_sql() -> str:
@@ -438,19 +449,24 @@ def _boot_sql() -> str:
     for name, rules in _BOOT.items():
         parts.append(f"""SELECT '{name}' AS model, coalesce(g.id, p.id) AS id, coalesce(g.type, p.type) AS type, CASE WHEN g.id IS NOT NULL AND p.id IS NOT NULL THEN 'tp' WHEN p.id IS NOT NULL THEN 'fp' ELSE 'fn' END AS o
 FROM (SELECT DISTINCT id, start, "end" AS fin, type FROM ({gold})) g FULL OUTER JOIN (SELECT DISTINCT id, start, "end" AS fin, type FROM ({fx.spans_sql(rules)})) p ON g.id = p.id AND g.start = p.start AND g.fin = p.fin AND g.type = p.type""")
+    keys = _mixed_sql(f"SELECT r, CAST(r + {SEED} AS UBIGINT) AS x FROM (SELECT unnest(range(0, {REPLICATES})) AS r)", "k", "r")
+    draws = _mixed_sql(f"SELECT r, d, (k + CAST(d AS UBIGINT)) & 4294967295 AS x FROM ({keys}) a, (SELECT unnest(range(0, (SELECT n FROM n))) AS d) b", "h", "r, d")
     scopes = {"micro": "true", "PERSON": "type = 'PERSON'", "LOCATION": "type = 'LOCATION'"}
     counts = ", ".join(f"count(*) FILTER (o = '{o}' AND {c}) AS {s}_{o}" for s, c in scopes.items() for o in ("tp", "fp", "fn"))
     sums = ", ".join(f"CAST(sum(w * coalesce({s}_{o}, 0)) AS DOUBLE) AS {s}_{o}" for s in scopes for o in ("tp", "fp", "fn"))
+    sums += "".join(f", CAST(sum(w * coalesce({c}, 0)) AS DOUBLE) AS {c}" for c in R.COUNTERS[9:])
     rows = " UNION ALL ".join(
         f"SELECT model, rep, '{s}.{m}' AS metric, {e} AS value FROM s"
         for s in scopes
         for m, e in (("precision", f"{s}_tp / nullif({s}_tp + {s}_fp, 0)"), ("recall", f"{s}_tp / nullif({s}_tp + {s}_fn, 0)"), ("f1", f"2 * {s}_tp / nullif(2 * {s}_tp + {s}_fp + {s}_fn, 0)"))
     )
+    rows += " UNION ALL SELECT model, rep, 'address.complete_rate', a_complete / nullif(a_total, 0) FROM s UNION ALL SELECT model, rep, 'address.character_coverage', a_covered / nullif(a_expected, 0) FROM s"
+    address = " UNION ALL ".join(f"""SELECT '{m}' AS model, id, 1 AS a_total, CASE WHEN length(text) % {k} = 20 THEN 1 ELSE 0 END AS a_complete, 20 AS a_expected, length(text) % {k} AS a_covered FROM ({fx.DOCS}) WHERE doc_id % 3 = 0""" for m, k in (("loose", 21), ("mail_only", 13)))
     return f"""WITH ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos FROM ({fx.DOCS})), n AS (SELECT count(*) AS n FROM ids),
 c AS ({" UNION ALL ".join(parts)}), u AS (SELECT model, id, {counts} FROM c GROUP BY model, id),
-dr AS (SELECT r AS rep, d, CAST('0x' || substr(sha256('{SEED}|' || r || '|' || d), 1, 8) AS BIGINT) % n AS pos FROM n, (SELECT unnest(range(0, {REPLICATES})) AS r) a, (SELECT unnest(range(0, (SELECT n FROM n))) AS d) b),
+ad AS ({address}), dr AS (SELECT r AS rep, CAST(h % (SELECT n FROM n) AS BIGINT) AS pos FROM ({draws})),
 w AS (SELECT rep, pos, count(*) AS w FROM dr GROUP BY rep, pos UNION ALL SELECT -1, pos, 1 FROM ids),
-s AS (SELECT m.model, w.rep, {sums} FROM w JOIN ids ON w.pos = ids.pos CROSS JOIN (SELECT unnest(['loose', 'mail_only']) AS model) m LEFT JOIN u ON u.id = ids.id AND u.model = m.model GROUP BY m.model, w.rep),
+s AS (SELECT m.model, w.rep, {sums} FROM w JOIN ids ON w.pos = ids.pos CROSS JOIN (SELECT unnest(['loose', 'mail_only']) AS model) m LEFT JOIN u ON u.id = ids.id AND u.model = m.model LEFT JOIN ad ON ad.id = ids.id AND ad.model = m.model GROUP BY m.model, w.rep),
 v AS ({rows})"""
 
 
@@ -462,7 +478,7 @@ def bootstrap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(got, "estimate", "mean", "variance", "ci_lower", "ci_upper", digits=6).select("model", "metric", "estimate", "mean", "variance", "ci_lower", "ci_upper", "replicates_valid")
 
 
-@query(f"""{_boot_sql()}, p AS (SELECT a.metric, a.rep, a.value - b.value AS d FROM v a JOIN v b ON a.metric = b.metric AND a.rep = b.rep AND a.model = 'loose' AND b.model = 'mail_only' WHERE a.metric IN ('micro.f1', 'PERSON.f1', 'LOCATION.f1'))
+@query(f"""{_boot_sql()}, p AS (SELECT a.metric, a.rep, a.value - b.value AS d FROM v a JOIN v b ON a.metric = b.metric AND a.rep = b.rep AND a.model = 'loose' AND b.model = 'mail_only' WHERE a.metric IN ('micro.f1', 'PERSON.f1', 'LOCATION.f1', 'address.complete_rate', 'address.character_coverage'))
 SELECT 'loose' AS first, 'mail_only' AS second, metric, round(max(d) FILTER (rep = -1), 6) AS estimate, round(avg(d) FILTER (rep >= 0), 6) AS mean, round(quantile_cont(d, 0.025) FILTER (rep >= 0), 6) AS ci_lower, round(quantile_cont(d, 0.975) FILTER (rep >= 0), 6) AS ci_upper, count(d) FILTER (rep >= 0) AS replicates_valid
 FROM p GROUP BY metric HAVING count(d) FILTER (rep >= 0) > 0""")
 def bootstrap_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
