@@ -162,6 +162,23 @@ def run_summary(prompts: DataFrame, answers: DataFrame) -> DataFrame:
     return prompts.agg(F.count("*").alias("prompts")).join(answers.agg(F.count("*").alias("answers"), *states))
 
 
+def run_problems(prompts: DataFrame, answers: DataFrame, same: Sequence[str], deployment: str, provider: str) -> DataFrame:
+    """(id, problem) of stored answers that don't belong to the run which the prompts describe; none may be counted then.
+
+    Each answer's id must be a prompt's, and come once; columns of ``same`` must
+    equal the prompt's, deployment and provider the run's; states must be known.
+    """
+    other = F.lit(False)
+    for c in same:
+        other = other | ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+    got = answers.join(prompts.select("id", F.lit(True).alias("_known"), *[F.col(c).alias(f"_{c}") for c in same]), "id", "left")
+    reason = (
+        F.when(F.col("_known").isNull(), "unknown").when(other, "other prompt").when(~F.col("deployment").eqNullSafe(F.lit(deployment)) | ~F.col("provider").eqNullSafe(F.lit(provider)), "other run").when(~F.coalesce(F.col("state").isin(*STATES), F.lit(False)), "state")
+    )
+    twice = answers.groupBy("id").count().where("count > 1").select("id", F.lit("repeated").alias("problem"))
+    return got.select("id", reason.alias("problem")).where("problem is not null").distinct().union(twice)
+
+
 def uniform(records: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: how many different values of the columns there are, and whether there is just one."""
     return records.agg(F.count_distinct(F.to_json(F.struct(*columns))).alias("variants")).withColumn("uniform", F.col("variants") == 1)

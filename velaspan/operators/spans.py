@@ -53,9 +53,21 @@ def invalid_spans(spans: DataFrame, messages: DataFrame, types: Sequence[str]) -
     return joined.withColumn("reason", reason).where("reason is not null").select("id", "idx", "start", "end", "type", "reason")
 
 
-def source_key(source: Column) -> Column:
-    """Canonical JSON of a source: its fields that are not null."""
-    return F.to_json(source)
+def invalid_detections(detections: DataFrame, messages: DataFrame, types: Sequence[str]) -> DataFrame:
+    """(id, field, start, end, type, reason) of detections that don't fit their texts; overlaps are no fault.
+
+    ``detections``: id, field, start, end, text, type, sources.
+    """
+    rows = detections.select("id", T.message_index(F.col("field")).alias("idx"), *[c for c in ("field", "start", "end", "text", "type", "sources") if c in detections.columns])
+    got = sliced(rows, messages)
+    named = F.exists("sources", lambda s: F.coalesce(s["detector"], F.lit("")) == "")
+    reason = (
+        F.when(F.col("idx").isNull() | F.col("n_chars").isNull(), "field")
+        .when(~F.coalesce((F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.col("n_chars")) & (F.col("slice") == F.col("text")), F.lit(False)), "offsets or text")
+        .when(~F.coalesce(F.col("type").isin(*types), F.lit(False)), "type")
+        .when(F.col("sources").isNull() | (F.size("sources") < 1) | named, "source")
+    )
+    return got.withColumn("reason", reason).where("reason is not null").select("id", "field", "start", "end", "type", "reason")
 
 
 def merged(detections: DataFrame, with_record_id: bool = True) -> DataFrame:
@@ -104,12 +116,6 @@ def adjacent_merged(spans: DataFrame, messages: DataFrame, types: Sequence[str]
     return got.select(*MESSAGE, F.explode(F.transform(run, one)).alias("m")).select(*MESSAGE, "m.*")
 
 
-def shared_characters(a: DataFrame, b: DataFrame, keys: Sequence[str] = MESSAGE) -> DataFrame:
-    """Characters of a message that spans of both sides cover; each side is free of overlaps."""
-    pairs = overlap_pairs(a, b, keys)
-    return pairs.groupBy(*keys).agg(F.sum(F.least("end", "b_end") - F.greatest("start", "b_start")).alias("shared"))
-
-
 def substituted(text: str, entities: str) -> Column:
     """Struct(text, spans, error): slots of the column ``text`` replaced by their entities' values.
 
@@ -129,16 +135,21 @@ def substituted(text: str, entities: str) -> Column:
     return F.expr(fold.replace("filter(" + entities + ", e -> e.slot = x.`0`)[0]", f"get(filter({entities}, e -> e.slot = x.`0`), 0)"))
 
 
-def literal_spans(text: str, needle: str) -> Column:
-    """Array of (start, end): places of the column ``needle`` in the column ``text``, leftmost first, without overlap."""
+def literal_sql(text: str, needle: str) -> str:
+    """SQL of :func:`literal_spans`, for use within a lambda function."""
     pieces = f"split({text}, concat('\\\\Q', {needle}, '\\\\E'), -1)"
-    return F.expr(
+    return (
         f"if({needle} IS NULL OR {needle} = '' OR NOT contains({text}, {needle}), cast(array() AS array<struct<start:int,end:int>>),"
         f" aggregate(slice({pieces}, 1, size({pieces}) - 1), named_struct('at', 0, 'out', cast(array() AS array<struct<start:int,end:int>>)),"
         f" (acc, p) -> named_struct('at', acc.at + length(p) + length({needle}), 'out', array_append(acc.out, named_struct('start', acc.at + length(p), 'end', acc.at + length(p) + length({needle})))), acc -> acc.out))"
     )
 
 
+def literal_spans(text: str, needle: str) -> Column:
+    """Array of (start, end): places of the column ``needle`` in the column ``text``, leftmost first, without overlap."""
+    return F.expr(literal_sql(text, needle))
+
+
 def replaced(text: str, values: str) -> Column:
     """The column ``text`` with each slot that the map ``values`` (slot -> value) knows replaced; others stay, and values are not looked at again."""
     slot = "'\\\\{\\\\{[^{}]+\\\\}\\\\}'"

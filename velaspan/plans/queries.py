@@ -13,6 +13,7 @@ from velaspan.operators import addresses as A
 from velaspan.operators import evaluation as E
 from velaspan.operators import export as X
 from velaspan.operators import generation as G
+from velaspan.operators import gold as Gd
 from velaspan.operators import matching as M
 from velaspan.operators import native as N
 from velaspan.operators import resampling as R
@@ -80,22 +81,42 @@ def conversation_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as records to export: an empty list of detections, ids qualified by a hash."""
-    base = _conversations(spark, sf_dir)
-    detections = F.expr("cast(array() AS array<struct<field:string,start:int,end:int,text:string,type:string,sources:array<struct<detector:string>>>>)")
+    """Conversations as records to export, ids qualified by a hash. Each message's first four characters are a detection; one in 17 has the wrong text."""
+    rows = fx.messages(spark, sf_dir)
+    k = (F.col("id").cast("long") + F.col("idx")) % 17
+    item = F.struct(
+        T.field_of(F.col("idx")).alias("field"), F.lit(0).alias("start"), F.lit(4).alias("end"), F.when(k == 5, "?").otherwise(F.substring("text", 1, 4)).alias("text"),
+        F.get(F.array(*map(F.lit, ("PERSON", "LOCATION", "EMAIL"))), F.col("idx") % 3).alias("type"), F.array(F.struct(F.lit("made").alias("detector"))).alias("sources"),
+    )
+    found = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.length("text") >= 4, item))).alias("detections"))
     sha = F.sha2(F.lit("conversations").cast("binary"), 256)
-    return base.select(F.concat_ws(":", sha, "id").alias("key"), "id", sha.alias("source_sha256"), F.lit("valido").alias("state"), "messages", detections.alias("detections"))
+    return _conversations(spark, sf_dir).join(found, "id").select(F.concat_ws(":", sha, "id").alias("key"), "id", sha.alias("source_sha256"), F.lit("valido").alias("state"), "messages", "detections")
+
+
+_K = "(CAST(id AS BIGINT) + idx) % 17 = 5 AND length(text) >= 4"
+_JUDGE = f"""j AS (SELECT id, CASE WHEN bool_or(sender IS NULL OR trim(text) = '') THEN 'message' WHEN bool_or(idx <> pos OR ({_K})) THEN 'detection' END AS reason FROM ({_ORDERED}) GROUP BY id),
+x AS (SELECT m.id, m.idx, m.sender, substr(m.text, 1, 4) AS text, ['PERSON', 'LOCATION', 'EMAIL'][m.idx % 3 + 1] AS type FROM ({fx.MESSAGES}) m JOIN j ON m.id = j.id WHERE j.reason IS NULL AND length(m.text) >= 4)"""
 
 
-@query(f"""SELECT sha256('conversations') || ':' || id AS key, id, 'message' AS reason FROM ({fx.MESSAGES}) GROUP BY id HAVING bool_or(sender IS NULL OR trim(text) = '')""")
+@query(f"""WITH {_JUDGE} SELECT sha256('conversations') || ':' || id AS key, id, reason FROM j WHERE reason IS NOT NULL""")
 def excluded_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.exported(_records(spark, sf_dir)).excluded.select("key", "id", "reason")
 
 
-@query(f"""WITH c AS (SELECT id, bool_or(sender IS NULL OR trim(text) = '') AS bad FROM ({fx.MESSAGES}) GROUP BY id)
-SELECT count(*) AS records, count(*) FILTER (NOT bad) AS exported, count(*) FILTER (bad) AS excluded, count(*) FILTER (NOT bad) AS negative FROM c""")
+@query(f"""WITH {_JUDGE} SELECT (SELECT count(*) FROM j) AS records, (SELECT count(*) FROM j WHERE reason IS NULL) AS exported, (SELECT count(*) FROM j WHERE reason IS NOT NULL) AS excluded,
+  (SELECT count(*) FROM j WHERE reason IS NULL AND id NOT IN (SELECT id FROM x)) AS negative, (SELECT count(*) FROM x) AS detections,
+  (SELECT string_agg(type || '=' || n, ',' ORDER BY type) FROM (SELECT type, count(*) AS n FROM x GROUP BY type)) AS categories, (SELECT string_agg(sender || '=' || n, ',' ORDER BY sender) FROM (SELECT sender, count(*) AS n FROM x GROUP BY sender)) AS roles""")
 def export_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.exported(_records(spark, sf_dir)).manifest.select("records", "exported", "excluded", "negative")
+    show = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias(c)
+    return X.exported(_records(spark, sf_dir)).manifest.select("records", "exported", "excluded", "negative", "detections", show("categories"), show("roles"))
+
+
+@query(f"""WITH {_JUDGE} SELECT sha256('conversations') || ':' || j.id AS id, coalesce(string_agg('conversazione.' || x.idx || '.testo:' || x.type || ':' || x.text, '|' ORDER BY 'conversazione.' || x.idx || '.testo'), '') AS spans
+  FROM j LEFT JOIN (SELECT * FROM x WHERE type IN ('PERSON', 'LOCATION')) x ON j.id = x.id WHERE j.reason IS NULL GROUP BY j.id""")
+def exported_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view for named entities: two types, negatives kept with an empty list."""
+    rows = X.exported(_records(spark, sf_dir)).ner
+    return rows.select("id", F.array_join(F.transform("annotazioni", lambda a: F.concat_ws(":", a["campo"], a["tipo"], a["testo"])), "|").alias("spans"))
 
 
 # --- regular expressions ---------------------------------------------------------------------
@@ -126,22 +147,33 @@ def greedy_resolved_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = {r.name: i for i, r in enumerate(fx.STRICT + fx.LOOSE)}
+    """Matches of all rules, then those of the imperfect detector: many have a key in common."""
+    rules = {r.name: i for i, r in enumerate([*fx.STRICT, *fx.LOOSE])} | {"tail": len(fx.STRICT) + len(fx.LOOSE)}
     ord_ = F.element_at(F.create_map(*[F.lit(x) for k, v in rules.items() for x in (k, v)]), F.col("rule"))
-    source = F.struct(F.lit("regex").alias("detector"), "rule", "priority")
-    rows = fx.spans(spark, sf_dir, fx.STRICT + fx.LOOSE)
-    return rows.select("id", T.field_of(F.col("idx")).alias("field"), "start", "end", F.col("value").alias("text"), "type", F.array(source).alias("sources"), ord_.alias("ord"))
+    one = lambda rows, name, first: rows.select("id", T.field_of(F.col("idx")).alias("field"), "start", "end", F.col("value").alias("text"), "type", F.array(F.struct(F.lit(name).alias("detector"), "rule", "priority")).alias("sources"), (ord_ + first).alias("ord"))
+    return one(fx.spans(spark, sf_dir, fx.STRICT + fx.LOOSE), "regex", 0).union(one(fx.predicted(spark, sf_dir), "made", 100))
 
 
-_RANK = "CASE rule " + " ".join(f"WHEN '{r.name}' THEN {i}" for i, r in enumerate(fx.STRICT + fx.LOOSE)) + " END"
+_RANK = "CASE rule " + " ".join(f"WHEN '{r.name}' THEN {i}" for i, r in enumerate(fx.STRICT + fx.LOOSE)) + " ELSE 99 END"
+_DETECTED = f"""SELECT id, start, "end", type, value, 'regex/' || rule AS source, {_RANK} AS ord FROM ({BOTH_SQL}) UNION ALL SELECT id, start, "end", type, value, 'made/' || rule, 100 + {_RANK} FROM ({PRED_SQL})"""
 
 
-@query(f"""SELECT id, 'conversazione.0.testo' AS field, start, "end", type, any_value(value) AS text, count(*) AS n_sources, string_agg(rule, ',' ORDER BY {_RANK}) AS rules,
+@query(f"""SELECT id, 'conversazione.0.testo' AS field, start, "end", type, min_by(value, ord) AS text, count(*) AS n_sources, string_agg(source, ',' ORDER BY ord) AS rules,
   'det_' || substr(sha256('["' || id || '","conversazione.0.testo",' || start || ',' || "end" || ',"' || type || '"]'), 1, 16) AS detection_id
-FROM ({BOTH_SQL}) GROUP BY id, start, "end", type""")
+FROM ({_DETECTED}) GROUP BY id, start, "end", type""")
 def merged_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = S.merged(_detections(spark, sf_dir))
-    return got.select("id", "field", "start", "end", "type", "text", F.size("sources").cast("long").alias("n_sources"), F.array_join(F.transform("sources", lambda s: s["rule"]), ",").alias("rules"), "detection_id")
+    return got.select("id", "field", "start", "end", "type", "text", F.size("sources").cast("long").alias("n_sources"), F.array_join(F.transform("sources", lambda s: F.concat_ws("/", s["detector"], s["rule"])), ",").alias("rules"), "detection_id")
+
+
+@query(f"""SELECT id, start, "end", type, CASE WHEN start % 5 = 1 THEN 'offsets or text' WHEN start % 5 = 2 THEN 'type' ELSE 'source' END AS reason FROM ({STRICT_SQL}) WHERE start % 5 IN (1, 2, 3)""")
+def invalid_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of which some get another text, an unknown type or no source."""
+    rows = fx.spans(spark, sf_dir, fx.STRICT)
+    m = F.col("start") % 5
+    made = rows.select("id", T.field_of(F.col("idx")).alias("field"), "start", "end", F.when(m == 1, "?").otherwise(F.col("value")).alias("text"), "type", F.array(F.struct(F.when(m != 3, "regex").alias("detector"))).alias("sources"))
+    bad = S.invalid_detections(made.withColumn("type", F.when(m == 2, "OTHER").otherwise(F.col("type"))), fx.docs(spark, sf_dir), M.TYPES)
+    return bad.join(rows.select("id", "start", "end", F.col("type").alias("_t")), ["id", "start", "end"]).select("id", "start", "end", F.col("_t").alias("type"), "reason")
 
 
 @query(f"""SELECT id, start, "end", prev_end FROM (SELECT id, start, "end", max("end") OVER (PARTITION BY id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_end FROM ({BOTH_SQL})) WHERE prev_end > start""")
@@ -290,7 +322,13 @@ def native_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("id", "field", "start", "end", "type", F.col("sources")[0]["native_type"].alias("native_type"))
 
 
-@query()
+@query(f"""WITH j AS (SELECT id, label, CAST(start AS INTEGER) AS s, CAST(fin AS INTEGER) AS e, type AS t, score FROM ({_JUDGED}) WHERE type IS NOT NULL AND score >= 0.3),
+g AS (SELECT id, list({{'s': s, 'e': e, 't': t, 'x': score, 'n': label}} ORDER BY -score, s - e, s, t) AS l FROM j GROUP BY id),
+r AS (SELECT id, list_reduce(list_transform(l, lambda v: [v]), lambda acc, y: CASE WHEN len(list_filter(acc, lambda k: k.s < y[1].e AND k.e > y[1].s)) > 0 THEN acc ELSE list_concat(acc, y) END) AS kept FROM g),
+u AS (SELECT id, unnest(kept) AS k FROM r), o AS (SELECT u.id, k.s AS s, k.e AS e, k.t AS t, k.n AS n, d.text, lag(k.e) OVER w AS pe, lag(k.t) OVER w AS pt, lag(k.n) OVER w AS pn FROM u JOIN ({fx.DOCS}) d ON u.id = d.id WINDOW w AS (PARTITION BY u.id ORDER BY k.s)),
+b AS (SELECT *, CASE WHEN pt = t AND (t IN ('LOCATION', 'EMAIL') OR (pn = 'phone_loose' AND n = 'mail_loose')) AND regexp_full_match(substr(text, pe + 1, s - pe), '[\\s,]*') THEN 0 ELSE 1 END AS brk FROM o),
+i AS (SELECT *, sum(brk) OVER (PARTITION BY id ORDER BY s) AS island FROM b)
+SELECT id, min(s) AS start, max(e) AS "end", any_value(t) AS type, substr(any_value(text), min(s) + 1, max(e) - min(s)) AS text FROM i GROUP BY id, island""")
 def normalised_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = fx.docs(spark, sf_dir)
     return N.normalised(N.judged(_native(spark, sf_dir), messages, MODEL), messages, MODEL).select("id", "start", "end", "type", "text")
@@ -592,15 +630,21 @@ def stratified_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.plan_rows(spark, PLAN, _scenarios(spark, sf_dir), SEED).select("id", "batch", "scenario", "mode", "number", "address_variant")
 
 
-@query()
-def sampled_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.plan_rows(spark, PLAN, _scenarios(spark, sf_dir), SEED).select("id", F.array_join("entities", ",").alias("entities"))
-
-
 def _draw_sql(*parts: str) -> str:
     return "CAST('0x' || substr(sha256(concat_ws('|', " + ", ".join(f"CAST({p} AS VARCHAR)" for p in parts) + ")), 1, 8) AS BIGINT)"
 
 
+@query(f"""WITH s AS (SELECT n_nationkey AS k, 'nation_' || n_nationkey AS scenario, list_concat(CASE WHEN n_nationkey % 5 <> 4 THEN ['persona_1'] ELSE [] END, CASE WHEN n_nationkey % 2 = 0 THEN ['email_1'] ELSE [] END) AS own FROM nation),
+b AS (SELECT 'core' AS batch, 3 AS quota, {SEED} AS seed, ['{G.MODES[0]}', '{G.MODES[1]}'] AS modes, false AS few, CAST([] AS VARCHAR[]) AS must UNION ALL SELECT 'focus', 8, {SEED + 1}, ['{G.MODES[0]}'], true, ['indirizzo_1']),
+g AS (SELECT batch, scenario, own, k, quota, seed, must, unnest(modes) AS mode FROM b CROSS JOIN s WHERE NOT few OR k IN (0, 1)),
+r AS (SELECT batch || '-' || scenario || '-' || mode || '-' || lpad(CAST(n + 1 AS VARCHAR), 4, '0') AS id, own, k, seed, must, mode FROM (SELECT *, unnest(range(0, quota)) AS n FROM g) WHERE len(own) > 0 OR mode <> '{G.MODES[0]}'),
+e AS (SELECT id, k, seed, must, mode, own, unnest(own) AS one FROM r WHERE mode = '{G.MODES[0]}'),
+p AS (SELECT id, any_value(must) AS must, CASE WHEN any_value(k) % 3 = 0 THEN any_value(own) ELSE list(one ORDER BY {_draw_sql("seed", "id", "one")}, one)[1:CAST(1 + any_value({_draw_sql("seed", "id", "'size'")}) % any_value(len(own)) AS INTEGER)] END AS kept FROM e GROUP BY id)
+SELECT r.id, coalesce(array_to_string(list_sort(list_distinct(list_concat(p.kept, p.must))), ','), '') AS entities FROM r LEFT JOIN p ON r.id = p.id""")
+def sampled_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.plan_rows(spark, PLAN, _scenarios(spark, sf_dir), SEED).select("id", F.array_join("entities", ",").alias("entities"))
+
+
 RULES = {"NUM_PRATICA": {"cifre": 7, "separatore": "/", "anni": ["25", "26"]}, "PHONE": {"prefissi": ["", "+39 "], "inizio": "3", "cifre": 9, "separatori": ["", " ", "."]}}
 
 
@@ -723,9 +767,250 @@ def uniform_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.uniform(fx.table(spark, sf_dir, "documents"), ["lang", "source"])
 
 
-@query(f"""SELECT doc_id, start, "end", type, value FROM (SELECT s.*, d.text FROM ({STRICT_SQL}) s JOIN ({fx.DOCS}) d ON s.id = d.id) WHERE substr(text, start + 1, "end" - start) <> value OR type NOT IN ('EMAIL', 'PHONE', 'PASSWORD')""")
+_LAST = f"""SELECT *, max("end") OVER (PARTITION BY id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM (SELECT id, start, "end", min(type) AS type FROM ({STRICT_SQL} UNION ALL {PRED_SQL}) GROUP BY id, start, "end")"""
+
+
+@query(f"""SELECT id, start, "end", type, CASE WHEN type NOT IN ('EMAIL', 'PHONE', 'PASSWORD') THEN 'field or type' ELSE 'overlap' END AS reason FROM ({_LAST}) WHERE type NOT IN ('EMAIL', 'PHONE', 'PASSWORD') OR prev > start""")
 def invalid_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strict matches under the older type set: LOCATION is not in it."""
-    rows = fx.spans(spark, sf_dir, fx.STRICT)
-    bad = S.invalid_spans(rows.select("id", "idx", "start", "end", "type", F.col("value").alias("text")), fx.docs(spark, sf_dir), M.MASKING_TYPES)
-    return bad.where("reason <> 'overlap'").join(rows.select("id", "idx", "start", "end", "type", "value", "doc_id"), ["id", "idx", "start", "end", "type"]).select("doc_id", "start", "end", "type", "value")
+    """Strict matches and the imperfect detector's together, under the older type set: LOCATION is not in it, and many overlap."""
+    rows = fx.spans(spark, sf_dir, fx.STRICT).select(*E.SPAN).union(fx.predicted(spark, sf_dir).select(*E.SPAN)).groupBy("id", "idx", "start", "end").agg(F.min("type").alias("type"))
+    return S.invalid_spans(rows, fx.docs(spark, sf_dir), M.MASKING_TYPES).select("id", "start", "end", "type", "reason")
+
+
+# --- from chats to gold ----------------------------------------------------------------------
+
+
+def _chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chat for each customer. For every fifth one the name is what a reference says too."""
+    k = F.col("c_custkey")
+    odd = k % 5 == 0
+    number = k.cast("string")
+    piece = lambda key, a, text: F.struct(F.lit(key).alias("key"), F.struct(a.cast("int").alias("start"), (a + F.length(text)).cast("int").alias("end"), text.alias("text")).alias("value"))
+    parts = F.map_from_entries(F.array(piece("street_name", F.lit(4), number), piece("municipality", F.length(number) + 8, F.lit("Roma"))))
+    none = F.lit(None).cast("map<string,struct<start:int,end:int,text:string>>")
+    slot = lambda name, value, kind, key, variant, components: F.struct(F.lit(name).alias("slot"), value.alias("value"), kind.alias("type"), F.lit(key).alias("entity_id"), F.lit(variant).cast("string").alias("address_variant"), components.alias("components"))
+    slots = F.array(
+        slot("{{NOME}}", F.when(odd, "IST").otherwise(F.col("c_name")), F.when(odd, "COD_INDAGINE").otherwise("PERSON"), "nome", None, none),
+        slot("{{VIA}}", F.concat(F.lit("Via "), number, F.lit(" 5, Roma")), F.lit("ADDRESS"), "via", "complete_standard", parts),
+    )
+    reference = lambda key, text, kind: F.struct(F.lit(key).alias("reference_id"), F.lit(text).alias("reference"), F.lit(kind).alias("type"))
+    say = lambda who, text: F.struct(F.lit(who).alias("sender"), F.lit(text).alias("text"))
+    return fx.table(spark, sf_dir, "customer").select(
+        number.alias("id"),
+        F.array(say("Utente", "Scrive {{NOME}} da {{VIA}}."), say("Agente", "Buongiorno {{NOME}}, IST va bene."), say("Utente", "IST sia.")).alias("messages"),
+        F.lit("{{NOME}} chiede").alias("description"), slots.alias("slots"), F.array(reference("nome", "{{NOME}}", "PERSON"), reference("codice", "IST", "COD_INDAGINE")).alias("references"),
+        F.array(F.lit("tenere {{VIA}}")).alias("keep"), F.lit("nome {{NOME}}").alias("reason"),
+    )
+
+
+_CHATS = """c AS (SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 5 = 0 THEN 'IST' ELSE c_name END AS v, CASE WHEN c_custkey % 5 = 0 THEN 'COD_INDAGINE' ELSE 'PERSON' END AS t, 'Via ' || c_custkey || ' 5, Roma' AS a, length(CAST(c_custkey AS VARCHAR)) AS ln FROM customer)"""
+
+
+@query(f"""WITH {_CHATS}, r AS (
+SELECT id, 0 AS idx, 7 AS start, v AS text, t AS type, 'nome' AS ref, 1 AS s, CAST(NULL AS INTEGER) AS town FROM c UNION ALL SELECT id, 0, 11 + length(v), a, 'ADDRESS', 'via', 1, 11 + length(v) + ln + 8 FROM c
+UNION ALL SELECT id, 1, 11, v, t, 'nome', 1, NULL FROM c UNION ALL SELECT id, 1, 13 + length(v), 'IST', 'COD_INDAGINE', 'codice', 2, NULL FROM c UNION ALL SELECT id, 2, 0, 'IST', 'COD_INDAGINE', 'codice', 2, NULL FROM c
+UNION ALL SELECT id, 0, 7, 'IST', 'COD_INDAGINE', 'codice', 2, NULL FROM c WHERE v = 'IST' UNION ALL SELECT id, 1, 11, 'IST', 'COD_INDAGINE', 'codice', 2, NULL FROM c WHERE v = 'IST')
+SELECT id, 'conversazione.' || idx || '.testo' AS field, CAST(start AS INTEGER) AS start, CAST(start + length(text) AS INTEGER) AS "end", text, type, CAST(count(*) AS INTEGER) AS n_sources, min_by(ref, s) AS reference_id, CAST(max(town) AS INTEGER) AS town_start
+FROM r GROUP BY id, idx, start, text, type""")
+def expected_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = Gd.expected(_chats(spark, sf_dir)).expected
+    town = F.col("metadata.address_components")["municipality"]["start"]
+    return got.select("id", "field", "start", "end", "text", "type", F.size("sources").alias("n_sources"), F.col("metadata.reference_id").alias("reference_id"), town.alias("town_start"))
+
+
+@query(f"""WITH {_CHATS} SELECT id, 0 AS idx, 'Utente' AS sender, 'Scrive ' || v || ' da ' || a || '.' AS text FROM c UNION ALL SELECT id, 1, 'Agente', 'Buongiorno ' || v || ', IST va bene.' FROM c UNION ALL SELECT id, 2, 'Utente', 'IST sia.' FROM c""")
+def concrete_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Gd.replaced_only(_chats(spark, sf_dir)).messages
+
+
+@query(f"""WITH {_CHATS} SELECT id, 'conversazione.0.testo' AS field, CAST(7 AS INTEGER) AS start, CAST(7 + length(v) AS INTEGER) AS "end", t AS type, v AS text FROM c UNION ALL SELECT id, 'conversazione.0.testo', 11 + length(v), 11 + length(v) + length(a), 'ADDRESS', a FROM c
+UNION ALL SELECT id, 'conversazione.1.testo', 11, 11 + length(v), t, v FROM c UNION ALL SELECT id, 'metadati.descrizione', 0, length(v), t, v FROM c UNION ALL SELECT id, 'trattamento_atteso.conservare.0', 7, 7 + length(a), 'ADDRESS', a FROM c UNION ALL SELECT id, 'trattamento_atteso.motivazione', 5, 5 + length(v), t, v FROM c""")
+def masked_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all fields in the older masking format, explanations too."""
+    chats = _chats(spark, sf_dir).withColumn("slots", F.transform("slots", lambda e: F.struct(e["slot"].alias("slot"), e["value"].alias("value"), e["type"].alias("type"), e["entity_id"].alias("entity_id"), F.lit("[X]").alias("substitute"))))
+    return Gd.masked(chats).expected.select("id", "field", "start", "end", "type", "text")
+
+
+def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chats with one fault each, by key modulo 12; the first is sound."""
+    k = F.col("c_custkey") % 12
+    say = lambda i, text: F.struct(F.lit(("Utente", "Agente")[i % 2]).alias("sender"), F.lit(text).alias("text"))
+    whole = [say(i, t) for i, t in enumerate(("Sono {{A}}", "ok", "ref X1", "bene {{A}}", "grazie", "prego"))]
+    swap = lambda at, item: F.array(*[item if i == at else m for i, m in enumerate(whole)])
+    messages = (
+        F.when(k == 2, F.array(whole[0])).when(k == 3, swap(1, say(0, "ok"))).when(k == 4, F.array(*whole[:4])).when(k == 6, F.array(say(0, "Sono io"), say(1, "ok"), *whole[2:3], say(1, "bene"), *whole[4:]))
+        .when(k == 7, swap(4, say(0, "grazie, Mario"))).when(k == 10, swap(3, say(1, "bene"))).when(k == 11, swap(4, say(0, "la pratica 123/25"))).otherwise(F.array(*whole))
+    )
+    slot = F.struct(F.lit("{{A}}").alias("slot"), F.lit("Mario").alias("value"), F.lit("PERSON").alias("type"), F.lit("a").alias("entity_id"))
+    reference = F.struct(F.lit("r").alias("reference_id"), F.when(k == 8, "X9").otherwise("X1").alias("reference"), F.lit("INDAGINE").alias("type"))
+    return fx.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), messages.alias("messages"), F.when(k == 1, " ").when(k == 9, "{{A}}: in bozza").otherwise("caso di {{A}}").alias("description"),
+        F.when(k == 5, F.array(slot, slot)).otherwise(F.array(slot)).alias("slots"), F.array(reference).alias("references"), F.array(F.lit("{{A}}")).alias("repeat"), F.lit(3).alias("exchanges"),
+    )
+
+
+_FAULTS = "['description', 'too short', 'turns', 'exchanges', 'repeated slots', 'slots', 'value instead of slot', 'references']"
+
+
+@query(f"""SELECT c_custkey AS id, CASE WHEN c_custkey % 12 BETWEEN 1 AND 8 THEN {_FAULTS}[CAST(c_custkey % 12 AS INTEGER)] END AS error FROM customer""")
+def structure_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planned(spark, sf_dir).select("id", V.structural_error().alias("error"))
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 12 BETWEEN 1 AND 8 THEN 'errore' WHEN c_custkey % 12 = 0 THEN 'valido' ELSE 'da_verificare' END AS state FROM customer""")
+def chat_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.prepared(_planned(spark, sf_dir)).select("id", "state")
+
+
+@query("""SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 1 THEN 'treatments' WHEN 2 THEN 'treatments' WHEN 3 THEN 'explanations' END AS error FROM customer""")
+def treatment_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older format's list of treatments: whole, short, with another substitute, without a reason."""
+    k = F.col("c_custkey") % 4
+    one = lambda s, x: F.struct(F.lit(s).alias("slot"), F.lit("PERSON").alias("type"), F.lit(x).alias("substitute"))
+    both = F.array(one("{{B}}", "[P]"), one("{{A}}", "[P]"))
+    rows = fx.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.array(one("{{A}}", "[P]"), one("{{B}}", "[P]")).alias("slots"), F.when(k == 1, F.array(one("{{A}}", "[P]"))).when(k == 2, F.array(one("{{A}}", "[P]"), one("{{B}}", "[Q]"))).otherwise(both).alias("masked"),
+        F.array(F.lit("x")).alias("keep"), F.when(k != 3, "perché").alias("reason"),
+    )
+    return rows.select("id", V.treatment_error().alias("error"))
+
+
+@query("""SELECT c_custkey AS id, provider, CASE WHEN c_custkey % 3 = 0 THEN 'hi ' || c_custkey WHEN c_custkey % 3 = 2 THEN '' END AS text, CASE c_custkey % 3 WHEN 1 THEN 'incomplete' WHEN 2 THEN 'empty' END AS error
+FROM customer, (SELECT unnest(['openai', 'anthropic']) AS provider)""")
+def answer_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored answers in the shapes of two providers: whole, cut off, empty."""
+    k = F.col("c_custkey")
+    word = F.when(k % 3 == 2, "").otherwise(F.concat(F.lit("hi "), k.cast("string")))
+    done = k % 3 != 1
+    shapes = {
+        "openai": F.format_string('{"status":"%s","output":[{"content":[{"type":"output_text","text":"%s"}]}]}', F.when(done, "completed").otherwise("incomplete"), word),
+        "anthropic": F.format_string('{"stop_reason":"%s","content":[{"type":"thinking"},{"type":"text","text":"%s"}]}', F.when(done, "end_turn").otherwise("max_tokens"), word),
+    }
+    out = None
+    for provider, shape in shapes.items():
+        rows = fx.table(spark, sf_dir, "customer").select(k.alias("id"), F.parse_json(shape).alias("response"))
+        text, error = V.answer_text(provider)
+        one = rows.select("id", F.lit(provider).alias("provider"), F.when(~F.coalesce(error == "incomplete", F.lit(False)), text).alias("text"), error.alias("error"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query(f"""{_ADDRESS} SELECT CAST(k AS VARCHAR) AS id, CASE WHEN h IS NOT NULL THEN 'street:10-' || (10 + street_end) || ' house_number:' || (10 + street_end + 1) || '-' || (10 + line_end) || ' municipality:100-104' END AS parts FROM b""")
+def addresses_from_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of addresses that have two nested views only, by the house number at the street's end."""
+    rows = _addresses(spark, sf_dir)
+    street = F.when(F.col("components")["house_number"].isNull(), "Via Roma").otherwise(F.substring_index("text", ",", 1))
+    parts = A.from_children(street, F.lit(10), F.lit(100), F.lit(104))
+    show = F.array_join(F.transform(parts, lambda p: F.concat(p["name"], F.lit(":"), p["start"].cast("string"), F.lit("-"), p["end"].cast("string"))), " ")
+    return rows.select("id", show.alias("parts"))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_custkey % 5 IN (1, 2)""")
+def invalid_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of which some name an unknown component or quote another text."""
+    rows = _addresses(spark, sf_dir)
+    k = F.col("key") % 5
+    other = F.transform_values("components", lambda n, v: F.struct(v["start"].alias("start"), v["end"].alias("end"), F.lit("?").alias("text")))
+    renamed = F.transform_keys("components", lambda n, v: F.when(n == "street_type", "kind").otherwise(n))
+    return A.invalid_components(rows.withColumn("components", F.when(k == 1, other).when(k == 2, renamed).otherwise(F.col("components")))).select("id")
+
+
+@query("""WITH r AS (SELECT o_orderpriority AS p, CAST(o_custkey AS VARCHAR) AS id FROM orders), q AS (SELECT sha256(left(p, 1)) || ':' || id AS key, count(*) AS n FROM r GROUP BY p, id)
+SELECT key, n FROM q""")
+def qualified_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of several sources under keys of their sources' hashes, and how often a source has each."""
+    path = F.col("o_orderpriority")
+    records = fx.table(spark, sf_dir, "orders").select(path.alias("source_path"), F.col("o_custkey").cast("string").alias("id"))
+    sources = records.select(F.col("source_path").alias("path")).distinct().withColumn("sha256", F.sha2(F.substring("path", 1, 1).cast("binary"), 256))
+    return X.qualified(records, sources).groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query("""WITH r AS (SELECT o_orderpriority AS p, CAST(o_custkey AS VARCHAR) AS id FROM orders) SELECT sha256(left(p, 1)) || ':' || id AS what, 'repeated id' AS problem FROM r GROUP BY p, id HAVING count(*) > 1""")
+def source_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("o_orderpriority")
+    records = fx.table(spark, sf_dir, "orders").select(path.alias("source_path"), F.col("o_custkey").cast("string").alias("id"))
+    sources = records.select(F.col("source_path").alias("path")).distinct().withColumn("sha256", F.sha2(F.substring("path", 1, 1).cast("binary"), 256))
+    return X.source_problems(X.qualified(records, sources), sources)
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_name AS n FROM customer) SELECT CAST(k AS VARCHAR) AS id, CASE WHEN k % 7 = 0 THEN 'No {{WHO}} here' WHEN k % 3 = 0 THEN 'P0' || k || ': ' || n || ' is ' || n ELSE 'Dear ' || n || ', your code is P0' || k || '.' END AS text FROM c""")
+def replaced_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Substitution without spans; an unknown slot stays."""
+    rows = _slotted(spark, sf_dir).withColumn("values", F.map_from_entries(F.transform("entities", lambda e: F.struct(e["slot"].alias("key"), e["value"].alias("value")))))
+    return rows.select("id", S.replaced("text", "values").alias("text"))
+
+
+CODES = RULES | {"COD_UTENTE": {"varianti": [{"prefisso": "P0", "cifre": 8}, {"prefisso": "", "cifre": 7}]}, "PASSWORD": {"lunghezze": [8, 10], "alfabeto": "abcXYZ123!"}}
+
+
+def _digits_sql(n: int, salt: str) -> str:
+    return "(" + " || ".join(f"CAST({_draw_sql(str(SEED), 'c_custkey', repr(salt), repr(str(i)))} % 10 AS VARCHAR)" for i in range(n)) + ")"
+
+
+def _pick_sql(values: list, salt: str) -> str:
+    return "[" + ", ".join(repr(v) for v in values) + f"][CAST({_draw_sql(str(SEED), 'c_custkey', repr(salt))} % {len(values)} + 1 AS INTEGER)]"
+
+
+@query(f"""SELECT c_custkey, CASE WHEN {_draw_sql(str(SEED), "c_custkey", "'v'")} % 2 = 0 THEN 'P0' || {_digits_sql(8, "d")} ELSE {_digits_sql(7, "d")} END AS user_code,
+  left({" || ".join(_pick_sql(list(CODES["PASSWORD"]["alfabeto"]), str(i)) for i in range(10))}, {_pick_sql([8, 10], "n")}) AS password,
+  {_pick_sql(["", "+39 "], "p")} || concat_ws({_pick_sql(["", " ", "."], "s")}, left(num, 3), substr(num, 4, 3), substr(num, 7)) AS phone FROM (SELECT c_custkey, '3' || {_digits_sql(9, "d")} AS num FROM customer)""")
+def value_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = lambda kind, name: G.value_code(kind, CODES, str(SEED), F.col("c_custkey")).alias(name)
+    return fx.table(spark, sf_dir, "customer").select("c_custkey", one("COD_UTENTE", "user_code"), one("PASSWORD", "password"), one("PHONE", "phone"))
+
+
+@query(f"""SELECT c_custkey, strftime(DATE '2025-01-01' + CAST({_draw_sql(str(SEED), "c_custkey", "'day'")} % 365 AS INTEGER), '%Y-%m-%d') AS day FROM customer""")
+def synthetic_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.table(spark, sf_dir, "customer").select("c_custkey", G.synthetic_date("2025-01-01", 365, str(SEED), F.col("c_custkey")).alias("day"))
+
+
+def _allowed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nations as scenarios with the codes of their region and of the next one; regions as surveys, the last of which is missing."""
+    n = fx.table(spark, sf_dir, "nation")
+    codes = F.array(F.concat(F.lit("S"), F.col("n_regionkey").cast("string")), F.concat(F.lit("S"), ((F.col("n_regionkey") + 1) % 5).cast("string")))
+    r = fx.table(spark, sf_dir, "region").where("r_regionkey < 4")
+    kind = F.when(F.col("r_regionkey") == 1, "da_verificare").otherwise("imprese")
+    return n.select(F.col("n_name").alias("scenario"), F.lit("imprese").alias("respondent"), codes.alias("codes")), r.select(F.concat(F.lit("S"), F.col("r_regionkey").cast("string")).alias("code"), F.col("r_name").alias("name"), kind.alias("respondent"))
+
+
+@query(f"""WITH s AS (SELECT n_name AS scenario, list_sort(['S' || n_regionkey, 'S' || ((n_regionkey + 1) % 5)]) AS codes FROM nation), c AS (SELECT scenario, codes[CAST({_draw_sql(str(SEED), "scenario")} % 2 + 1 AS INTEGER)] AS code FROM s)
+SELECT scenario, code, r_name AS survey FROM c LEFT JOIN region ON code = 'S' || r_regionkey AND r_regionkey < 4""")
+def survey_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.survey_choice(*_allowed(spark, sf_dir), SEED).select("scenario", "code", "survey")
+
+
+@query("""WITH s AS (SELECT n_name AS scenario, unnest(['S' || n_regionkey, 'S' || ((n_regionkey + 1) % 5)]) AS code FROM nation) SELECT scenario, code, CASE code WHEN 'S4' THEN 'unknown' ELSE 'respondent' END AS problem FROM s WHERE code IN ('S1', 'S4')""")
+def survey_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.survey_problems(*_allowed(spark, sf_dir))
+
+
+@query("""SELECT c_custkey, 'a={{A}}:MASK' || CASE WHEN c_custkey % 3 <> 0 THEN ',codice_indagine=S1:KEEP' ELSE '' END || ',nome_indagine=' || c_mktsegment || ':KEEP,periodo_ricerca=' || (2000 + c_custkey % 25) || ':KEEP,s=x:REVIEW' AS refs FROM customer""")
+def reference_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    entity = F.array(F.struct(F.lit("a").alias("entity_id"), F.lit("{{A}}").alias("slot"), F.lit("PERSON").alias("type")))
+    static = F.array(F.struct(F.lit("s").alias("reference_id"), F.lit("x").alias("reference"), F.lit("OFFICE").alias("type"), F.lit("REVIEW").alias("hypothesis"), F.lit("OPEN").alias("state")))
+    refs = G.reference_list(entity, F.when(k % 3 != 0, "S1"), F.col("c_mktsegment"), F.lit(None).cast("string"), (2000 + k % 25).cast("int"), static)
+    show = F.array_join(F.transform(refs, lambda r: F.concat(r["reference_id"], F.lit("="), r["reference"], F.lit(":"), r["hypothesis"])), ",")
+    return fx.table(spark, sf_dir, "customer").select("c_custkey", show.alias("refs"))
+
+
+@query(f"""{_EVAL}, n AS (SELECT c.type, d.sender, {_COUNTS} FROM c JOIN d ON c.id = d.id GROUP BY c.type, d.sender)
+SELECT type, sender, tp, fp, fn, CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END AS recall, CASE WHEN tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END AS f1 FROM n""")
+def zero_default_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = _evaluation(spark, sf_dir).spans.join(fx.docs(spark, sf_dir).select("id", "sender"), "id")
+    return E.with_scores(E.counted(spans, "type", "sender"), zero=True)
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS id, 'repeated' AS problem FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey HAVING count(*) > 1 UNION ALL SELECT DISTINCT CAST(o_custkey AS VARCHAR), 'other prompt' FROM orders WHERE o_orderstatus = 'O'""")
+def run_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored answers against the prompts that are expected: orders for customers, open ones with another prompt."""
+    prompts = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.lit("p").alias("prompt"))
+    answers = fx.table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
+    answers = answers.select(F.col("o_custkey").cast("string").alias("id"), F.when(F.col("o_orderstatus") == "O", "q").otherwise("p").alias("prompt"), F.lit("m").alias("deployment"), F.lit("openai").alias("provider"), F.lit("valido").alias("state"))
+    return X.run_problems(prompts, answers, ["prompt"], "m", "openai")
+
+
+@query()
+def default_rule_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules that come with the package, over messages. They look around their matches, which DuckDB's patterns can't."""
+    return M.resolved(fx.messages(spark, sf_dir).select("id", "idx", "text"), M.read_rules())
