@@ -104,8 +104,8 @@ def mixture(likelihood: np.ndarray, weight: np.ndarray, penalty: float = PENALTY
 
     EM from equal shares; then languages with the least shares leave as long
     as the likelihood without them, EM run again, loses no more than the
-    penalty for so many more languages: half of them at once, and fewer where
-    that fails, so that a hundred languages take a few fits.
+    penalty for one more language: half of them at once, and fewer where that
+    fails, so that a hundred languages take a few fits.
     """
     n, langs = likelihood.shape
     dense = np.exp(likelihood - likelihood.max(axis=1, keepdims=True)).astype(np.float64)
@@ -126,11 +126,11 @@ def mixture(likelihood: np.ndarray, weight: np.ndarray, penalty: float = PENALTY
     share, fits = fit(live, np.full(langs, 1.0 / langs))
     leave = max(1, langs // 2)
     while len(live) > 1:
-        leave = min(leave, len(live) - 1)
+        leave = min(leave, max(1, len(live) // 2))
         rest = np.sort(np.argsort(share, kind="stable")[leave:])
         start = np.maximum(share[rest], 1e-6)
         less, lower = fit(live[rest], start / start.sum())
-        if fits - lower <= leave * fine:
+        if fits - lower <= fine:
             live, share, fits = live[rest], less, lower
         elif leave == 1:
             break
