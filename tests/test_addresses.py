@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from velaspan.operators import addresses as A
@@ -77,3 +78,33 @@ def test_composed_addresses_have_exact_offsets(spark):
         assert ("house_number" in a["components"]) == (r["variant"] != "without_house_number")
         assert ("street_type" in a["components"]) == (r["street"] != "Appia" and r["variant"] != "without_street_type")
         assert ("internal" in a["components"]) == (r["variant"] == "with_internal")
+
+
+def test_gold_addresses_take_components_or_children(spark):
+    from velaspan.operators import addresses as A
+
+    source = "array<struct<detector:string,parent_detection_id:string,component:string>>"
+    kind = f"id string, detection_id string, field string, start int, end int, text string, type string, components map<string,struct<start:int,end:int,text:string>>, sources {source}"
+    f, child = "conversazione.0.testo", lambda p, c: [("synthetic_address_component", p, c)]
+    slot = [("synthetic_slot", None, None)]
+    rows = [
+        ("a", "p1", f, 5, 23, "Via Po 5 bis, Roma", "ADDRESS", None, slot), ("a", "c1", f, 5, 17, "Via Po 5 bis", "LOCATION", None, child("p1", "street_civic")), ("a", "c2", f, 19, 23, "Roma", "LOCATION", None, child("p1", "municipality")),
+        ("b", "p2", f, 0, 6, "Via Po", "ADDRESS", {"street_type": (0, 3, "Via"), "street_name": (4, 6, "Po")}, slot), ("c", "p3", f, 0, 6, "Via Po", "ADDRESS", None, slot), ("d", "p4", f, 0, 4, "Roma", "ADDRESS", {"municipality": (0, 4, "Roma")}, slot),
+        ("e", "p5", f, 0, 12, "Via Po, Roma", "ADDRESS", None, slot), ("e", "c5", f, 0, 6, "Via Po", "LOCATION", None, child("p5", "street_civic")), ("e", "c6", f, 8, 12, "Roma", "LOCATION", None, child("p5", "municipality")),
+        ("f", "p6", f, 0, 6, "Via Po", "ADDRESS", {"street_name": (4, 6, "Po")}, slot),
+    ]
+    got = A.gold_addresses(spark.createDataFrame(rows, kind))
+    by = {r["address_id"]: r for r in got.collect()}
+    assert [(p["name"], p["start"], p["end"]) for p in by["p1"]["parts"]] == [("street", 5, 11), ("house_number", 12, 17), ("municipality", 19, 23)]
+    assert {k: r["problem"] for k, r in by.items()} == {"p1": None, "p2": None, "p3": "street_civic", "p4": "street", "p5": "house number", "p6": None}
+    outcomes = spark.createDataFrame([("a", "ok", None), ("b", "errore", "timeout"), ("z", "errore", "x")], "id string, state string, error string")
+    locations = spark.createDataFrame([("a", f, 5, 17)], "id string, field string, start int, end int")
+    fine = got.where("problem is null")
+    r = A.evaluate_addresses(fine, locations, outcomes, check=True)
+    assert {(x["id"], x["addresses"], x["reason"]) for x in r.failures.collect()} == {("b", 1, "timeout"), ("f", 1, "missing")}
+    t = r.totals.first()
+    assert (t["total"], t["complete"]) == (1, 0) and r.outcomes.first()["outcome"] == "municipality_exposed" and r.details.first()["residual_text"] == "Roma"
+    for bad in ((got, outcomes), (fine, outcomes.where("id <> 'a'")), (fine, outcomes.replace("ok", "boh", "state"))):
+        with pytest.raises(ValueError):
+            A.evaluate_addresses(bad[0], locations, bad[1], check=True)
+    assert A.expanded(fine, fine.limit(0)).count() == 0

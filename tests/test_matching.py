@@ -1,3 +1,4 @@
+import json
 import re
 
 import pytest
@@ -6,18 +7,6 @@ from hypothesis import strategies as st
 
 from velaspan.operators import matching as M
 
-# The rules of the format's default configuration.
-CONFIG = {
-    "versione": "1.0",
-    "regole": [
-        {"nome": "email", "tipo": "EMAIL", "priorita": 100, "pattern": r"(?<![\w.+-])(?P<valore>[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})(?![\w-])"},
-        {"nome": "password_esplicita", "tipo": "PASSWORD", "priorita": 90, "pattern": r"""\b(?:password|pwd|pass)\s*(?:(?:è|e)\s+|[:=]\s*)?[\"'«]?(?P<valore>(?=[A-Za-z0-9@#$%^&+=!?_-]{6,}(?![\w@#$%^&+=!?_-]))(?=[A-Za-z0-9@#$%^&+=!?_-]*[A-Za-z])(?=[A-Za-z0-9@#$%^&+=!?_-]*[0-9@#$%^&+=!?_-])[A-Za-z0-9@#$%^&+=!?_-]+)"""},
-        {"nome": "pratica_contestuale", "tipo": "NUM_PRATICA", "priorita": 80, "pattern": r"\b(?:prot\.?|protocollo|pratica|ticket)\s*(?:(?:numero|n\.?|n°)\s*)?[:#]?\s*(?P<valore>\d{4,}(?:[/-]\d{2,4})?)(?![\w/-])"},
-        {"nome": "utente_prefisso", "tipo": "COD_UTENTE", "priorita": 70, "pattern": r"\b(?P<valore>P0\d{8}|QOL\d{5,12})\b"},
-        {"nome": "utente_numerico", "tipo": "COD_UTENTE", "priorita": 70, "pattern": r"\b(?:codice\s+utente|cod\.?\s+utente|username|id\s+utente)\s*(?:(?:è|e)\s+|[:=]\s*)?(?P<valore>\d{7,12})(?![\w/-])"},
-        {"nome": "cellulare_italiano", "tipo": "PHONE", "priorita": 50, "pattern": r"(?<![\w+])(?P<valore>(?:\+39[ .]?)?3\d{2}[ .]?\d{3}[ .]?\d{4})(?![\w/]|[ .]\d)"},
-    ],
-}
 TEXTS = [
     "Scrivi a mario.rossi@example.org oppure a X@y.it!",
     "La password è Segreta9! e basta", "la password non funziona", "pwd: abc123x, pass=Qwerty1",
@@ -39,7 +28,7 @@ def by_spark(spark, rules, texts):
 
 
 def test_rules_give_what_python_gives(spark):
-    rules = M.rules_from(CONFIG)
+    rules = M.read_rules()
     assert all(r.native for r in rules)
     assert by_spark(spark, rules, TEXTS) == [by_python(rules, t) for t in TEXTS]
 
@@ -47,7 +36,7 @@ def test_rules_give_what_python_gives(spark):
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet="aP0123456789@.+ \n🙂è/:", max_size=40), min_size=40, max_size=60))
 def test_random_texts(spark, texts):
-    rules = M.rules_from(CONFIG)
+    rules = M.read_rules()
     assert by_spark(spark, rules, texts) == [by_python(rules, t) for t in texts]
 
 
@@ -60,7 +49,7 @@ def test_a_value_inside_its_match_goes_another_way(spark):
 def test_greedy_keeps_priority_then_length(spark):
     text = "codice utente 3331234567"
     df = spark.createDataFrame([(1, text)], "id long, text string")
-    rules = M.rules_from(CONFIG)
+    rules = M.read_rules()
     assert {r["type"] for r in M.detected(df, rules).collect()} == {"COD_UTENTE", "PHONE"}
     assert [(r["type"], r["value"]) for r in M.resolved(df, rules).collect()] == [("COD_UTENTE", "3331234567")]
     assert M.resolved(df, rules, types=("PHONE",)).count() == 0
@@ -68,6 +57,7 @@ def test_greedy_keeps_priority_then_length(spark):
 
 @pytest.mark.parametrize("change", [{"nome": "email"}, {"tipo": "X"}, {"priorita": True}, {"pattern": "a(b)"}])
 def test_bad_rules(change):
-    bad = {**CONFIG["regole"][3], "nome": "new", **change}
+    own = json.loads((M.CONFIGS / "rules.json").read_text(encoding="utf-8"))["regole"]
+    bad = {**own[3], "nome": "new", **change}
     with pytest.raises(ValueError):
-        M.rules_from({"regole": [*CONFIG["regole"], bad]})
+        M.rules_from({"regole": [*own, bad]})

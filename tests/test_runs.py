@@ -77,3 +77,60 @@ def test_plain_replacement_and_older_treatments(spark):
     rows = [([one], [one], [], "r"), ([one], [two], [], "r"), ([one], [], [], "r"), ([one], [one], [], None)]
     got = spark.createDataFrame(rows, f"slots {s}, masked {s}, keep array<string>, reason string").select(V.treatment_error().alias("e")).collect()
     assert [r["e"] for r in got] == [None, "treatments", "treatments", "explanations"]
+
+
+def test_report_commands(spark, tmp_path, capsys):
+    conv = lines(tmp_path / "c.jsonl", [{"id": "a", "conversazione": [{"sender": "Utente", "testo": "in Via Po 5, Roma da Ada"}]}, {"id": "b", "conversazione": [{"sender": "Utente", "testo": "nulla"}]}])
+    f = "conversazione.0.testo"
+    span = lambda s, e, k, t: {"campo": f, "start": s, "end": e, "tipo": k, "testo": t}
+    parts = {"street_type": {"start": 3, "end": 6, "text": "Via"}, "street_name": {"start": 7, "end": 9, "text": "Po"}, "house_number": {"start": 10, "end": 11, "text": "5"}, "municipality": {"start": 13, "end": 17, "text": "Roma"}}
+    address = {"detection_id": "d", "field": f, "start": 3, "end": 17, "text": "Via Po 5, Roma", "type": "ADDRESS", "sources": [{"detector": "x"}], "metadata": {"address_components": parts}}
+    where = lines(tmp_path / "d.jsonl", [{"id": "a", "detections": [address]}, {"id": "b", "detections": []}])
+    gold = lines(tmp_path / "g.jsonl", [{"id": "a", "annotazioni": [span(13, 17, "LOCATION", "Roma"), span(21, 24, "PERSON", "Ada")]}, {"id": "b", "annotazioni": []}])
+    one = lines(tmp_path / "p1.jsonl", [{"id": "a", "stato": "ok", "annotazioni": [span(13, 17, "LOCATION", "Roma")]}, {"id": "b", "stato": "ok", "annotazioni": []}])
+    two = lines(tmp_path / "p2.jsonl", [{"id": "a", "stato": "ok", "annotazioni": [span(21, 24, "PERSON", "Ada")]}, {"id": "b", "stato": "ok", "annotazioni": []}])
+    out = str(tmp_path / "a.json")
+    assert main(["addresses", "--input", conv, "--gold", where, "--predictions", one, "--output", out]) == 0
+    got = json.loads((tmp_path / "a.json").read_text())
+    assert got["outcomes"] == {"municipality_only": 1} and got["details"][0]["residual_text"] == "ViaPo5" and got["technical_failures"] == []
+    assert main(["bootstrap", "--input", conv, "--gold", gold, "--addresses", where, "--model", f"x={one}", "--model", f"y={two}", "--replicates", "20", "--output", str(tmp_path / "b.json")]) == 0
+    boot = json.loads((tmp_path / "b.json").read_text())
+    point = {(m["model"], m["metric"]): m["estimate"] for m in boot["models"]}
+    assert point["x", "LOCATION.f1"] == 1.0 and point["y", "micro.recall"] == 0.5 and point["x", "address.character_coverage"] == 0.4 and {d["first"] for d in boot["paired_differences"]} == {"x"}
+    lacking = lines(tmp_path / "p3.jsonl", [{"id": "a", "stato": "errore", "errore": "x"}, {"id": "b", "stato": "ok", "annotazioni": []}])
+    with pytest.raises(SystemExit) as e:
+        main(["bootstrap", "--input", conv, "--gold", gold, "--addresses", where, "--model", f"x={lacking}", "--output", str(tmp_path / "z.json")])
+    assert e.value.code == 2
+
+
+def test_export_plan_experiment_and_summary_commands(spark, tmp_path, capsys):
+    f = "conversazione.0.testo"
+    chat = {"conversazione": [{"sender": "Utente", "testo": "sono Ada"}], "trattamento_atteso": {"mascherare": [{"campo": f, "start": 5, "end": 8, "tipo": "PERSON", "id_entita": "n", "id_forma": "completa", "testo": "Ada", "sostituzione": "[P]"}]}}
+    found = [{"field": f, "start": 5, "end": 8, "text": "Ada", "type": "PERSON", "sources": [{"detector": "x"}]}]
+    source = lines(tmp_path / "r.jsonl", [{"id": "1", "stato": "valido", "chat": chat, "detection_attesa": found}, {"id": "2", "stato": "da_verificare", "errore": "e"}])
+    for command, key in (("export", "detections"), ("export-masking", "exported")):
+        assert main([command, "--input", source, "--output", str(tmp_path / command)]) == 0
+        last = json.loads(capsys.readouterr().out.splitlines()[-1])
+        assert (last["records"], last["exported"], last["excluded"], last[key]) == (2, 1, 1, 1)
+    twin = lines(tmp_path / "twin.jsonl", [{"id": "1", "stato": "valido"}, {"id": "1", "stato": "valido"}])
+    with pytest.raises(SystemExit):
+        main(["export", "--input", twin, "--output", str(tmp_path / "no")])
+    from test_configs import EXPERIMENT, SCENARIO
+
+    lines(tmp_path / "in.jsonl", [{"id": "a", "conversazione": [{"sender": "Utente", "testo": "Ada"}]}])
+    lines(tmp_path / "go.jsonl", [{"id": "a", "annotazioni": [{"campo": f, "start": 0, "end": 3, "tipo": "PERSON", "testo": "Ada"}]}])
+    (tmp_path / "e.json").write_text(json.dumps(EXPERIMENT | {"input": "in.jsonl", "attese": "go.jsonl"}))
+    assert main(["experiment", "--config", str(tmp_path / "e.json"), "--root", str(tmp_path)]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["models"] == ["m"]
+    (tmp_path / "s.json").write_text(json.dumps({"scenari": [SCENARIO]}))
+    plan = {"versione": "1", "totale": 4, "batch": [{"id": "b", "per_scenario_modalita": 2, "scenari": "all", "modalita": ["con_dati_personali", "senza_dati_personali"]}]}
+    (tmp_path / "pl.json").write_text(json.dumps(plan))
+    assert main(["plan", "--plan", str(tmp_path / "pl.json"), "--scenarios", str(tmp_path / "s.json"), "--output", str(tmp_path / "rows")]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1]) == {"b": 4}
+    prompts = lines(tmp_path / "pr.jsonl", [{"id": "x", "seed": 1, "versione_prompt": "v"}, {"id": "y", "seed": 1, "versione_prompt": "v"}])
+    answer = {"id": "x", "prompt": {"id": "x", "seed": 1, "versione_prompt": "v"}, "deployment": "m", "provider": "openai", "stato": "valido"}
+    answers = lines(tmp_path / "an.jsonl", [answer])
+    assert main(["summary", "--prompts", prompts, "--answers", answers, "--deployment", "m"]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["valido"] == 1
+    with pytest.raises(SystemExit):
+        main(["summary", "--prompts", prompts, "--answers", lines(tmp_path / "an2.jsonl", [answer, answer]), "--deployment", "m"])

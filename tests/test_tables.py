@@ -91,9 +91,6 @@ def test_reviews_and_masking(spark):
     notes = spark.createDataFrame([("h", "1", "b"), ("h", "1", "a"), ("z", "1", "q")], "sha256 string, id string, note string")
     assert {r["id"]: (r["review"], r["notes"]) for r in X.reviewed(records, notes).collect()} == {"1": ("segnalato", ["a", "b"]), "2": ("non_revisionato", None)}
     assert X.stray_notes(notes, spark.createDataFrame([("h",)], "sha256 string")).count() == 1
-    rows = spark.createDataFrame([("k", ["x"], [("conversazione.0.testo", "PERSON"), ("metadati.descrizione", "PERSON")])], "key string, messages array<string>, spans array<struct<field:string,type:string>>")
-    inside, out = X.masking_spans(rows)
-    assert inside.count() == 1 and out.first()["left_out"] == 1
 
 
 def test_stream_detects_each_message_once(spark, tmp_path):
@@ -113,3 +110,32 @@ def test_windowed_counts(spark, tmp_path):
     q = D.windowed_counts(s, "ts", "k", "1 minute", "5 minutes").writeStream.format("memory").queryName("wc").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r["k"], r["n"]) for r in spark.table("wc").collect()} >= {("a", 2), ("b", 1)}
+
+
+def test_masking_export(spark):
+    span = "struct<field:string,start:int,end:int,type:string,text:string,substitute:string>"
+    kind = f"key string, id string, source_sha256 string, state string, error string, messages array<struct<sender:string,text:string>>, spans array<{span}>"
+    talk, f = [("Utente", "sono Ada e Bo")], "conversazione.0.testo"
+    good = (f, 5, 8, "PERSON", "Ada", "[P]")
+    rows = [
+        ("h:1", "1", "h", "valido", None, talk, [good, ("metadati.descrizione", 0, 1, "PERSON", "x", "[P]")]), ("h:2", "2", "h", "valido", None, talk, []), ("h:3", "3", "h", "errore", "boom", talk, []), ("h:4", "4", "h", "valido", None, [("X", "a")], []),
+        ("h:5", "5", "h", "valido", None, talk, [(f, 5, 8, "PERSON", "Eva", "")]), ("h:6", "6", "h", "valido", None, talk, [good, (f, 7, 9, "PERSON", "a ", "")]), ("h:7", "7", "h", "valido", None, talk, [("altro", 0, 1, "PERSON", "s", "")]),
+        ("h:8", "8", "h", "valido", None, talk, [(f, 5, 8, "LOCATION", "Ada", "")]), ("h:9", "9", "h", "valido", None, [], []),
+    ]
+    notes = spark.createDataFrame([("h", "1", "dubbio")], "sha256 string, id string, note string")
+    got = X.masking_exported(spark.createDataFrame(rows, kind), notes)
+    assert {r["id"]: [a["text"] for a in r["annotazioni"]] for r in got.gold.collect()} == {"h:1": ["Ada"], "h:2": []}
+    assert {r["id"]: r["reason"] for r in got.excluded.collect()} == {"3": "boom", "4": "message", "5": "span", "6": "overlap", "7": "field", "8": "span", "9": "no messages"}
+    m = got.manifest.first()
+    assert (m["records"], m["exported"], m["excluded"], m["left_out"], m["flagged"], m["categories"]) == (9, 2, 7, 1, 1, {"PERSON": 1})
+    assert {r["id"]: (r["review"], r["notes"]) for r in got.provenance.collect()} == {"1": ("segnalato", ["dubbio"]), "2": ("non_revisionato", None)}
+
+
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    path = tmp_path / "x.jsonl"
+    path.write_text("".join(("{" if i in (7, 4000, 9998) else "{}") + "\n" for i in range(10_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        assert sorted(r["line"] for r in S.malformed_lines(spark, str(path)).collect()) == [8, 4001, 9999]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

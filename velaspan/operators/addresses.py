@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velaspan.functions import text as T
+from velaspan.operators.evaluation import FAILED, OK
 
 # Component names, evaluated groups of them, and the ordered outcomes.
 COMPONENTS = ("street_type", "street_name", "house_number", "house_extension", "internal", "municipality")
 GROUPS = {"street": ("street_type", "street_name"), "house_number": ("house_number", "house_extension"), "internal": ("internal",), "municipality": ("municipality",)}
 STREET_VIEW = COMPONENTS[:5]
-HOUSE_NUMBER = "(?i)([0-9]+[a-z]?(?:[/-][a-z0-9]+)?(?:\\s*(?:bis|ter|quater))?)\\s*$"
+HOUSE_NUMBER = r"(?iU)(\d+[a-z]?(?:[/-][a-z0-9]+)?(?:\s*(?:bis|ter|quater))?)\s*$"
 NESTED = "synthetic_address_component"
 _SPAN = "struct<start:int,end:int>"
 
@@ -135,6 +138,56 @@ def children(addresses: DataFrame, nested: DataFrame) -> DataFrame:
     return joined.withColumn("problem", problem).drop("n_street_civic", "n_municipality")
 
 
+def gold_addresses(detections: DataFrame) -> DataFrame:
+    """Addresses with parts and ``problem`` (null: fine): id, address_id, field, start, end, text, parts.
+
+    ``detections``: id, detection_id, field, start, end, text, type, components
+    (map, null without) and sources with detector, parent_detection_id and
+    component. Components come from an address's own map, or else from its two
+    nested views.
+    """
+    own = detections.where("type = 'ADDRESS'").select("id", F.col("detection_id").alias("address_id"), "field", "start", "end", "text", "components")
+    nested = detections.select("id", "start", "end", "text", F.explode("sources").alias("s")).where(F.col("s.detector") == NESTED)
+    got = children(own, nested.select("id", F.col("s.parent_detection_id").alias("parent_id"), F.col("s.component").alias("component"), "start", "end", "text"))
+    mapped = F.coalesce(F.size("components"), F.lit(0)) > 0
+    split = from_children(F.col("street_civic.text"), F.col("street_civic.start"), F.col("municipality.start"), F.col("municipality.end"))
+    got = got.withColumn("parts", F.when(mapped, structured()).otherwise(split))
+    problem = F.when(mapped, F.when(~F.exists("parts", lambda p: p["name"] == "street"), "street")).otherwise(F.coalesce("problem", F.when(F.col("parts").isNull(), "house number")))
+    return got.withColumn("problem", problem).select("id", "address_id", "field", "start", "end", "text", "parts", "problem")
+
+
+@dataclass
+class AddressReport:
+    """Results of :func:`evaluate_addresses`, all lazy."""
+
+    totals: DataFrame
+    components: DataFrame
+    outcomes: DataFrame
+    details: DataFrame
+    failures: DataFrame
+
+
+def evaluate_addresses(addresses: DataFrame, locations: DataFrame, outcomes: DataFrame, check: bool = False) -> AddressReport:
+    """Coverage of addresses (:func:`gold_addresses`) whose conversation has a usable prediction (id, state, error).
+
+    ``failures`` lists conversations without one, if they have addresses: id,
+    number of addresses, reason. With ``check``, an address that can't be taken
+    apart, an unknown state, or no address at all raises ValueError.
+    """
+    states = addresses.join(outcomes.select("id", "state", "error"), "id", "left")
+    usable = states.where(f"state = '{OK}'").drop("state", "error")
+    if check:
+        if bad := addresses.where("problem is not null").limit(5).collect():
+            raise ValueError("; ".join(f"{r['address_id']}: {r['problem']}" for r in bad))
+        if not outcomes.where(f"state is null or state not in ('{OK}', '{FAILED}')").isEmpty():
+            raise ValueError("unknown state of a prediction")
+        if usable.isEmpty():
+            raise ValueError("no address to evaluate")
+    details = measured(usable, locations)
+    failed = states.where(f"state is null or state = '{FAILED}'").groupBy("id").agg(F.count("*").alias("addresses"), F.coalesce(F.max("error"), F.lit("missing")).alias("reason"))
+    return AddressReport(address_totals(details), component_totals(details), outcome_histogram(details), details, failed)
+
+
 def invalid_components(addresses: DataFrame) -> DataFrame:
     """Addresses whose component map has unknown names, no street name, or offsets and texts that do not fit the address."""
     e = F.map_entries("components")
@@ -144,14 +197,18 @@ def invalid_components(addresses: DataFrame) -> DataFrame:
     return addresses.where(F.col("components").isNotNull() & ~F.coalesce(ok, F.lit(False)))
 
 
-def expanded(addresses: DataFrame, known: DataFrame, municipalities: DataFrame) -> DataFrame:
+def expanded(addresses: DataFrame, known: DataFrame, municipalities: DataFrame | None = None) -> DataFrame:
     """Nested LOCATION views of addresses: (id, field, start, end, text, component, parent_id), without those in ``known``.
 
     Components give the street view, from the first to the last street part,
     and the municipality. Without them the text is split at its last comma, if
     what follows is a known municipality. ``municipalities`` (name) is a
-    catalogue; the planner broadcasts it while it is small.
+    catalogue; the planner broadcasts it while it is small. Without a catalogue
+    nothing is expanded.
     """
+    if municipalities is None:
+        empty = "id string, field string, start int, end int, text string, component string, parent_id string, detection_id string"
+        return addresses.sparkSession.createDataFrame([], empty)
     own = F.filter(F.array(*[F.try_element_at(F.col("components"), F.lit(m)) for m in STREET_VIEW]), lambda x: x.isNotNull())
     city = F.try_element_at(F.col("components"), F.lit("municipality"))
     view = lambda name, s, e: F.struct(F.lit(name).alias("component"), s.cast("int").alias("start"), e.cast("int").alias("end"))

@@ -111,12 +111,71 @@ def exported(records: DataFrame, version: str = "detection-5.0", nested: DataFra
     )
 
 
-def masking_spans(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(spans of the dialogue, number of others) of the older format: key, messages, spans (field, start, end, type, text, ...)."""
-    one = records.select("key", "messages", F.inline("spans"))
-    talk = one.withColumn("idx", T.message_index(F.col("field")))
-    inside = talk.where("idx is not null").where(F.col("type").isin(*MASKING_TYPES)).drop("messages")
-    return inside, talk.where("idx is null").agg(F.count("*").alias("left_out"))
+@dataclass
+class MaskingExport:
+    """Tables of an export in the older masking format, all lazy."""
+
+    inputs: DataFrame
+    gold: DataFrame
+    provenance: DataFrame
+    excluded: DataFrame
+    manifest: DataFrame
+
+    def write(self, path: str) -> None:
+        """One new folder a table; none may exist."""
+        for name in ("inputs", "gold", "provenance", "excluded", "manifest"):
+            write_json_lines(getattr(self, name), f"{path.rstrip('/')}/{name}")
+
+
+#: Fields of a masking annotation that lie outside the dialogue and are left out, counted.
+OUTSIDE = r"^(metadati\.descrizione|trattamento_atteso\..*)$"
+
+
+def masking_error() -> Column:
+    """Why a record of the older format can't be exported, or null; over state, error, messages and spans."""
+    good_message = lambda m: m["sender"].isin(*SENDERS) & (F.trim(F.coalesce(m["text"], F.lit(""))) != "")
+    inside = F.filter("spans", lambda s: T.message_index(s["field"]).isNotNull())
+
+    def good(s):
+        i = T.message_index(s["field"])
+        text = F.get("messages", i)["text"]
+        return F.coalesce((i < F.size("messages")) & (s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= F.length(text)) & (T.slice_of(text, s["start"], s["end"]) == s["text"]) & s["type"].isin(*MASKING_TYPES), F.lit(False))
+
+    # sorted by field and start, a span overlaps if it begins before the one before it ends
+    ordered = F.array_sort(F.transform(inside, lambda s: F.struct(s["field"].alias("field"), s["start"].alias("start"), s["end"].alias("end"))))
+    meets = lambda o: F.exists(F.sequence(F.lit(1), F.greatest(F.size(o), F.lit(1))), lambda i: (i < F.size(o)) & (F.get(o, i)["field"] == F.get(o, i - 1)["field"]) & (F.get(o, i)["start"] < F.get(o, i - 1)["end"]))
+    return (
+        F.when(~F.coalesce(F.col("state") == VALID, F.lit(False)), F.coalesce("error", F.lit("state")))
+        .when(F.coalesce(F.size("messages"), F.lit(0)) < 1, "no messages")
+        .when(~F.forall("messages", lambda m: F.coalesce(good_message(m), F.lit(False))), "message")
+        .when(F.col("spans").isNull() | F.exists("spans", lambda s: T.message_index(s["field"]).isNull() & ~F.coalesce(s["field"].rlike(OUTSIDE), F.lit(False))), "field")
+        .when(~F.forall(inside, good), "span")
+        .when(F.exists(F.array(ordered), meets), "overlap")
+    )
+
+
+def masking_exported(records: DataFrame, notes: DataFrame | None = None, version: str = "1.0") -> MaskingExport:
+    """Split records of the older format into inputs and gold, with provenance and review notes.
+
+    ``records``: key, id, source_sha256, state, error, messages and spans (field,
+    start, end, type, text, ...). ``notes``: sha256, id, note. Spans outside the
+    dialogue are left out and counted.
+    """
+    if notes is None:
+        notes = records.sparkSession.createDataFrame([], "sha256 string, id string, note string")
+    judged = reviewed(records.withColumn("reason", masking_error()), notes)
+    good, bad = judged.where("reason is null"), judged.where("reason is not null")
+    trace = ["key", "id", "source_sha256", "state", "review", "notes"]
+    own = F.filter("spans", lambda s: T.message_index(s["field"]).isNotNull())
+    gold = good.select(F.col("key").alias("id"), own.alias("annotazioni"))
+    types = gold.select(F.explode(F.transform("annotazioni", lambda s: s["type"])).alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+    categories = types.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("categories"))
+    totals = judged.agg(
+        F.count("*").alias("records"), F.count_if(F.col("reason").isNull()).alias("exported"), F.count_if(F.col("reason").isNotNull()).alias("excluded"),
+        F.coalesce(F.sum(F.when(F.col("reason").isNull(), F.size("spans") - F.size(own))), F.lit(0)).alias("left_out"), F.count_if(F.col("reason").isNull() & (F.col("review") == "segnalato")).alias("flagged"),
+    )
+    inputs = good.select(F.col("key").alias("id"), F.transform("messages", lambda m: F.struct(m["sender"].alias("sender"), m["text"].alias("testo"))).alias("conversazione"))
+    return MaskingExport(inputs, gold, good.select(*trace), bad.select(*trace, "reason"), totals.join(categories).withColumn("version", F.lit(version)))  # one row each
 
 
 def reviewed(records: DataFrame, notes: DataFrame) -> DataFrame:

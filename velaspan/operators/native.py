@@ -54,8 +54,10 @@ def models_from(config: Mapping) -> list[Model]:
 def zero_shot(results: DataFrame, column: str = "entities") -> DataFrame:
     """Flatten map<label, array<struct<start,end,confidence>>> to native rows; a missing confidence is 1."""
     rest = [c for c in results.columns if c != column]
-    one = results.select(*rest, F.explode(column).alias("label", "_list")).select(*rest, "label", F.posexplode("_list").alias("ord", "_e"))
-    return one.select(*rest, "label", "ord", F.col("_e.start").alias("start"), F.col("_e.end").alias("end"), F.coalesce(F.col("_e.confidence").cast("double"), F.lit(1.0)).alias("score"))
+    # numbered over all labels: the order of the model's answer decides between equals
+    every = F.flatten(F.transform(F.map_entries(column), lambda e: F.transform(e["value"], lambda x: F.struct(e["key"].alias("label"), x.alias("e")))))
+    one = results.select(*rest, F.posexplode_outer(every).alias("ord", "_x")).where("_x is not null")
+    return one.select(*rest, F.col("_x.label").alias("label"), "ord", F.col("_x.e.start").alias("start"), F.col("_x.e.end").alias("end"), F.coalesce(F.col("_x.e.confidence").cast("double"), F.lit(1.0)).alias("score"))
 
 
 def judged(native: DataFrame, messages: DataFrame, model: Model) -> DataFrame:

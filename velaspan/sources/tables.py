@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from velaspan.functions import text as T
 
@@ -20,10 +21,15 @@ def json_lines(spark: SparkSession, path: str | Sequence[str], schema: str) -> D
 def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, content) of lines that are no JSON, blank ones apart; numbered within each file.
 
-    Files are read whole only in this diagnostic, one task a file.
+    Files are split as for any other read. What comes before a block of a file
+    is the sum of its earlier blocks' line counts, one row a block.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "content"))
-    return files.where(F.trim("content") != "").where(F.try_parse_json("content").isNull()).select("file", (F.col("at") + 1).alias("line"), "content")
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("content"))
+    blocks = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("lines", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    bad = rows.where(F.trim("content") != "").where(F.try_parse_json("content").isNull())
+    return bad.join(blocks, ["file", "block"]).select("file", (F.col("lines") + F.col("at") - F.col("first") + 1).cast("int").alias("line"), "content")
 
 
 def with_origin(df: DataFrame) -> DataFrame:
@@ -55,7 +61,7 @@ def config(path: str | Path) -> dict:
     return json.loads(Path(path).read_text(encoding="utf-8"))
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+def file_hashes(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """(path, sha256, length) of files, by their bytes."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), "length")
 
@@ -116,16 +122,25 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 
 def replace_json_lines(df: DataFrame, path: str) -> None:
-    """Write beside ``path``, then swap: readers see the old folder or the new one."""
+    """Write beside ``path``, move the old folder aside, the new one in, then delete the old one.
+
+    A reader finds the old folder or the new one, but for the moment between
+    two renames; after a failure one of them is there, under its own name or
+    with ``.old`` behind it.
+    """
     spark = df.sparkSession
-    staged = f"{path.rstrip('/')}.staged"
+    path = path.rstrip("/")
+    staged, aside = f"{path}.staged", f"{path}.old"
     df.write.mode("overwrite").json(staged)
-    jvm = spark._jvm
-    new, old = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(path)
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(new, old):
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(at(aside), True)
+    if fs.exists(at(path)) and not fs.rename(at(path), at(aside)):
+        raise OSError(f"{path} could not be moved aside")
+    if not fs.rename(at(staged), at(path)):
+        fs.rename(at(aside), at(path))
         raise OSError(f"{staged} could not be renamed")
+    fs.delete(at(aside), True)
 
 
 def append_segment(df: DataFrame, path: str) -> int:
