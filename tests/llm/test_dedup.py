@@ -211,3 +211,37 @@ def test_an_id_of_several_texts_has_the_links_of_each(spark):
     rows = spark.createDataFrame([(5, a), (5, b), (7, a), (3, b), (9, "other words that stand alone here")], "doc_id long, text string")
     got = sorted((r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(rows).collect())
     assert got == [(3, 3), (5, 3), (5, 5), (7, 5), (9, 9)]
+
+
+def test_spans_of_references_are_those_of_brute_force(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abé") for _ in range(r.randint(1, 2)))
+    references = [" ".join(word() for _ in range(60)) for _ in range(9)] + [None, "", "short one"]
+    values = [None, "", "a b"]
+    for _ in range(60):
+        w = [word() for _ in range(r.randint(5, 40))]
+        own = r.choice(references[:9]).split()
+        at, size = r.randrange(40), r.randint(3, 20)
+        w[r.randrange(len(w)) : 0] = own[at : at + size]
+        values.append("  ".join(w))
+    window = 8
+    known = {tuple(t.encode().split()[i : i + window]) for t in references if t for i in range(len(t.split()) - window + 1)}
+    table = spark.createDataFrame([(t,) for t in references], "text string")
+    for options in ({}, {"shard_words": 100, "round_words": 200}):
+        got = {x["doc"]["id"]: [(s["start"], s["end"]) for s in x["spans"]] for x in substrings.reference_spans(frame(spark, values), table, window, **options).collect()}
+        hits = 0
+        for i, v in enumerate(values):
+            w = (v or "").encode().split()
+            gone = [False] * len(w)
+            for k in range(len(w) - window + 1):
+                if tuple(w[k : k + window]) in known:
+                    gone[k : k + window] = [True] * window
+            mask = [False] * len(w)
+            for a, b in got.get(i, []):
+                mask[a:b] = [True] * (b - a)
+            assert mask == gone, i
+            hits += any(gone)
+        assert hits > 20
+    cut = {x["doc_id"]: x for x in substrings.removed(frame(spark, values), window, references=table).collect()}
+    assert len(cut) == len(values) and cut[0]["text"] is None and sum(x["_gone"] > 0 for x in cut.values()) == hits
+    assert substrings.reference_spans(frame(spark, values), table.limit(0), window).count() == 0

@@ -202,6 +202,17 @@ class Automaton:
                 top[s] = top[link[s]]
         self.many = [weight[t] >= 2 and self.length[s] >= window for s, t in enumerate(top)]
 
+    def statistics(self, sequence: list) -> Iterator[int]:
+        """For each place of a sequence: the length of the longest run of words ending there that the references hold."""
+        state = m = 0
+        for word in sequence:
+            while state and word not in self.next[state]:
+                state = self.link[state]
+                m = self.length[state]
+            state = self.next[state].get(word, 0)
+            m = m + 1 if state else 0
+            yield m
+
     def repeats(self, sequence: list, window: int) -> list[bool]:
         """For each window of a sequence: whether its words are in two or more places.
 
@@ -242,6 +253,82 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(every) + 1)).astype(np.int32)), spans)], names=["doc", "spans"])
 
 
+def _matched(shared, window: int):
+    """Spans of words, ``window`` or longer, that the broadcast reference shards hold, by matching statistics."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = _reference_automata(shared.value)
+        for batch in batches:
+            keep, found = [], []
+            for i, body in enumerate(batch.column(1)):
+                words = body.as_py().split()
+                spans = []
+                for ids, automaton in shards if len(words) >= window else ():
+                    for end, m in enumerate(automaton.statistics([ids.get(w, -1) for w in words]), 1):
+                        if m >= window:
+                            spans.append({"start": end - m, "end": end})
+                if spans:
+                    keep.append(i)
+                    found.append(spans)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(found, _SPANS)], names=["doc", "spans"])
+
+    return run
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_references: list[tuple] = []
+
+
+def _reference_automata(shards: list[list[bytes]]) -> list[tuple[dict[bytes, int], Automaton]]:
+    """The automata of broadcast shards, built once in a worker process."""
+    if not _references or _references[0][0] is not shards:
+        built = []
+        for texts in shards:
+            ids: dict[bytes, int] = {}
+            automaton = Automaton()
+            for text in texts:
+                automaton.add([ids.setdefault(w, len(ids)) for w in text.split()], 1)
+            built.append((ids, automaton))
+        _references[:] = [(shards, built)]
+    return _references[0][1]
+
+
+def reference_spans(docs: DataFrame, references: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", reference_col: str = "text", shard_words: int = SHARD_WORDS, round_words: int = 10 * SHARD_WORDS) -> DataFrame:
+    """(doc, spans): for each text, the word ranges of ``window`` words or more that stand in a reference.
+
+    The references' texts are dealt into shards; each round broadcasts the
+    shards of at most ``round_words`` words (and one longer text at most), and
+    every document is streamed once through their suffix automata. So the work
+    is documents times references: this is for a set of references that is
+    small beside the documents. For documents against each other there is
+    :func:`repeated_spans`. Null texts have no spans and are no references.
+    """
+    own = references.where(F.col(reference_col).isNotNull()).select(F.col(reference_col).alias("t")).distinct()
+    counted = stored(own.select("t", F.size(F.split(F.trim(F.regexp_replace("t", "[\\x20\\x09-\\x0D]+", " ")), " ")).cast("long").alias("n")), "references")
+    rounds = max(1, -(-int(counted.agg(F.sum("n")).first()[0] or 0) // round_words))
+    base = docs.select(row_key(id_col, text_col).alias("doc"), raw(text_col).alias("body"))
+    kind = f"doc {base.schema['doc'].dataType.simpleString()}, spans array<struct<start:bigint,end:bigint>>"
+    parts: list[DataFrame] = []
+    for i in range(rounds):
+        shards: list[list[bytes]] = [[]]
+        size = 0
+        for r in counted.where(F.pmod(F.xxhash64("t"), F.lit(rounds)) == i).toLocalIterator():
+            if size and size + r["n"] > shard_words:
+                shards.append([])
+                size = 0
+            shards[-1].append(r["t"].encode())
+            size += r["n"]
+        shared = docs.sparkSession.sparkContext.broadcast(shards)
+        parts.append(stored(base.mapInArrow(_matched(shared, window), kind), "matches"))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.union(p)
+    spans = every.groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    out = stored(spans.mapInArrow(_united, spans.schema), "spans")
+    discard(counted, *parts)
+    return out
+
+
 def _shard(window: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         K.give_back()  # what the last shard took
@@ -316,9 +403,9 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
 
 
-def with_spans(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """``docs`` and ``_spans`` (null where nothing repeats). The spans go to the texts, not the other way, while they are small."""
-    spans = repeated_spans(docs, window, id_col, text_col, shard_words, broadcast_windows)
+def with_spans(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS, broadcast_windows: int = BROADCAST_WINDOWS, references: DataFrame | None = None) -> DataFrame:
+    """``docs`` and ``_spans`` (null where nothing repeats, or stands in ``references``). The spans go to the texts, not the other way, while they are small."""
+    spans = repeated_spans(docs, window, id_col, text_col, shard_words, broadcast_windows) if references is None else reference_spans(docs, references, window, id_col, text_col)
     size = spans.agg(F.sum(F.lit(40) + 24 * F.size("spans"))).first()[0] or 0
     spans = spans.select(F.col("doc").alias("_doc"), F.col("spans").alias("_spans"))
     side = F.broadcast(spans) if size <= BROADCAST_BYTES else spans
@@ -363,14 +450,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(left, pa.int64()), pa.array(gone, pa.int64()), *batch.columns[2:]], names=["_new", "_left", "_gone", *batch.schema.names[2:]])
 
 
-def removed(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", references: DataFrame | None = None) -> DataFrame:
     """``docs`` with repeated words cut out of the texts, and ``_left``, ``_gone``: words kept and removed.
 
+    With ``references`` (a column text), what stands in them is cut out, not what repeats.
+
     A removed word goes with the white space behind it; all else stays as it
     was. A null text stays null.
     """
     own, names, of = hidden(docs, id_col, text_col)
-    got = with_spans(own, window, of[id_col], of[text_col])
+    got = with_spans(own, window, of[id_col], of[text_col], references=references)
     rest = [c for c in names if c != of[text_col]]
     base = got.select(raw(of[text_col]).alias("_body"), "_spans", *rest, F.col(of[text_col]).isNull().alias("_null"))
     kind = "_new string, _left long, _gone long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[2:])
