@@ -56,7 +56,7 @@ def test_models_are_isolated(spark, tmp_path):
         raise RuntimeError("no weights")
 
     got = runs.compare_models(messages, gold, {"m": (model, good), "x": (model, broken)}, ["PERSON"], ["PERSON"])
-    assert got.reports["m"]["span_esatti_micro"]["f1"] == 1.0 and got.reports["m"]["focus"]["tp"] == 1 and list(got.failed) == ["x"]
+    assert got.reports["m"]["span_esatti_micro"]["f1"] == 1.0 and got.reports["m"]["focus"]["tp"] == 1 and list(got.failed) == ["x"] and set(got.seconds) == {"m", "x"} and min(got.seconds.values()) >= 0
 
 
 def test_checks_before_a_run(spark):

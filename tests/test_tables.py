@@ -139,3 +139,12 @@ def test_lines_are_numbered_across_blocks(spark, tmp_path):
         assert sorted(r["line"] for r in S.malformed_lines(spark, str(path)).collect()) == [8, 4001, 9999]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_review_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"sha256": "h", "segnalazioni": [{"id": "1", "osservazione": "dubbio"}, {"id": "2", "osservazione": "x"}]}, indent=1))
+    (tmp_path / "b.json").write_text(json.dumps({"sha256": "k", "segnalazioni": []}))
+    paths = [str(tmp_path / n) for n in ("a.json", "b.json")]
+    assert sorted(tuple(r) for r in S.reviews(spark, paths).collect()) == [("h", "1", "dubbio"), ("h", "2", "x")]
+    with pytest.raises(ValueError):
+        S.reviews(spark, [paths[0], paths[0]])

@@ -221,6 +221,22 @@ def run_summary(prompts: DataFrame, answers: DataFrame) -> DataFrame:
     return prompts.agg(F.count("*").alias("prompts")).join(answers.agg(F.count("*").alias("answers"), *states))
 
 
+def selected(prompts: DataFrame, only: str | None = None, head: int | None = None) -> DataFrame:
+    """One prompt by its id, or the first ones in the order of ids."""
+    if only is not None:
+        prompts = prompts.where(F.col("id") == only)
+    return prompts if head is None else prompts.orderBy("id").limit(head)
+
+
+def combined(reused: DataFrame, previous: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(answers of a run with ``origin``: reused, previous or new; ids that more than one of them has)."""
+    every = None
+    for origin, rows in (("reused", reused), ("previous", previous), ("new", new)):
+        one = rows.withColumn("origin", F.lit(origin))
+        every = one if every is None else every.unionByName(one, allowMissingColumns=True)
+    return every, every.groupBy("id").count().where("count > 1").select("id")
+
+
 def run_problems(prompts: DataFrame, answers: DataFrame, same: Sequence[str], deployment: str, provider: str) -> DataFrame:
     """(id, problem) of stored answers that don't belong to the run which the prompts describe; none may be counted then.
 

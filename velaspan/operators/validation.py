@@ -17,6 +17,7 @@ CLAIMS = ("in compilazione", "in bozza", "in sola lettura")
 CASE_NUMBER = r"(?iU)\b(?:prot\.?\s*|protocollo\s*|pratica\s*|ticket\s*)(?:(?:numero|num\.?|n\.?|n[°º])\s*)?[:#]?\s*(?<valore>[0-9][A-Za-z0-9/-]*)\b"
 FENCE = r"(?s)^```(?:json)?[ \t]*\r?\n(.*?)\r?\n```$"
 USER, AGENT = "Utente", "Agente"
+MODES = ("con_dati_personali", "senza_dati_personali")
 
 
 def unfenced(answer: Column) -> tuple[Column, Column]:
@@ -42,6 +43,44 @@ def repaired(messages: str = "messages") -> Column:
     return F.filter(m, lambda x, i: ~(blank(x) & follows(x, i)))
 
 
+def repair_log(messages: str = "messages") -> Column:
+    """What :func:`repaired` takes out: array of (message, what), messages counted from 1."""
+    m = F.col(messages)
+    blank = lambda x: F.trim(F.coalesce(x["text"], F.lit(""))) == ""
+    gone = lambda x, i: blank(x) & F.coalesce(F.get(m, i + 1)["sender"] == x["sender"], F.lit(False)) & ~F.coalesce(blank(F.get(m, i + 1)), F.lit(True))
+    return F.filter(F.transform(m, lambda x, i: F.when(gone(x, i), F.struct((i + 1).alias("message"), F.lit("blank before the same sender").alias("what")))), lambda x: x.isNotNull())
+
+
+def schema_error(content: str, fixed: Column, mode: str | None = None, slots: str = "slots", older: bool = False) -> Column:
+    """The first way in which a chat's JSON (a text column) is not of its exact shape, or null.
+
+    ``fixed``: map of metadata that must stand there unchanged; the description
+    is the one field beside them. The older format has a third part. With
+    ``mode`` (a column), slots must be there in the mode with personal data,
+    and in that mode only.
+    """
+    texts = "map<string,string>"
+    keys = lambda m: F.array_sort(F.map_keys(m))
+    are = lambda found, *names: F.coalesce(found == F.array(*map(F.lit, sorted(names))), F.lit(False))
+    top = F.from_json(F.col(content), texts)
+    part = lambda name, kind: F.from_json(F.try_element_at(top, F.lit(name)), kind)
+    meta = part("metadati", texts)
+    kept = F.forall(F.map_entries(fixed), lambda e: F.try_element_at(meta, e["key"]).eqNullSafe(e["value"]))
+    wanted = F.array_sort(F.array_append(F.map_keys(fixed), F.lit("descrizione")))
+    talk = part("conversazione", f"array<{texts}>")
+    out = (
+        F.when(~are(keys(top), "metadati", "conversazione", *(["trattamento_atteso"] if older else [])), "parts")
+        .when(~F.coalesce(keys(meta) == wanted, F.lit(False)), "metadata")
+        .when(~F.coalesce(kept, F.lit(False)), "fixed metadata")
+        .when(talk.isNull() | F.exists(talk, lambda m: ~are(keys(m), "sender", "testo")), "messages")
+    )
+    if older:
+        out = out.when(~are(keys(part("trattamento_atteso", texts)), "mascherare", "conservare", "motivazione"), "treatment")
+    if mode:
+        out = out.when(F.col(mode).isin(*MODES) & ((F.size(slots) > 0) != (F.col(mode) == MODES[0])), "mode")
+    return out
+
+
 def renamed(messages: str = "messages") -> Column:
     """Messages whose ``testo`` is missing take ``text`` for it; result has sender and text."""
     return F.transform(messages, lambda x: F.struct(x["sender"].alias("sender"), F.coalesce(x["testo"], x["text"]).alias("text")))
@@ -116,7 +155,7 @@ def stray_numbers(text: Column) -> Column:
 
 def prepared(chats: DataFrame) -> DataFrame:
     """Chats with repairs applied, ``error``, the three kinds of signals, and ``state``: errore, da_verificare or valido."""
-    got = chats.withColumn("_n", F.size("messages")).withColumn("messages", repaired())
+    got = chats.withColumns({"_n": F.size("messages"), "repair_log": repair_log()}).withColumn("messages", repaired())
     every = F.concat(F.transform("messages", lambda x: x["text"]), F.array("description"))
     got = got.withColumns(
         {

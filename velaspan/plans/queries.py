@@ -1014,3 +1014,41 @@ def run_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 def default_rule_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules that come with the package, over messages. They look around their matches, which DuckDB's patterns can't."""
     return M.resolved(fx.messages(spark, sf_dir).select("id", "idx", "text"), M.read_rules())
+
+
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chats as JSON texts with a fault of shape each, by key modulo 7; the first is sound."""
+    k = F.col("c_custkey") % 7
+    day = F.concat(F.lit('"data_sintetica":"'), F.when(k == 3, "x").otherwise("d"), F.lit('"'))
+    meta = F.concat(F.lit("{"), day, F.lit(',"descrizione":"a"'), F.when(k == 2, ',"altro":"b"').otherwise(""), F.lit("}"))
+    talk = F.when(k == 4, '[{"sender":"Utente","testo":"a","x":"1"}]').otherwise('[{"sender":"Utente","testo":"a"}]')
+    text = F.concat(F.lit('{"metadati":'), meta, F.lit(',"conversazione":'), talk, F.when(k == 1, ',"altro":1').otherwise(""), F.lit("}"))
+    slots = F.when(k == 5, F.array().cast("array<string>")).otherwise(F.array(F.lit("{{A}}")))
+    return fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), text.alias("content"), slots.alias("slots"), F.when(k == 6, V.MODES[1]).otherwise(V.MODES[0]).alias("mode"))
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 7 > 0 THEN ['parts', 'metadata', 'fixed metadata', 'messages', 'mode', 'mode'][CAST(c_custkey % 7 AS INTEGER)] END AS error FROM customer""")
+def schema_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, sf_dir).select("id", V.schema_error("content", F.create_map(F.lit("data_sintetica"), F.lit("d")), "mode").alias("error"))
+
+
+@query(f"""WITH m AS ({_ORDERED}), b AS (SELECT id, pos, sender, CASE WHEN pos % 4 = 1 THEN ' ' ELSE text END AS text FROM (SELECT id, pos, CASE WHEN pos % 4 = 2 THEN lag(sender) OVER (PARTITION BY id ORDER BY pos) ELSE sender END AS sender, text FROM m)),
+n AS (SELECT *, lead(sender) OVER w AS s2, lead(text) OVER w AS t2 FROM b WINDOW w AS (PARTITION BY id ORDER BY pos))
+SELECT id, coalesce(string_agg(CASE WHEN trim(text) = '' AND coalesce(s2 = sender, false) AND trim(coalesce(t2, '')) <> '' THEN CAST(pos + 1 AS VARCHAR) END, ',' ORDER BY pos), '') AS removed FROM n GROUP BY id""")
+def repair_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("messages")
+    broken = F.transform("messages", lambda x, i: F.struct(F.when(i % 4 == 2, F.get(m, i - 1)["sender"]).otherwise(x["sender"]).alias("sender"), F.when(i % 4 == 1, F.lit(" ")).otherwise(x["text"]).alias("text")))
+    rows = _conversations(spark, sf_dir).withColumn("messages", broken)
+    return rows.select("id", F.array_join(F.transform(V.repair_log(), lambda x: x["message"].cast("string")), ",").alias("removed"))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer ORDER BY CAST(c_custkey AS VARCHAR) LIMIT 25""")
+def first_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.selected(fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id")), head=25)
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE o_orderstatus WHEN 'F' THEN 'reused' WHEN 'O' THEN 'previous' ELSE 'new' END AS origin FROM orders""")
+def combined_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of three origins, by the state of orders."""
+    part = lambda s: fx.table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == s).select(F.col("o_orderkey").cast("string").alias("id"))
+    return X.combined(part("F"), part("O"), part("P"))[0]

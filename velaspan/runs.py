@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -84,10 +85,11 @@ def predict_model(messages: DataFrame, model: N.Model, load: Callable[[], Callab
 
 @dataclass
 class Comparison:
-    """Reports by model; ``failed`` says why a model has none."""
+    """Reports by model; ``failed`` says why a model has none; ``seconds`` is how long each took, failed or not."""
 
     reports: dict[str, dict] = field(default_factory=dict)
     failed: dict[str, str] = field(default_factory=dict)
+    seconds: dict[str, float] = field(default_factory=dict)
 
 
 def report(evaluation: E.Evaluation) -> dict:
@@ -109,11 +111,13 @@ def compare_models(messages: DataFrame, gold: DataFrame, models: Mapping[str, tu
     """Each model over the same conversations and gold. A model that fails does not stop the next one."""
     out = Comparison()
     for name, (model, load) in models.items():
+        began = time.perf_counter()
         try:
             p = predict_model(messages, model, load, types)
             out.reports[name] = report(E.evaluate(messages, gold, p.spans, p.outcomes, types, focus))
         except Exception as error:  # noqa: BLE001  a model's failure is its own
             out.failed[name] = f"{type(error).__name__}: {error}"[:500]
+        out.seconds[name] = time.perf_counter() - began
     return out
 
 

@@ -51,12 +51,20 @@ def text_list(spark: SparkSession, path: str, column: str = "value") -> DataFram
     return lines.where(F.col(column) != "").distinct().orderBy(column)
 
 
-def json_document(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def json_document(spark: SparkSession, path: str | Sequence[str], schema: str | None = None) -> DataFrame:
     """A JSON file that is one document, or one array of records."""
     reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def reviews(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(sha256, id, note) of review files, each a JSON document about one source; two about the same source are an error."""
+    rows = json_document(spark, path, "sha256 string, segnalazioni array<struct<id:string,osservazione:string>>")
+    if not rows.where("sha256 is null").isEmpty() or not rows.groupBy("sha256").count().where("count > 1").isEmpty():
+        raise ValueError("reviews without a source, or several of one")
+    return rows.select("sha256", F.inline("segnalazioni")).withColumnRenamed("osservazione", "note")
+
+
 def config(path: str | Path) -> dict:
     return json.loads(Path(path).read_text(encoding="utf-8"))
 
