@@ -9,7 +9,7 @@ not a negative: it leaves every denominator and is listed apart.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +44,7 @@ def counted(outcomes: DataFrame, *by: str) -> DataFrame:
 
 def always(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
     """One row for each of ``values``, with counts of 0 where ``df`` has none."""
-    frame = df.sparkSession.createDataFrame([(v,) for v in values], f"{column} string")
+    frame = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, values))).alias(column))
     return frame.join(df, column, "left").na.fill(0)
 
 
@@ -68,19 +68,59 @@ def technical_failures(messages: DataFrame, outcomes: DataFrame) -> DataFrame:
     return got.where(f"state is null or state = '{FAILED}'").select("id", F.coalesce("state", F.lit("mancante")).alias("state"), "error")
 
 
-@dataclass
 class Evaluation:
-    """Results of :func:`evaluate`, all lazy."""
+    """Everything that the evaluation of one model reports, over conversations whose prediction is usable. Each report is planned when it is asked for."""
 
-    spans: DataFrame
-    micro: DataFrame
-    by_type: DataFrame
-    by_role: DataFrame
-    focus: DataFrame | None
-    characters: DataFrame
-    conversations: DataFrame
-    errors: DataFrame
-    failures: DataFrame
+    def __init__(self, messages: DataFrame, gold: DataFrame, pred: DataFrame, outcomes: DataFrame, types: Sequence[str], focus: Sequence[str]):
+        self._messages, self._gold, self._pred, self._outcomes, self._types, self._focus = messages, gold, pred, outcomes, types, focus
+
+    @cached_property
+    def _usable(self) -> DataFrame:
+        return self._outcomes.where(f"state = '{OK}'").select("id").distinct()
+
+    @cached_property
+    def spans(self) -> DataFrame:
+        """Compared spans with ``outcome``."""
+        return compared(self._gold, self._pred).join(self._usable, "id", "left_semi").select(*SPAN, "outcome")
+
+    @cached_property
+    def micro(self) -> DataFrame:
+        return with_scores(counted(self.spans))
+
+    @cached_property
+    def by_type(self) -> DataFrame:
+        return with_scores(always(counted(self.spans, "type"), "type", sorted(self._types)))
+
+    @cached_property
+    def by_role(self) -> DataFrame:
+        senders = self._messages.join(self._usable, "id", "left_semi").select("id", "idx", "sender")
+        rows = counted(self.spans, "id", "idx").join(senders, ["id", "idx"]).groupBy("sender").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+        return with_scores(always(rows, "sender", SENDERS))
+
+    @cached_property
+    def focus(self) -> DataFrame | None:
+        return with_scores(counted(self.spans.where(F.col("type").isin(*self._focus)))) if self._focus else None
+
+    @cached_property
+    def _characters(self) -> DataFrame:
+        return conversation_characters(self._messages.join(self._usable, "id", "left_semi"), self.spans)
+
+    @cached_property
+    def characters(self) -> DataFrame:
+        sums = [F.sum(c).alias(c) for c in ("expected", "covered", "uncovered", "overmasked", "other")]
+        return self._characters.agg(*sums).withColumn("coverage", F.try_divide("covered", "expected"))
+
+    @cached_property
+    def conversations(self) -> DataFrame:
+        return flags(self._characters)
+
+    @cached_property
+    def errors(self) -> DataFrame:
+        return error_list(self.spans)
+
+    @cached_property
+    def failures(self) -> DataFrame:
+        return technical_failures(self._messages, self._outcomes)
 
 
 def conversation_characters(messages: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -154,7 +194,7 @@ def require(problems_: DataFrame, messages: DataFrame) -> None:
 
 
 def evaluate(messages: DataFrame, gold: DataFrame, pred: DataFrame, outcomes: DataFrame, types: Sequence[str], focus: Sequence[str] = (), gold_ids: DataFrame | None = None) -> Evaluation:
-    """Everything that the evaluation of one model reports, over conversations whose prediction is usable.
+    """The reports of one model.
 
     With ``gold_ids`` (id of each conversation that gold exists for), inputs are
     checked first and any of :func:`problems` raises ValueError; without, the
@@ -164,16 +204,7 @@ def evaluate(messages: DataFrame, gold: DataFrame, pred: DataFrame, outcomes: Da
         raise ValueError("types must not be empty, and must hold the focus types")
     if gold_ids is not None:
         require(problems(messages, gold, gold_ids, pred, outcomes, types), messages)
-    usable = outcomes.where(f"state = '{OK}'").select("id").distinct()
-    spans = compared(gold, pred).join(usable, "id", "left_semi").select(*SPAN, "outcome")
-    messages_ = messages.join(usable, "id", "left_semi")
-    by_type = always(counted(spans, "type"), "type", sorted(types))
-    per_message = counted(spans, "id", "idx").join(messages_.select("id", "idx", "sender"), ["id", "idx"])
-    by_role = always(per_message.groupBy("sender").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]), "sender", SENDERS)
-    in_focus = with_scores(by_type.where(F.col("type").isin(*focus)).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])) if focus else None
-    characters = conversation_characters(messages_, spans)
-    totals = characters.agg(*[F.sum(c).alias(c) for c in ("expected", "covered", "uncovered", "overmasked", "other")]).withColumn("coverage", F.try_divide("covered", "expected"))
-    return Evaluation(spans, with_scores(counted(spans)), with_scores(by_type), with_scores(by_role), in_focus, totals, flags(characters), error_list(spans), technical_failures(messages, outcomes))
+    return Evaluation(messages, gold, pred, outcomes, types, focus)
 
 
 def threshold_sweep(gold: DataFrame, scored: DataFrame, thresholds: Sequence[float]) -> DataFrame:

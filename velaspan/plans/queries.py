@@ -343,11 +343,8 @@ SELECT doc_id, min(start) AS start, max(fin) AS "end", CAST(max(fin) - min(start
 def adjacent_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of capitalised words, one space apart, merged as neighbours of one type."""
     messages = fx.docs(spark, sf_dir)
-    words = messages.select("id", "idx", F.posexplode(F.split("text", " ")).alias("i", "value"))
-    w = Window.partitionBy("id", "idx").orderBy("i")
-    words = words.withColumn("end", (F.sum(F.length("value") + 1).over(w) - 1).cast("int")).where("value <> ''")
-    kind = F.when(F.col("value").rlike("^[A-ZÀ-Ý]"), "PERSON").otherwise("OTHER")
-    tokens = words.select("id", "idx", (F.col("end") - F.length("value")).alias("start"), "end", kind.alias("type"), F.lit(1.0).alias("score"), kind.alias("native"))
+    found = M.detected(messages.select("id", "idx", "text"), [M.Rule("capital", "PERSON", 1, "(?<![^ ])(?P<valore>[A-ZÀ-Ý][^ ]*)", "")])
+    tokens = found.select("id", "idx", "start", "end", "type", F.lit(1.0).alias("score"), F.col("type").alias("native"))
     merged = S.adjacent_merged(tokens, messages, ("PERSON",)).where("type = 'PERSON'")
     return merged.select(F.substring("id", 5, 20).cast("long").alias("doc_id"), "start", "end", F.length("text").alias("n_chars"))
 
