@@ -61,3 +61,20 @@ def test_bad_rules(change):
     bad = {**own[3], "nome": "new", **change}
     with pytest.raises(ValueError):
         M.rules_from({"regole": [*own, bad]})
+
+
+def test_default_rules_on_the_tables(spark, data):
+    """The registered query, which has no SQL, against Python's patterns and the same greedy choice."""
+    from velaspan.plans import queries as plans
+
+    rules = M.read_rules()
+    got = sorted((r["id"], r["start"], r["end"], r["type"], r["value"], r["rule"]) for r in plans.QUERIES["default_rule_detections"](spark, data).collect())
+    want = []
+    for d in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect():
+        found = [(-r.priority, m.start("valore") - m.end("valore"), m.start("valore"), r.name, m.end("valore"), r.type, m["valore"]) for r in rules for m in re.compile(r.pattern, re.I).finditer(d["text"] or "")]
+        kept = []
+        for x in sorted(found):
+            if not any(x[2] < k[4] and x[4] > k[2] for k in kept):
+                kept.append(x)
+        want += [(f"doc-{d['doc_id']}", k[2], k[4], k[5], k[6], k[3]) for k in kept]
+    assert got == sorted(want) and got

@@ -1009,8 +1009,8 @@ def run_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def default_rule_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules that come with the package, over messages. They look around their matches, which DuckDB's patterns can't."""
-    return M.resolved(fx.messages(spark, sf_dir).select("id", "idx", "text"), M.read_rules())
+    """The rules that come with the package, over documents. They look around their matches, which DuckDB's patterns can't."""
+    return M.resolved(fx.docs(spark, sf_dir).select("id", "idx", "text"), M.read_rules())
 
 
 def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
