@@ -112,3 +112,16 @@ def test_query_is_its_sql(spark, data, name):
     df = registry.QUERIES[name](spark, data)
     assert sorted(df.columns) == sorted(columns)
     assert sorted(tuple(r[c] for c in columns) for r in df.collect()) == want
+
+
+def test_mixed_documents_are_rejected(spark):
+    import random
+
+    syllables = {"aa": ["ka", "to", "mi", "ru"], "bb": ["sch", "ein", "über", "ge"], "cc": ["ção", "ll", "ña", "os"]}
+    r = random.Random(1)
+    say = lambda lang, n: " ".join("".join(r.choice(syllables[lang]) for _ in range(2)) for _ in range(n))
+    rows = [(i, say(lang, 40), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 20)]
+    rows += [(100, " ".join(say(lang, 60) for lang in syllables), "aa"), (101, say("bb", 80) + " " + say("aa", 20), None), (102, say("aa", 30), "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x["lang"] for x in pipeline.language(spark, docs, "").collect()}
+    assert 100 not in got and got[101] == "bb" and got[102] == "aa" and all(got[i] == lang for i, _, lang in rows[:60])

@@ -19,10 +19,12 @@ from velaspan.llm.workspace import discard, documents, raw, stored
 ORDER = 5
 #: Bytes of text whose distinct n-grams are gathered, and whose scores are looked up, together.
 CHUNK = 16_000_000
-#: Scored n-grams up to this number are broadcast (16 bytes each) to join the chunks that hold them; more are joined by a shuffle.
+#: Scored n-grams up to this number are broadcast (about 100 bytes each, as Spark does it) to join the chunks that hold them; more are joined by a shuffle.
 BROADCAST_GRAMS = 1_000_000
 #: Share of trusted held-out documents of a language whose perplexity is at most the threshold, and slack on it.
 QUANTILE, SLACK = 0.99, 1.10
+#: Steps of a nat in which perplexities are counted for the quantiles.
+STEPS = 1_000
 #: Nats that any text may have beyond its threshold: the first bytes have little context, which only weighs on short texts.
 ALLOWANCE = 12.0
 #: A language's threshold is its own quantile and, with the weight of so many documents, that of all languages.
@@ -322,15 +324,16 @@ def quality(docs: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: f
     model = trained(base.where(F.col("trusted") & ~held), order)
     found = scored(base, model, order).withColumn("nats", F.when(F.col("n_bytes") > 0, -F.col("total") / F.col("n_bytes")))
     discard(model, base)
-    tested = found.where(held & F.col("nats").isNotNull()).withColumn("at", F.ceil(F.col("nats") * 10_000))
-    cut = F.expr(f"percentile_disc({quantile}) WITHIN GROUP (ORDER BY at)").cast("double")  # counts of values are summed in each task
+    # counts of values in steps of 1/STEPS nat: however many documents, what meets in one task is bounded
+    tested = found.where(held & F.col("nats").isNotNull()).groupBy("lang", F.ceil(F.col("nats") * STEPS).alias("at")).agg(F.count("*").alias("n"))
+    cut = F.percentile("at", F.lit(quantile), F.col("n"))
     common = tested.agg(cut.alias("at")).first()["at"]
     limit = F.lit(None).cast("double")
     if common is not None:
-        own = tested.where("lang is not null").groupBy("lang").agg(cut.alias("at"), F.count("*").alias("n"))
+        own = tested.where("lang is not null").groupBy("lang").agg(cut.alias("at"), F.sum("n").alias("n"))
         drawn = own.select(F.col("lang").alias("_lang"), ((F.col("n") * F.col("at") + ENOUGH * common) / (F.col("n") + ENOUGH)).alias("_at"))
         found = found.join(F.broadcast(drawn), F.col("lang") == F.col("_lang"), "left")  # a row a language
-        limit = F.exp(F.coalesce("_at", F.lit(common)) / 10_000) * slack
+        limit = F.exp(F.coalesce("_at", F.lit(common)) / STEPS) * slack
     out = found.withColumn("perplexity", F.exp("nats")).withColumn("threshold", limit)
     return out.select("doc_id", "lang", "n_bytes", "perplexity", "threshold", "trusted", (F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("nats") * F.col("n_bytes") <= F.log("threshold") * F.col("n_bytes") + allowance))).alias("kept"))
 
