@@ -22,15 +22,16 @@ CANDIDATE = "[A-Za-z0-9_+/=-]{16,}"
 THRESHOLD, PER_CHARACTER = 12.0, 0.35
 #: Labelled samples of each class that :func:`samples` makes.
 SAMPLES = 4_000
-#: Rows of the table whose words ordinary identifiers are made of, and words taken from them.
+#: Rows of the table, about, whose words ordinary identifiers are made of, and words taken from them.
 WORD_ROWS, WORDS = 1_000, 512
 
 
 def common_words(docs: DataFrame, text_col: str = "text", rows: int = WORD_ROWS, n: int = WORDS) -> list[str]:
-    """The n most frequent words of 4 to 12 letters a-z in a sample of ``rows`` rows, by hash: the same on every call."""
+    """The n most frequent words of 4 to 12 letters a-z in a sample of about ``rows`` rows, by hash: the same on every call."""
     plain = [c for c, kind in docs.dtypes if kind in ("string", "bigint", "int")]
-    some = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.xxhash64(*[F.col(c) for c in plain]).alias("h")).orderBy("h").limit(rows)
-    words = some.select(F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"\b[a-z]{4,12}\b"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    share = rows / max(docs.count(), rows)
+    some = docs.where(F.xxhash64(*[F.col(c) for c in plain]) <= F.lit(min(int(share * 2**64) - 2**63, 2**63 - 1)))
+    words = some.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"\b[a-z]{4,12}\b"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     return [r["w"] for r in words.orderBy(F.desc("n"), "w").limit(n).collect()]
 
 
