@@ -210,7 +210,7 @@ class Packer:
         return out
 
 
-def _rows(path: str, end: int, limits: tuple[int, int, int], cut: bool, halve: bool, share: bool, with_ids: bool):
+def _rows(path: str, end: int, limits: tuple[int, int, int], cut: bool, halve: bool, slack: int, share: bool, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
         tail = np.array([end], "<u4").tobytes()
@@ -224,7 +224,7 @@ def _rows(path: str, end: int, limits: tuple[int, int, int], cut: bool, halve: b
                 by: dict[int, int] = {}
                 for p in pieces:
                     by[p[3]] = by.get(p[3], 0) + p[2]
-                short = {s: [] for s, n in by.items() if n & n - 1}
+                short = {s: [] for s, n in by.items() if n & n - 1 and n < limits[0] - slack}
                 for p in pieces:
                     if p[3] in short:
                         short[p[3]].append(p)
@@ -260,7 +260,7 @@ def _rows(path: str, end: int, limits: tuple[int, int, int], cut: bool, halve: b
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
 
-def packed(docs: DataFrame, path: str, tokens: int = 4096, segments: int = 1024, loss: int = 4096, end: int = 2, cut: bool = True, halve: bool = True, loss_share: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, path: str, tokens: int = 4096, segments: int = 1024, loss: int = 4096, end: int = 2, cut: bool = True, halve: bool = True, slack: int = 0, loss_share: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Token ids of every text, laid out in sequences: one row per piece.
 
     A text's ids are those of the word tokeniser in ``path``, then ``end``;
@@ -269,18 +269,19 @@ def packed(docs: DataFrame, path: str, tokens: int = 4096, segments: int = 1024,
     Every id is in exactly one piece. With ``cut``, a sequence is left below
     ``tokens`` only by the limit on segments or loss-bearing tokens, or as the
     last of a partition; ``halve`` lays such sequences out again as powers of
-    two, which need no padding. Each partition is packed by itself in blocks of bounded
+    two, which need no padding, if they lack more than ``slack`` tokens. Each partition is packed by itself in blocks of bounded
     size, without a shuffle; sequence ids hold the partition's number, so a
     task that runs again gives the same rows. Repeated ids are separate
     examples; other columns are ignored; an empty table gives no rows.
     """
     columns = [F.col(id_col).alias("doc_id"), raw(text_col).alias("body")] + ([F.col(loss_share).cast("double").alias("share")] if loss_share else [])
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return docs.select(*columns).mapInArrow(_rows(path, end, (tokens, segments, loss), cut, halve, bool(loss_share), with_ids), kind)
+    return docs.select(*columns).mapInArrow(_rows(path, end, (tokens, segments, loss), cut, halve, slack, bool(loss_share), with_ids), kind)
 
 
-#: Limits of the query: segments and loss-bearing tokens of a sequence.
-SEGMENTS, LOSS = 64, 3840
+#: Limits of the query: segments and loss-bearing tokens of a sequence. What such a sequence lacks at most is padded, not laid out again.
+SEGMENTS, LOSS = 64, 4032
+SLACK = 4096 - LOSS
 
 
 def loss_share(text_col: str = "text") -> Column:
@@ -294,4 +295,4 @@ def op4_vector_packing(spark: SparkSession, sf_dir: str, path: str | None = None
     import public_tokenizers
 
     docs = documents(spark, sf_dir).select("doc_id", "text", loss_share().alias("loss_share"))
-    return packed(docs, path or public_tokenizers.path("word_bpe_49k.json"), segments=SEGMENTS, loss=LOSS, loss_share="loss_share")
+    return packed(docs, path or public_tokenizers.path("word_bpe_49k.json"), segments=SEGMENTS, loss=LOSS, slack=SLACK, loss_share="loss_share")
