@@ -76,7 +76,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     small_batches(spark)
     own = docs.withColumn("_loss_share", packing.loss_share())
-    return packing.packed(own, public_tokenizers.path("word_bpe_49k.json"), segments=packing.SEGMENTS, loss=packing.LOSS, loss_share="_loss_share")
+    return packing.packed(own, public_tokenizers.path("word_bpe_49k.json"), segments=packing.SEGMENTS, loss=packing.LOSS, slack=packing.SLACK, loss_share="_loss_share")
 
 
 STAGES = [
