@@ -109,3 +109,26 @@ def test_loss_limit_and_whole_examples(spark):
         bears = sum(int(np.ceil(r["length"] * (1.0 if r["doc_id"] % 2 == 0 else 0.25))) for r in rs)
         assert sum(r["length"] for r in rs) <= 200 and len(rs) <= 6 and bears <= 120
     assert len(rows) == 300
+
+
+def test_parts_are_numbered_once_and_encoded_without_the_whole_tokeniser(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    r = random.Random(2)
+    values = ["", " \n", "it's 'll WE'VE <|endoftext|> x~y ~ 12", *["".join(r.choice(" \n  abcdefgéßÀ1,.!'s") for _ in range(r.randint(0, 60))) for _ in range(300)]]
+    want = [np.array(t.encode(v, add_special_tokens=False).ids, "<u4").tobytes() for v in values]
+    own = packing.WordIds(path)
+    assert own.plain
+
+    def never(text):
+        raise AssertionError(text)
+
+    monkeypatch.setattr(own, "_ids", never)
+    assert own.texts([v.encode() for v in values]) == want
+    known = len(own.numbers)
+    assert own.texts([v.encode() for v in values]) == want and len(own.numbers) == known
+    monkeypatch.setattr(packing, "CACHE", 50)  # all is forgotten before every few texts
+    assert [own.texts([v.encode()])[0] for v in values] == want

@@ -34,6 +34,10 @@ class Memory:
             self.now.update(zip(new, self.compute(new), strict=True))
         return self.now
 
+    def forget(self) -> None:
+        """Hold nothing any more: what follows in this process, maybe another operator, needs the room."""
+        self.now, self.old = {}, {}
+
 
 def groups(texts: Iterable, limit: int = GROUP) -> Iterator[list]:
     """Consecutive texts in lists of about ``limit`` characters; None counts as nothing."""

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -19,7 +21,7 @@ from velaspan.llm.kernels import give_back
 from velaspan.llm.memory import Memory, groups
 from velaspan.llm.workspace import documents, raw
 
-#: Words, and parts of words, whose ids a worker remembers in each of two generations (about 200 bytes each).
+#: Words whose ids a worker remembers in each of two generations, and half of the parts of words (about 200 bytes each).
 CACHE = 150_000
 #: Tokens and examples that are packed together; more memory, better choice.
 BLOCK_TOKENS, BLOCK_ITEMS = 2_000_000, 2_000
@@ -30,9 +32,12 @@ CUT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 def _cuts_plainly(own: dict) -> bool:
-    """Whether a tokeniser file folds and cuts as those fixed values say, and marks the ends of words."""
-    steps = (own.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-    return own.get("normalizer") == NORMALISER and steps[0].get("pattern") == {"Regex": CUT} and own["model"].get("end_of_word_suffix") == "</w>" and "~</w>" in own["model"]["vocab"]
+    """Whether a tokeniser file folds, cuts and merges as those fixed values say, and marks the ends of words; all added tokens must be special."""
+    steps, model = (own.get("pre_tokenizer") or {}).get("pretokenizers") or [], own["model"]
+    cut = len(steps) == 2 and steps[0].get("pattern") == {"Regex": CUT} and (steps[1].get("type"), steps[1].get("add_prefix_space"), steps[1].get("use_regex")) == ("ByteLevel", False, False)
+    usual = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    special = all(t.get("special") for t in own.get("added_tokens") or [])
+    return own.get("normalizer") == NORMALISER and cut and usual and special and model.get("end_of_word_suffix") == "</w>" and "~</w>" in model["vocab"]
 
 
 class WordIds:
@@ -48,11 +53,12 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.plain = _cuts_plainly(json.loads(Path(path).read_text()))
+        own = json.loads(Path(path).read_text())
+        self.plain = _cuts_plainly(own)
         if not self.plain:
             return
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -62,19 +68,49 @@ class WordIds:
         # letters whose case folds one to one, and which never compose with each other
         self.other = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]").search
         self.cut = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+").findall
-        self.parts, self.words = Memory(self._parts, CACHE), Memory(self._words, CACHE)
+        self.words = Memory(self._words, CACHE)
+        self.forget()
+        # for parts, which are folded and cut already: the same merges, nothing left to fold, cut at spaces only, without a second cache
+        self.folded = Tokenizer(models.BPE(own["model"]["vocab"], [tuple(m.split(" ") if isinstance(m, str) else m) for m in own["model"]["merges"]], cache_capacity=0, end_of_word_suffix="</w>"))
+        self.folded.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _parts(self, parts: list[bytes]) -> list[bytes]:
-        ids = self._ids(b" ".join(parts).decode())
+    def _learn(self, parts: list[bytes]) -> None:
+        """Add the ids of parts that have just been numbered."""
+        ids = np.array(self.folded.encode_batch_fast([b" ".join(parts).decode()], add_special_tokens=False)[0].ids, "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(parts) or stops[-1] != len(ids):
-            return [self._ids(p.decode()).tobytes() for p in parts]
-        data = ids.tobytes()
-        starts = [0, *(4 * stops[:-1]).tolist()]
-        return [data[a:b] for a, b in zip(starts, (4 * stops).tolist(), strict=True)]
+            each = [self._ids(p.decode()) for p in parts]
+            ids, stops = np.concatenate(each), np.cumsum([len(x) for x in each])
+        self.stops = np.concatenate([self.stops, self.stops[-1] + stops])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _joined(self, cut: list[list[bytes]]) -> list[bytes]:
+        """Ids of texts that are given as their parts."""
+        if len(self.numbers) > 2 * CACHE:
+            self._forget_parts()
+        which = np.concatenate([np.fromiter(map(self.numbers.__getitem__, c), np.int64, len(c)) for c in cut])
+        if not len(which):
+            return [b""] * len(cut)
+        if new := list(itertools.islice(self.numbers, len(self.stops) - 1, None)):
+            self._learn(new)
+        first, size = self.stops[which], np.diff(self.stops)[which]
+        after = np.cumsum(size)
+        data = self.ids[np.repeat(first - after + size, size) + np.arange(after[-1])].tobytes()
+        ends = [0, *(4 * np.concatenate([[0], after])[np.cumsum([len(c) for c in cut])]).tolist()]
+        return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def _forget_parts(self) -> None:
+        """Parts are numbered as they come; part i has the ids from stops[i] to stops[i + 1]."""
+        self.numbers, self.ids, self.stops = defaultdict(itertools.count().__next__), np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def forget(self) -> None:
+        """Drop what is remembered of texts: the process lives on, and what runs in it next needs the room."""
+        if self.plain:
+            self._forget_parts()
+            self.words.forget()
 
     def _apart(self, words: list[bytes]) -> list[bytes]:
         """Ids of words of any kind, encoded together with a sign between them that none of them has."""
@@ -105,12 +141,8 @@ class WordIds:
                 cut.append(self.cut(text.lower().encode()))
         strange = {w for i in odd for w in cut[i]}
         words = self.words.having(strange) if strange else {}
-        plain = set()
-        for i, c in enumerate(cut):
-            if i not in odd:
-                plain.update(c)
-        parts = self.parts.having(plain)
-        return [b"".join([words[w] for w in c] if i in odd else [parts[p] for p in c]) for i, c in enumerate(cut)]
+        plain = iter(self._joined([c for i, c in enumerate(cut) if i not in odd]) if len(odd) < len(cut) else [])
+        return [b"".join(map(words.__getitem__, c)) if i in odd else next(plain) for i, c in enumerate(cut)]
 
 
 @functools.lru_cache(2)
@@ -154,16 +186,16 @@ class Packer:
             room = self.limit.copy()
             bin_: list[tuple[int, int, int, int, int]] = []
             offset = 0
+            need, part = left[live], loss[live]
+            bears = np.ceil(need * part)
             while len(live) and room[0] >= 1 and room[1] >= 1:
-                need = left[live]
-                bears = np.ceil(need * loss[live])
                 fits = (need <= room[0]) & (bears <= room[2])
                 score = need / self.limit[0] * (room[0] / self.limit[0]) + room[1] / self.limit[1] ** 2 + bears / self.limit[2] * (room[2] / self.limit[2])
                 if fits.any():
                     j = int(np.argmax(np.where(fits, score, -1)))
                     take = int(need[j])
                 elif self.cut or not bin_:
-                    takes = np.minimum(np.minimum(need, room[0]), np.floor(room[2] / np.maximum(loss[live], 1e-9)))
+                    takes = np.minimum(np.minimum(need, room[0]), np.floor(room[2] / np.maximum(part, 1e-9)))
                     j = int(np.argmax(np.where(takes == takes.max(), score, -1)))
                     take = int(takes[j])
                     if take < 1:
@@ -176,8 +208,11 @@ class Packer:
                 room -= (take, 1, np.ceil(take * loss[i]))
                 start[i] += take
                 left[i] -= take
-                if not left[i]:
-                    live = np.delete(live, j)
+                if left[i]:
+                    need[j], bears[j] = left[i], np.ceil(left[i] * loss[i])
+                else:
+                    stay = np.arange(len(live)) != j
+                    live, need, part, bears = live[stay], need[stay], part[stay], bears[stay]
             if not len(live) and not last and offset < self.tokens:
                 back: dict[int, int] = {}
                 for i, at, _, _, _ in bin_:
