@@ -132,3 +132,18 @@ def test_parts_are_numbered_once_and_encoded_without_the_whole_tokeniser(monkeyp
     assert own.texts([v.encode() for v in values]) == want and len(own.numbers) == known
     monkeypatch.setattr(packing, "CACHE", 50)  # all is forgotten before every few texts
     assert [own.texts([v.encode()])[0] for v in values] == want
+
+
+def test_a_worker_that_has_packed_remembers_no_text(monkeypatch):
+    import pyarrow as pa
+
+    class Context:
+        get = staticmethod(lambda: Context)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(packing, "TaskContext", Context)
+    path = P.path("word_bpe_49k.json")
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["plain words".encode(), "日本語 odd".encode()])], names=["doc_id", "body"])
+    own = packing.word_ids(path)
+    assert sum(len(b) for b in packing._rows(path, 2, (64, 8, 64), True, True, 0, False, False)(iter([batch]))) > 1
+    assert not (own.numbers or len(own.ids) or own.words.now or own.words.old)

@@ -287,6 +287,8 @@ def _rows(path: str, end: int, limits: tuple[int, int, int], cut: bool, halve: b
                     total = sum(len(h[2]) // 4 - h[1] for h in held)
         if held:
             yield from flush(True)
+        held.clear()
+        words.forget()
         give_back()
 
     return run
