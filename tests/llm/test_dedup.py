@@ -116,6 +116,33 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_rounds_of_few_links_are_written_by_few_tasks(spark, monkeypatch):
+    from velaspan.llm import components as module
+
+    files, store = [], module.stored
+
+    def counted(df, name):
+        out = store(df, name)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(module, "stored", counted)
+    links = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(old, ("false", "8"), strict=True):
+            spark.conf.set(k, v)
+        assert {r["component"] for r in components(links).collect()} == {0}
+        assert len(files) > 2 and set(files[1:]) == {1}
+        files.clear()
+        monkeypatch.setattr(module, "LINKS", 60)
+        assert {r["component"] for r in components(links).collect()} == {0}
+        assert len(files) > 2 and set(files[2:]) == {1 + 200 // 60}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def removed_by_force(values, window):
     words = [(v or "").encode().split() for v in values]
     seen = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
