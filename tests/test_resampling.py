@@ -55,6 +55,23 @@ def test_draws_are_those_of_brute_force(spark):
     assert got == by_force(spark, u, samples)
 
 
+def test_conversations_of_few_kinds_are_drawn_exactly(spark):
+    conv = spark.createDataFrame([(m, f"c{i:03}") for m in ("m1", "m2") for i in range(300)], "model string, id string")
+    out = spark.createDataFrame([(m, f"c{i:03}", "PERSON", "tp" if i * 7 % 10 < k else "fp") for m, k in (("m1", 6), ("m2", 4)) for i in range(300) if i % 9], "model string, id string, type string, outcome string")
+    u = R.units(conv, out)
+    samples = [[f"c{mixed((mixed(9 + rep) + d) & 2**32 - 1) % 300:03}" for d in range(300)] for rep in range(20)]
+    got = {(r["model"], r["rep"]): r["value"] for r in R.replicated(u, 20, 9, exact=4).where("metric = 'micro.precision'").collect()}
+    assert got == by_force(spark, u, samples)
+
+
+def test_draws_in_several_blocks(monkeypatch):
+    codes, reps = np.arange(1000, dtype=np.uint16) % 7, np.array([0, 3])
+    want = [np.bincount([codes[mixed((mixed(5 + int(r)) + d) & 2**32 - 1) % 1000] for d in range(1000)], minlength=7).tolist() for r in reps]
+    for size in (64, 1000, 5000):
+        monkeypatch.setattr(R, "DRAWS", size)
+        assert R.drawn(reps, codes, 7, 5).tolist() == want
+
+
 def test_poisson_weights_have_mean_and_variance_one(spark):
     w = R._poisson(R.mixed(np.arange(2000, dtype=np.uint64)), R.mixed(np.arange(500, dtype=np.uint64)))
     assert w.mean() == pytest.approx(1, abs=0.01) and w.var() == pytest.approx(1, abs=0.02)
