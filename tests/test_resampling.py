@@ -115,3 +115,11 @@ def test_registered_bootstrap_draws_the_references_replicates(spark, data):
 
     values, _ = plans._boot(spark, data)
     assert values.select("rep").distinct().count() == 10_000
+
+
+def test_differences_draw_replicates_once(spark):
+    _, u = fixture(spark)
+    got = R.differences(R.replicated(u, 20, 1), R.point_estimates(u), ["m1", "m2"])
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    assert {(r["first"], r["second"]) for r in got.collect()} == {("m1", "m2")}
+    assert R.differences(R.replicated(u, 20, 1), R.point_estimates(u), ["m1"]).count() == 0
