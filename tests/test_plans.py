@@ -29,6 +29,13 @@ def test_patterns_run_once(spark, data, name, rules):
     assert text.count("regexp_extract_all") == 2 * rules and text.count("RLIKE") == rules
 
 
+@pytest.mark.parametrize("name", ["expected_detections"])
+def test_slots_are_filled_once(spark, data, name):
+    """The split of a template by its slots stands once in the plan, and few input splits are dealt to all cores."""
+    text = plan(spark, data, name)
+    assert text.count("arrays_zip(regexp_extract_all(") == 1 and "RoundRobinPartitioning(16)" in text
+
+
 def test_scans_read_what_is_used(spark, data):
     schema = re.findall(r"ReadSchema: struct<([^>]*)>", plan(spark, data, "regex_detections"))
     assert schema == ["doc_id:bigint,text:string"]

@@ -43,7 +43,8 @@ def _values_sql() -> str:
 def _filled(fields: DataFrame) -> DataFrame:
     """Rows with a template's ``text`` and its chat's ``slots``: the concrete text, ``spans`` of slots and ``error``."""
     rest = [c for c in fields.columns if c != "text"]
-    return fields.withColumn("_r", S.substituted("text", "slots")).select(*rest, F.col("_r.text").alias("text"), F.col("_r.spans").alias("spans"), F.col("_r.error").alias("error"))
+    # not withColumn(): a filter by the text, spans or error would compute all of it again for each of them
+    return fields.select(*rest, F.explode_outer(F.array(S.substituted("text", "slots"))).alias("_r")).select(*rest, F.col("_r.text").alias("text"), F.col("_r.spans").alias("spans"), F.col("_r.error").alias("error"))
 
 
 def _messages(chats: DataFrame, *more: str) -> DataFrame:
