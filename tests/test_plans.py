@@ -29,7 +29,7 @@ def test_patterns_run_once(spark, data, name, rules):
     assert text.count("regexp_extract_all") == 2 * rules and text.count("RLIKE") == rules
 
 
-@pytest.mark.parametrize("name", ["expected_detections"])
+@pytest.mark.parametrize("name", ["expected_detections", "masked_fields"])
 def test_slots_are_filled_once(spark, data, name):
     """The split of a template by its slots stands once in the plan, and few input splits are dealt to all cores."""
     text = plan(spark, data, name)
