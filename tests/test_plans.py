@@ -29,6 +29,11 @@ def test_patterns_run_once(spark, data, name, rules):
     assert text.count("regexp_extract_all") == 2 * rules and text.count("RLIKE") == rules
 
 
+def test_neighbours_are_merged_within_the_row(spark, data):
+    text = plan(spark, data, "adjacent_merge")
+    assert "Exchange" not in text and text.count("regexp_extract_all") == 2
+
+
 @pytest.mark.parametrize("name", ["expected_detections", "masked_fields"])
 def test_slots_are_filled_once(spark, data, name):
     """The split of a template by its slots stands once in the plan, and few input splits are dealt to all cores."""

@@ -1,9 +1,11 @@
 import hashlib
 import json
+import re
 
 from pyspark.sql import functions as F
 
 from velaspan.functions import text as T
+from velaspan.operators import matching as M
 from velaspan.operators import spans as S
 
 KIND = "id string, idx int, start int, end int, type string"
@@ -74,3 +76,31 @@ def test_trimmed_bounds(spark):
     df = spark.createDataFrame([(" ,Anna; ", 0, 8), ("  ", 0, 2)], "t string, s int, e int")
     lo, hi = T.trimmed(F.col("t"), F.col("s"), F.col("e"))
     assert [tuple(r) for r in df.select(lo, hi).collect()] == [(2, 6), (2, 2)]
+
+
+def test_many_neighbours_of_a_long_text(spark):
+    """Numbers of spans around a block of the sums; wide characters before them; a byte order mark is no gap."""
+    for n in (1, 63, 64, 65, 129, 1000):
+        words = [("Èva🙂" if i % 3 else "no") + str(i) for i in range(n)]
+        text = "🙂 " + " ".join(words) + " Ugo \ufeffx A\ufeff B"
+        rule = M.Rule("capital", "PERSON", 1, "(?<![^ ])(?P<valore>[A-ZÀ-Ý][^ ]*)", "")
+        found = M.candidates(spark.createDataFrame([(text,)], "text string"), [rule])
+        want = [m.span(1) for m in re.finditer(rule.pattern, text)]
+        assert [(m["start"], m["end"]) for m in found.first()["found"]] == want
+        tokens = F.transform("found", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["type"].alias("type"), F.lit(1.0).alias("score"), m["type"].alias("native")))
+        runs = []
+        for a, b in want:
+            if runs and text[runs[-1][1] : a].strip(" ,") == "":
+                runs[-1] = (runs[-1][0], b)
+            else:
+                runs.append((a, b))
+        got = found.select(S.adjacent_runs(tokens, F.col("text"), ("PERSON",)).alias("r")).first()["r"]
+        assert [(r["start"], r["end"], r["text"]) for r in got] == [(a, b, text[a:b]) for a, b in runs]
+
+
+def test_a_byte_order_mark_between_spans_is_no_gap(spark):
+    text = "A\ufeffB, C"
+    messages = spark.createDataFrame([("a", 0, text)], "id string, idx int, text string")
+    rows = [("a", 0, a, a + 1, "PERSON", 1.0, "N") for a in (0, 2, 5)]
+    got = S.adjacent_merged(spark.createDataFrame(rows, KIND + ", score double, native string"), messages, ("PERSON",)).collect()
+    assert sorted(r["text"] for r in got) == ["A", "B, C"]

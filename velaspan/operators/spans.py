@@ -87,6 +87,17 @@ def merged(detections: DataFrame, with_record_id: bool = True) -> DataFrame:
     return out.withColumn("detection_id", T.detection_id(F.col("id") if with_record_id else None, F.col("field"), F.col("start"), F.col("end"), F.col("type")))
 
 
+def _wide(text: Column) -> Column:
+    """A text as four bytes for each code point, of which a slice costs its own length and not that of all before it."""
+    return F.encode(text, "UTF-32")
+
+
+def _wide_slice(wide: Column, start: Column, end: Column) -> Column:
+    """Text of code points [start, end) of :func:`_wide`. A zero-width mark at the start would be lost as a byte order mark, so a space stands before it meanwhile."""
+    part = F.substring(wide, 4 * start + 1, 4 * (end - start))
+    return F.substring(F.decode(F.concat(F.lit(bytes((0, 0, 0, 32))), part), "UTF-32"), F.lit(2), end - start)
+
+
 def adjacent_merged(spans: DataFrame, messages: DataFrame, types: Sequence[str] = (), native_pairs: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """Neighbouring spans of one type joined over a gap of white space and commas.
 
@@ -96,24 +107,37 @@ def adjacent_merged(spans: DataFrame, messages: DataFrame, types: Sequence[str]
     span joins depends on the one before it alone. Each message's spans are
     gathered, its text is joined once, and runs are cut within the row.
     """
-    own = spans.groupBy(*MESSAGE).agg(F.array_sort(F.collect_list(F.struct("start", "end", "type", "score", "native"))).alias("_s"))
+    own = spans.groupBy(*MESSAGE).agg(F.collect_list(F.struct("start", "end", "type", "score", "native")).alias("_s"))
     got = own.join(messages.select(*MESSAGE, F.col("text").alias("_m")), list(MESSAGE))
+    return got.select(*MESSAGE, F.explode(adjacent_runs(F.col("_s"), F.col("_m"), types, native_pairs)).alias("m")).select(*MESSAGE, "m.*")
+
 
-    def joins(x: Column, i: Column) -> Column:
-        p = F.get("_s", i - 1)
+def adjacent_runs(spans: Column, text: Column, types: Sequence[str] = (), native_pairs: Sequence[tuple[str, str]] = ()) -> Column:
+    """:func:`adjacent_merged` within a row: an array of (start, end, type, score, text) from an array of spans and their text, in time that grows with their lengths."""
+
+    def joins(p: Column, x: Column, wide: Column) -> Column:
         allowed = F.lit(False)
         if types:
             allowed = allowed | x["type"].isin(*types)
         for a, b in native_pairs:
             allowed = allowed | ((p["native"] == a) & (x["native"] == b))
-        gap = T.slice_of(F.col("_m"), p["end"], x["start"])
+        gap = _wide_slice(wide, p["end"], x["start"])
         return F.when(allowed & (p["type"] == x["type"]), F.coalesce(gap.rlike("^(?U)[\\s,]*$"), F.lit(False))).otherwise(False)
 
-    heads = F.filter(F.transform("_s", lambda x, i: F.when(~joins(x, i), i)), lambda i: i.isNotNull())
-    got = got.withColumn("_h", heads)
-    run = F.transform("_h", lambda a, k: F.slice("_s", a + 1, F.coalesce(F.get("_h", k + 1), F.size("_s")) - a))
-    one = lambda g: F.struct(g[0]["start"].alias("start"), F.element_at(g, -1)["end"].alias("end"), g[0]["type"].alias("type"), F.array_min(F.transform(g, lambda x: x["score"])).alias("score"), T.slice_of(F.col("_m"), g[0]["start"], F.element_at(g, -1)["end"]).alias("text"))
-    return got.select(*MESSAGE, F.explode(F.transform(run, one)).alias("m")).select(*MESSAGE, "m.*")
+    def one(g: Column, wide: Column) -> Column:
+        first, last = F.get(g, F.lit(0)), F.element_at(g, -1)
+        return F.struct(first["start"].alias("start"), last["end"].alias("end"), first["type"].alias("type"), F.array_min(F.transform(g, lambda x: x["score"])).alias("score"), _wide_slice(wide, first["start"], last["end"]).alias("text"))
+
+    # variables of lambda functions (transform over an array of one) are computed once for a row
+    let = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+
+    def runs(s: Column, wide: Column) -> Column:
+        heads = F.filter(F.transform(s, lambda x, i: F.when(~joins(F.get(s, i - 1), x, wide), i)), lambda i: i.isNotNull())
+        cut = lambda h: F.transform(h, lambda a, k: one_of(F.slice(s, a + 1, F.coalesce(F.get(h, k + 1), F.size(s)) - a)))
+        one_of = lambda g: let(g, lambda own: one(own, wide))
+        return let(heads, cut)
+
+    return let(F.struct(F.array_sort(spans).alias("s"), _wide(text).alias("w")), lambda v: runs(v["s"], v["w"]))
 
 
 def substituted(text: str, entities: str) -> Column:
